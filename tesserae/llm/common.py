@@ -72,14 +72,15 @@ def pack(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
-BLOB_FIELDS = [("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
-BLOB_SCHEMA = "bucket int, kind tinyint, a binary, b binary, c binary"
+BLOB_FIELDS = [("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
+BLOB_SCHEMA = "bucket int, kind tinyint, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema(BLOB_FIELDS)
 
 
 def blob_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, BLOB_FIELDS)], schema=_ARROW)
+    """Rows (bucket, kind, up to four blobs) as a record batch."""
+    cols = [[r[j] if j < len(r) else b"" for r in rows] for j in range(len(BLOB_FIELDS))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, BLOB_FIELDS)], schema=_ARROW)
 
 
 def deal(keys: np.ndarray, n_buckets: int, kind: int, *arrays: np.ndarray) -> list[tuple]:
@@ -89,39 +90,39 @@ def deal(keys: np.ndarray, n_buckets: int, kind: int, *arrays: np.ndarray) -> li
     bucket = bucket_of(keys, n_buckets)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    bounds = np.concatenate([[0], cut, [len(order)]])
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(order)]])
     arrays = [a[order] for a in arrays]
-    rows = []
-    for i in range(len(bounds) - 1):
-        s = slice(bounds[i], bounds[i + 1])
-        blobs = [a[s].tobytes() for a in arrays] + [b""] * (3 - len(arrays))
-        rows.append((int(bucket[bounds[i]]), kind, *blobs))
-    return rows
+    return [(int(bucket[x]), kind, *(a[x:y].tobytes() for a in arrays)) for x, y in zip(bounds[:-1], bounds[1:])]
 
 
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
+    return ((keys >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
 
 
 def regroup(df: DataFrame, n: int) -> DataFrame:
-    """The shuffle of a packed exchange: every bucket in one task, its blobs ordered by kind."""
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    """The shuffle of a packed exchange: bucket b becomes partition b of n, its blobs ordered by kind."""
+    return df.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple[bytes, bytes, bytes]]]]]:
-    """Blobs of one bucket at a time; a bucket's share is bounded by the number of buckets."""
-    now, held = None, {}
+def by_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, tuple[bytes, bytes, bytes, bytes]]]:
+    """(bucket, kind, blobs) of a partition in order."""
     for batch in batches:
         d = batch.to_pydict()
-        for bucket, kind, a, b, c in zip(d["bucket"], d["kind"], d["a"], d["b"], d["c"]):
-            if bucket != now:
-                if held:
-                    yield now, held
-                now, held = bucket, {}
-            held.setdefault(kind, []).append((a, b, c))
-    if held:
-        yield now, held
+        yield from zip(d["bucket"], d["kind"], zip(d["a"], d["b"], d["c"], d["d"]))
+
+
+def row_keys(task: int, first: int, n: int) -> np.ndarray:
+    """Numbers for n rows of a task from its row `first` on, unique over all tasks."""
+    return (np.uint64(task) << np.uint64(40)) + np.arange(first, first + n, dtype=np.uint64)
+
+
+def id_bytes(doc_id: int | None) -> bytes:
+    """A nullable 64-bit id in 9 bytes."""
+    return b"\0" * 9 if doc_id is None else b"\1" + int(doc_id).to_bytes(8, "little", signed=True)
+
+
+def id_value(raw: bytes) -> int | None:
+    return int.from_bytes(raw[1:9], "little", signed=True) if raw[0] else None
 
 
 def joined(parts: list[bytes], dtype) -> np.ndarray:
