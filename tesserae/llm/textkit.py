@@ -104,7 +104,7 @@ class Words:
 
     __slots__ = ("data", "ends", "first", "hashes", "offs", "starts")
 
-    def __init__(self, arr: pa.Array, lower: bool = False, hashed: bool = True):
+    def __init__(self, arr: pa.Array, lower: bool = False, hashed: bool = True, space: np.ndarray = SPACE):
         data, self.offs = byte_view(arr)
         if lower:
             data = LOWER[data]
@@ -114,8 +114,8 @@ class Words:
         doc[self.offs] = True
         starts, ends, hashes, a = [], [], [], 0
         while a < n:
-            b = _cut(data, a, n)
-            s, e, h = _scan(data[a:b], doc[a:b], hashed)
+            b = _cut(data, a, n, space)
+            s, e, h = _scan(data[a:b], doc[a:b], hashed, space)
             starts.append(s + a)
             ends.append(e + a)
             hashes.append(h)
@@ -142,23 +142,23 @@ class Words:
         return raw.split()
 
 
-def _cut(data: np.ndarray, a: int, n: int) -> int:
+def _cut(data: np.ndarray, a: int, n: int, space: np.ndarray) -> int:
     b = a + SLICE_BYTES
     if b >= n:
         return n
-    back = np.flatnonzero(SPACE[data[max(a, b - 4096) : b]])
+    back = np.flatnonzero(space[data[max(a, b - 4096) : b]])
     if len(back):
         return max(a, b - 4096) + int(back[-1]) + 1
     while b < n:
-        ahead = np.flatnonzero(SPACE[data[b : b + SLICE_BYTES]])
+        ahead = np.flatnonzero(space[data[b : b + SLICE_BYTES]])
         if len(ahead):
             return b + int(ahead[0])
         b += SLICE_BYTES
     return n
 
 
-def _scan(data: np.ndarray, doc: np.ndarray, hashed: bool):
-    word = ~SPACE[data]
+def _scan(data: np.ndarray, doc: np.ndarray, hashed: bool, space: np.ndarray):
+    word = ~space[data]
     before = np.empty_like(word)
     before[0] = False
     before[1:] = word[:-1]
