@@ -63,6 +63,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plain_names(df: DataFrame):
+    """(df with columns c0, c1, ..., the new name of each column, the way back), so that no name can clash."""
+    own = df.columns
+    names = [f"c{i}" for i in range(len(own))]
+    return df.toDF(*names), dict(zip(own, names)), lambda x: x.select(*names).toDF(*own)
+
+
 def n_words(col) -> "F.Column":
     """Words of a text, none for a null."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")

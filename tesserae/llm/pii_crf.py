@@ -272,8 +272,8 @@ def fit(texts: list[str]) -> Field:
 
 
 def sample_texts(docs: DataFrame, n: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
-    own = docs.select("text").where((F.char_length("text") <= chars) & F.col("text").rlike("[0-9@]"))
-    return [r["text"] for r in own.orderBy(F.xxhash64("text"), "text").limit(n).collect()]  # at most n * chars characters
+    own = docs.where((F.char_length("text") <= chars) & F.col("text").rlike("[0-9@]"))
+    return [r["text"] for r in own.select("text").orderBy(F.xxhash64("text"), "text").limit(n).collect()]  # at most n * chars characters
 
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:

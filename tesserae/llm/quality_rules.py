@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import materialize
+from .common import materialize, plain_names
 
 WINDOW = 8
 GRID = 200
@@ -192,7 +192,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, stratum: str = "lang", al
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The documents that pass, with their columns unchanged; the texts are not shuffled unless the cutoff table outgrows a broadcast."""
-    cols, p = docs.columns, "__q_"
-    narrow = featurize(docs.select("doc_id", F.col(f"`{stratum}`").alias("stratum"), "text").join(labels.select(F.col("doc_id").alias("__l")).where("__l is not null").distinct(), F.col("doc_id") == F.col("__l"), "left_semi"), ["doc_id", "stratum"])
-    cuts = materialize(cutoffs(narrow, labels, "stratum", alpha=alpha, delta=delta), "quality-cuts")
-    return judge(featurize(docs, cols, prefix=p), cuts, stratum, p).where(F.col(p + "kept")).select(*[F.col(f"`{c}`") for c in cols])
+    own, name, back = plain_names(docs)
+    i, s, t, p = name["doc_id"], name[stratum], name["text"], "__q_"
+    known = labels.select(F.col("doc_id").alias("__l")).where("__l is not null").distinct()
+    held = own.select(F.col(i).alias("doc_id"), F.col(s).alias("stratum"), F.col(t).alias("text")).join(known, F.col("doc_id") == F.col("__l"), "left_semi")
+    cuts = materialize(cutoffs(featurize(held, ["doc_id", "stratum"]), labels, "stratum", alpha=alpha, delta=delta), "quality-cuts")
+    return back(judge(featurize(own, own.columns, t, p), cuts, s, p).where(F.col(p + "kept")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import materialize, n_words, plain_names
 
 WEIGHTS = (5, 2, 1)
 TOTAL_PERCENT = 150
@@ -89,11 +89,11 @@ def mix_plan(sized: DataFrame) -> DataFrame:
     return materialize(plan.select("source", "source_size", "target", "whole", F.coalesce("t", F.lit(-1).cast("long")).alias("t")), "mix-plan")
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, h) -> DataFrame:
+def with_copies(docs: DataFrame, plan: DataFrame, h, source: str = "source") -> DataFrame:
     """docs plus __size, __target and __copies from the plan of its source."""
     p = plan.select(F.col("source").alias("__s"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("t").alias("__t"))
     extra = F.when((F.col("__whole") < CAP) & (h <= F.col("__t")), 1).otherwise(0)
-    return docs.join(p, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("__copies", (F.col("__whole") + extra).cast("int"))
+    return docs.join(p, F.col(source).eqNullSafe(F.col("__s")), "left").withColumn("__copies", (F.col("__whole") + extra).cast("int"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -105,7 +105,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Every taken copy as a row, columns unchanged; only narrow rows take part in the search for thresholds."""
-    plan = mix_plan(materialize(sizes(docs), "mix-sizes"))
-    m = with_copies(docs, plan, doc_hash(F.col("doc_id")))
-    rep = F.explode(F.array_repeat(F.lit(1), F.col("__copies")))
-    return m.select(*[F.col(f"`{c}`") for c in docs.columns], rep.alias("__copy")).drop("__copy")
+    own, name, back = plain_names(docs)
+    narrow = own.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["source"]).alias("source"), F.col(name["text"]).alias("text"))
+    plan = mix_plan(materialize(sizes(narrow), "mix-sizes"))
+    m = with_copies(own, plan, doc_hash(F.col(name["doc_id"])), name["source"])
+    return back(m.select("*", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))))
