@@ -32,7 +32,7 @@ class DType:
     @property
     def spark(self) -> str:
         if self.inner:
-            out = DType(self.name, self.rank, self.size, self.fields).spark
+            out = element_of(self).spark
             for _ in self.inner:
                 out = f"array<{out}>"
             return out
@@ -43,7 +43,7 @@ class DType:
     @property
     def numpy(self) -> np.dtype:
         if self.inner:
-            return np.dtype((DType(self.name, self.rank, self.size, self.fields).numpy, self.inner))
+            return np.dtype((element_of(self).numpy, self.inner))
         if self.fields:
             return np.dtype([(n, t.numpy) for n, t in self.fields])
         return np.dtype(_NUMPY[self.name])
@@ -68,10 +68,13 @@ _WORDS = {"bool8": "bool", "int8": "i8", "int16": "i16", "int32": "i32", "int64"
 
 
 def dtype(x) -> DType:
-    """A DType from a DType, a name or anything numpy.dtype takes; big-endian and padded layouts are rejected."""
+    """A DType from a DType, a name or anything numpy.dtype takes; big-endian and padded layouts are rejected.
+
+    Short names that NumPy has too mean what NumPy means: 'i8' and 'u8' have eight bytes.
+    """
     if isinstance(x, DType):
         return x
-    if isinstance(x, str) and (name := _WORDS.get(x, x)) in SCALARS:
+    if isinstance(x, str) and x not in ("i8", "u8", "b", "c8", "c16") and (name := _WORDS.get(x, x)) in SCALARS:
         return SCALARS[name]
     d = np.dtype(x)
     if d.subdtype:
@@ -79,7 +82,7 @@ def dtype(x) -> DType:
         if len(inner) > 4:
             raise TypeError("an inner shape has at most 4 dimensions")
         b = dtype(base)
-        return DType(f"{b.name}{list(inner)}", OTHER, b.size, b.fields, tuple(inner)) if not b.fields else DType(f"{b.name}{list(inner)}", OTHER, b.size, b.fields, tuple(inner))
+        return DType(f"{b.name}{list(inner)}", OTHER, b.size, b.fields, tuple(inner))
     if d.fields:
         own = tuple((n, dtype(d.fields[n][0])) for n in d.names)
         if sum(d.fields[n][0].itemsize for n in d.names) != d.itemsize:
@@ -94,7 +97,7 @@ def dtype(x) -> DType:
 
 def element_of(t: DType) -> DType:
     """The scalar type below an inner shape."""
-    base = t.name.split("[")[0]
+    base = t.name[: t.name.rindex("[")]
     return SCALARS[base] if base in SCALARS else DType(base, OTHER, t.size, t.fields)
 
 

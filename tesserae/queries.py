@@ -168,18 +168,18 @@ for _n, _e in (("and", "s & 12"), ("or", "s | 12"), ("xor", "xor(s, 12)")):
 _each("bitwise_not", lambda t: ~t.part(), _PART, _i("-s - 1"))
 _each("bitwise_left_shift", lambda t: t.part() << (t.part() % 5), _PART, _i("s * (1 << (s % 5)::INT)"))
 _each("bitwise_right_shift", lambda t: (t.part() - 25) >> 2, _PART, _i("floor((s - 25) / 4.0::DOUBLE)"))
-_each("bitwise_rotate_left", lambda t: ts.bitwise_rotate_left(t.part().cast("u8"), 3), _PART, _i("((s << 3) | (s >> 5)) & 255"))
-_each("bitwise_rotate_right", lambda t: ts.bitwise_rotate_right(t.part().cast("u8"), 3), _PART, _i("((s >> 3) | (s << 5)) & 255"))
+_each("bitwise_rotate_left", lambda t: ts.bitwise_rotate_left(t.part().cast("uint8"), 3), _PART, _i("((s << 3) | (s >> 5)) & 255"))
+_each("bitwise_rotate_right", lambda t: ts.bitwise_rotate_right(t.part().cast("uint8"), 3), _PART, _i("((s >> 3) | (s << 5)) & 255"))
 _each("count_ones", lambda t: ts.count_ones(t.part()), _PART, _i("bit_count(s)"))
 _each("count_zeros", lambda t: ts.count_zeros(t.part()), _PART, _i("32 - bit_count(s)"))
 _each("leading_zeros", lambda t: ts.leading_zeros(t.part()), _PART, _i("31 - floor(log2(s))"))
 _each("trailing_zeros", lambda t: ts.trailing_zeros(t.part()), _PART, _i("bit_count((s & -s) - 1)"))
 _each("byteswap", lambda t: ts.byteswap(t.part()), _PART, _i("s * 16777216"))
-_each("reverse_bits", lambda t: ts.reverse_bits(t.part().cast("u8")), _PART, _i(" + ".join(f"((s >> {k}) & 1) * {1 << (7 - k)}" for k in range(8))))
+_each("reverse_bits", lambda t: ts.reverse_bits(t.part().cast("uint8")), _PART, _i(" + ".join(f"((s >> {k}) & 1) * {1 << (7 - k)}" for k in range(8))))
 
 # types
 _each("cast", lambda t: t.cust().cast("i32"), _CUST, _i("trunc(v)"))
-_each("cast_wrap", lambda t: (t.part() * 10).cast("u8"), _PART, _i("(s * 10) % 256"))
+_each("cast_wrap", lambda t: (t.part() * 10).cast("uint8"), _PART, _i("(s * 10) % 256"))
 _each("cast_f32", lambda t: t.emb.cast("f64"), _EMB, _f("v"))
 _each("real", lambda t: ts.real(t.cust().cast("c128") * (2 + 1j)), _CUST, _f("2 * v"))
 _each("imag", lambda t: ts.imag(t.cust().cast("c128") * (2 + 1j)), _CUST, _f("v"))
