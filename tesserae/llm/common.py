@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .textkit import WORD
 
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 _CREATED: list[tuple[SparkSession, str]] = []
 
 
@@ -59,6 +60,16 @@ def _remove() -> None:
             return
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most BATCH_BYTES or one row, so that texts of any length fit a worker."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = (conf.get(key, None) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

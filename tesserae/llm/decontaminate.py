@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
+from .common import bound_batches
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
 BLOCKS, BLOCK_BITS = 8, 8
@@ -189,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresho
     """The columns `keep` of docs, item_id, similarity, start_word and n_words of every pair at or above the threshold."""
     spark = docs.sparkSession
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, t) for c, t in (("item_id", T.LongType()), ("similarity", T.DoubleType()), ("start_word", T.LongType()), ("n_words", T.LongType()))])
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    src = bound_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     out = None
     for part in _parts(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")), max_bytes):
         index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.collect()], threshold))  # at most max_bytes of text
@@ -212,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresho
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents without a window that reaches the threshold, columns unchanged; one narrow pass for each index part."""
     spark = docs.sparkSession
-    src = docs
+    src = bound_batches(docs)
     for part in _parts(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")), max_bytes):
         index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.collect()], threshold))  # at most max_bytes of text
 

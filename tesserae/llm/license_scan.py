@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
+from .common import bound_batches
 
 GRAM, WINNOW, BAND, MIN_COVERAGE = 3, 3, 8, 0.8
 
@@ -141,7 +142,7 @@ def scan_licenses(docs: DataFrame, keep: list[str], templates: dict[str, str] |
     index = TemplateIndex(templates or TEMPLATES)
     more = (("license", T.StringType()), ("coverage", T.DoubleType()), ("n_matched", T.LongType()), ("start", T.LongType()), ("end", T.LongType()))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, t) for c, t in more])
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    src = bound_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
 
     def run(batches):
         for batch in batches:

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .common import bound_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, SAMPLE_CHARS = 2000, 100_000
@@ -297,5 +298,5 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.string()]))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "n_added", "spans"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, n_added long, spans string")

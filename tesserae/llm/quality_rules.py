@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import materialize, plain_names
+from .common import bound_batches, materialize, plain_names
 
 WINDOW = 8
 GRID = 200
@@ -79,7 +79,7 @@ def featurize(docs: DataFrame, keep: list[str], text: str = "text", prefix: str
     """The columns `keep` of docs followed by the counts, whose names get `prefix`."""
     names = [prefix + c for c in COUNTS]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in names])
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    src = bound_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 
     def run(batches):
         for batch in batches:
@@ -194,7 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     """The documents that pass, with their columns unchanged; the texts are not shuffled unless the cutoff table outgrows a broadcast."""
     own, name, back = plain_names(docs)
     i, s, t, p = name["doc_id"], name[stratum], name["text"], "__q_"
-    known = labels.select(F.col("doc_id").alias("__l")).where("__l is not null").distinct()
-    held = own.select(F.col(i).alias("doc_id"), F.col(s).alias("stratum"), F.col(t).alias("text")).join(known, F.col("doc_id") == F.col("__l"), "left_semi")
-    cuts = materialize(cutoffs(featurize(held, ["doc_id", "stratum"]), labels, "stratum", alpha=alpha, delta=delta), "quality-cuts")
-    return back(judge(featurize(own, own.columns, t, p), cuts, s, p).where(F.col(p + "kept")))
+    counted = materialize(featurize(own, own.columns, t, p), "quality-counted")
+    narrow = counted.select(F.col(i).alias("doc_id"), F.col(s).alias("stratum"), *[F.col(p + c).alias(c) for c in COUNTS])
+    cuts = materialize(cutoffs(narrow, labels, "stratum", alpha=alpha, delta=delta), "quality-cuts")
+    return back(judge(counted, cuts, s, p).where(F.col(p + "kept")))

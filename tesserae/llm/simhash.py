@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import materialize
+from .common import bound_batches, materialize
 from .components import connected_components
 
 CROWD = 64
@@ -62,7 +62,7 @@ def simhash(h: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, n: int, keep: list[str]) -> DataFrame:
     """The columns `keep` and fp, the 64 bits as a signed long."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    src = bound_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
 
     def run(batches):
         for batch in batches:

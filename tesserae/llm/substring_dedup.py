@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import BLOB_SCHEMA, blob_batch, bucket_of, by_kind, deal, id_bytes, id_value, joined, partitions, regroup, row_keys
+from .common import BLOB_SCHEMA, blob_batch, bound_batches, bucket_of, by_kind, deal, id_bytes, id_value, joined, partitions, regroup, row_keys
 
 WINDOW, GRAM = 35, 8
 DEPTH, MIN_BITS, MAX_BITS = 2, 20, 28
@@ -131,7 +131,7 @@ def _sketch_bits(docs: DataFrame, bits: int | None) -> int:
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space) of every text."""
-    spark = docs.sparkSession
+    spark = bound_batches(docs).sparkSession
     n = partitions(spark)
     bits = _sketch_bits(docs, bits)
     piece = min(bits, PIECE_BITS)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import BLOB_SCHEMA, blob_batch, by_kind, deal, joined, materialize, partitions, regroup, row_keys
+from .common import BLOB_SCHEMA, blob_batch, bound_batches, by_kind, deal, joined, materialize, partitions, regroup, row_keys
 
 DEPTH = 2
 WORD_SHARE = 2.0**-20
@@ -252,7 +252,7 @@ class SuffixTree:
 
 def train(docs: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
     """The model and the table of all word counts of the training documents."""
-    spark = docs.sparkSession
+    spark = bound_batches(docs).sparkSession
     n = partitions(spark)
     own = docs.where(~held_out(F.col("doc_id")))
     words = materialize(count_keys(own, lambda h, first: h, n), "lm-words")

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from . import context_coder
 from . import textkit as K
-from .common import materialize, partitions
+from .common import bound_batches, materialize, partitions
 
 END_ID = 2
 SHARD_IDS = 1 << 22
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 CACHE = 1 << 19
 _INDEX = struct.Struct("<4sQ")
 _INDEX_MAGIC = b"TSHD"
@@ -181,7 +181,7 @@ SHARD_SCHEMA = "part int, seq int, start_in_part long, n_docs long, n_ids long,
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The written table of shards; parts and the shards within a part follow ascending document ids."""
     n = partitions(docs.sparkSession)
-    src = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    src = bound_batches(docs).select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         tok, part = _tokenizer(tokenizer_path), TaskContext.get().partitionId()
