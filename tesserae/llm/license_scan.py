@@ -107,12 +107,16 @@ class TemplateIndex:
         out = []
         for (d, t), ranges in sorted(self.candidates(w).items()):
             a, z = int(w.first[d]), int(w.first[d + 1])
+            off = int(w.offs[d])
             for lo, hi in ranges:
-                x, y = max(a, lo - BAND), min(z, hi + BAND + len(self.words[t]))
-                matched, first, last = align(self.words[t], w.hashes[x:y], lo - BAND - x, hi + BAND - x)
-                if matched and matched / len(self.words[t]) >= min_coverage:
-                    off = int(w.offs[d])
-                    out.append((d, t, matched / len(self.words[t]), matched, int(w.starts[x + first]) - off, int(w.ends[x + last]) - off))
+                todo = [(max(a, lo - BAND), min(z, hi + BAND + len(self.words[t])))]
+                while todo:  # notices close to each other share a range: look on either side of each
+                    x, y = todo.pop()
+                    matched, first, last = align(self.words[t], w.hashes[x:y], lo - BAND - x, hi + BAND - x)
+                    if matched and matched / len(self.words[t]) >= min_coverage:
+                        out.append((d, t, matched / len(self.words[t]), matched, int(w.starts[x + first]) - off, int(w.ends[x + last]) - off))
+                        todo += [(x, x + first), (x + last + 1, y)]
+        out.sort(key=lambda f: (f[0], f[1], f[4]))
         return out
 
 

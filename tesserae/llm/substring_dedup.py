@@ -89,6 +89,8 @@ def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
                     continue
                 u, c = np.unique(np.concatenate(cells[row]), return_counts=True)
                 cells[row].clear()
+                if not len(u):
+                    continue
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(u >> piece)) + 1, [len(u)]])
                 for x, y in zip(cut[:-1], cut[1:]):
                     k = row << (MAX_BITS - PIECE_BITS) | int(u[x] >> piece)

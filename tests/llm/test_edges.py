@@ -29,7 +29,7 @@ def ops(labels, bench):
         "substring": (substring_dedup.dedup_passages, 12),
         "pii": (pii_crf.find_pii, 12),
         "keep_good": (lambda d: quality_rules.keep_good(d, labels), 1),
-        "near": (near_dedup.drop_near_duplicates, 8),
+        "near": (near_dedup.drop_near_duplicates, 7),
         "clean": (lambda d: decontaminate.clean_documents(d, bench), 10),
         "mix_documents": (source_mix.mix_documents, None),
     }
@@ -61,7 +61,7 @@ def test_ties_and_repeats(odd):
     assert got[(3, "0" * 16)] == got[(2, "0" * 16)] == 1
     assert {v for (i, _), v in got.items() if i in (4, 5)} == {4}
     kept = [r["doc_id"] for r in near_dedup.drop_near_duplicates(odd).collect()]
-    assert sorted(kept, key=str) == sorted([1, 4, 6, 7, 8, 9, None], key=str) + [] or kept.count(6) == 1
+    assert sorted(kept, key=str) == sorted([1, 4, 6, 7, 8, 9, None], key=str)
 
 
 def test_damaged_blocks_are_found():
