@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..errors import ARITHMETIC, translated
 from ..functions import casts
 from ..plans import dtypes as D
 from ..plans import shapes as S
 from ..plans.dtypes import DType
+from ..plans import layout
 from ..plans.layout import CONSTANT, WIDE, Base, Coord, align
 from ..session import engine_session
 
 
+@dataclass
+class Reduced:
+    """What an array was reduced from, so that it can meet its source again without a join.
+
+    `over(window)` is the reduction as a window expression on the source's base;
+    `of[d]` is the source dimension of dimension d, None for one of length one.
+    """
+
+    base: Base
+    coords: list[Coord]
+    of: list[int | None]
+    over: Callable[[WindowSpec], Column]
+
+
 class NDArray:
     """Shape and type on the driver, elements in Spark.
 
@@ -29,6 +48,7 @@ class NDArray:
         self.base, self.coords, self.value, self.err = base, coords, value, err
         self.shape, self.dtype = tuple(shape), dtype
         self.session = session or (base.df.sparkSession if base.df is not None else None)
+        self.origin: Reduced | None = None
 
     # metadata: no job runs
 
@@ -268,11 +288,28 @@ def broadcast_to(a: NDArray, shape: tuple[int, ...]) -> NDArray:
     return a.replace(coords=coords, shape=shape)
 
 
+def _windowed(a: NDArray, others: list[NDArray], shape: tuple[int, ...]) -> NDArray | None:
+    """A reduction that meets its source: one window over the source, where it is too large to broadcast."""
+    o = a.origin
+    if o is None or a.size <= layout.BROADCAST_CELLS:
+        return None
+    lead = len(shape) - a.ndim
+    for b in others:
+        wide = broadcast_to(b, shape)
+        if b is a or b.base is CONSTANT or b.base.key != o.base.key:
+            continue
+        if all(s is None or wide.coords[lead + d].key == o.coords[s].key for d, s in enumerate(o.of)):
+            spec = Window.partitionBy(*[o.coords[s].col for s in o.of if s is not None])
+            return NDArray(b.base, wide.coords, o.over(spec), shape, a.dtype, session=a.session)
+    return None
+
+
 def combine(arrays: list[NDArray], shape: tuple[int, ...]) -> tuple[Base, list[Coord], list[tuple[Column, Column | None]]]:
     """Arrays broadcast to `shape` over one base, with the value and error Column of each."""
     parts = []
     for a in arrays:
-        b = broadcast_to(a, shape)
+        b = _windowed(a, arrays, shape)
+        b = broadcast_to(a, shape) if b is None else b
         own = tuple(n if c.col is not None else 1 for n, c in zip(shape, b.coords))
         parts.append((b.base, b.coords, [b.value] + ([b.err] if b.err is not None else []), own))
     base, coords, cols = align(parts)

@@ -46,6 +46,7 @@ for _name, _f in _BINARY.items():
     setattr(NDArray, f"__r{_name}__", _dunder(_f, True))
 for _name, _f in {"eq": E.equal, "ne": E.not_equal, "lt": E.less, "le": E.less_equal, "gt": E.greater, "ge": E.greater_equal}.items():
     setattr(NDArray, f"__{_name}__", _dunder(_f))
+NDArray.slice = _method(S.slice_)
 NDArray.__neg__ = lambda self: E.negative(self)
 NDArray.__pos__ = lambda self: self
 NDArray.__abs__ = lambda self: E.absolute(self)

@@ -12,15 +12,15 @@ from ..plans import dtypes as D
 from ..plans import shapes as S
 from ..plans.dtypes import DType
 from ..plans.layout import WIDE, Base, Coord
-from .array import NDArray, asarray
+from .array import NDArray, Reduced, asarray
 from .elementwise import cast
 
 _NUMERIC = [D.bool_, *D.REALS, *D.COMPLEXES]
 _ORDERED = [D.bool_, *D.REALS]
 
 
-def _reduce(a: NDArray, dims: tuple[int, ...], agg, out: DType, keepdim: bool, identity) -> NDArray:
-    """Aggregate over dims; agg takes the value Column (and a's coordinates) and gives the aggregate.
+def _reduce(a: NDArray, dims: tuple[int, ...], agg, out: DType, keepdim: bool, identity, positional=None) -> NDArray:
+    """Aggregate over dims; agg(value, at) gives the aggregate, with at() around every aggregate function in it.
 
     If a reduced dimension has length zero there is no row to aggregate: every
     position of the result gets the identity, from a grid that the driver's shape
@@ -30,6 +30,7 @@ def _reduce(a: NDArray, dims: tuple[int, ...], agg, out: DType, keepdim: bool, i
         raise RuntimeError("reduction of an empty dimension without an identity")
     kept = [d for d in range(a.ndim) if d not in dims]
     shape = tuple(a.shape[d] for d in kept)
+    origin = None
     if builtins.any(a.shape[d] == 0 for d in dims):
         spark = a.session
         whole = NDArray(_constant(), [WIDE] * len(kept), identity.cast(out.spark), shape, out, session=spark)
@@ -40,16 +41,23 @@ def _reduce(a: NDArray, dims: tuple[int, ...], agg, out: DType, keepdim: bool, i
             a = a._from_range()
         own = [d for d in kept if a.coords[d].col is not None]
         df = a.base.df.select(*[a.coords[d].col.alias(f"d{d}") for d in [*own, *dims]], a.guarded().alias("v"))
-        res_df = df.groupBy(*[f"d{d}" for d in own]).agg(agg(F.col("v")).alias("v")) if own else df.agg(agg(F.col("v")).alias("v"))
+        plain = agg(F.col("v"), lambda x: x).alias("v")
+        res_df = df.groupBy(*[f"d{d}" for d in own]).agg(plain) if own else df.agg(plain)
         coords = [Coord(F.col(f"d{d}"), ("own", d)) if d in own else WIDE for d in kept]
         res = NDArray(Base(res_df), coords, casts_back(F.col("v"), out), shape, out)
+        if own and len(own) == len(kept) and positional is None:
+            value = a.guarded()
+            origin = Reduced(a.base, a.coords, list(kept), lambda spec: casts_back(agg(value, lambda x: x.over(spec)), out))
     if keepdim:
         coords = list(res.coords)
         full = list(shape)
         for d in sorted(dims):
             coords.insert(d, WIDE)
             full.insert(d, 1)
+            if origin:
+                origin.of.insert(d, None)
         res = res.replace(coords=coords, shape=tuple(full))
+    res.origin = origin
     return res
 
 
@@ -71,7 +79,7 @@ def _start(name: str, array, dim, table) -> tuple[NDArray, tuple[int, ...]]:
 
 def _complex(f, out: DType):
     part = "float" if out == D.c64 else "double"
-    return lambda v: F.struct(f(v["re"].cast("double")).cast(part).alias("re"), f(v["im"].cast("double")).cast(part).alias("im"))
+    return lambda v, at: F.struct(at(f(v["re"].cast("double"))).cast(part).alias("re"), at(f(v["im"].cast("double"))).cast(part).alias("im"))
 
 
 def sum(array, dim=None, *, keepdim: bool = False) -> NDArray:
@@ -82,7 +90,7 @@ def sum(array, dim=None, *, keepdim: bool = False) -> NDArray:
         return _reduce(a, dims, _complex(F.sum, t), t, keepdim, casts.literal(0, t))
     out = t if t.rank == D.FLOAT else D.i64 if t.rank == D.INT else D.u64
     wide = a if t.rank == D.FLOAT else cast(a, out)
-    return _reduce(wide, dims, F.sum, out, keepdim, F.lit(0))
+    return _reduce(wide, dims, lambda v, at: at(F.sum(v)), out, keepdim, F.lit(0))
 
 
 def product(array, dim=None, *, keepdim: bool = False) -> NDArray:
@@ -95,18 +103,18 @@ def product(array, dim=None, *, keepdim: bool = False) -> NDArray:
     t = a.dtype
     if t.rank == D.COMPLEX:
         # polar form: moduli multiply, angles add
-        def polar(v):
-            r, w = F.product(F.hypot(v["re"], v["im"]).cast("double")), F.sum(F.atan2(v["im"].cast("double"), v["re"].cast("double")))
+        def polar(v, at):
+            r, w = at(F.product(F.hypot(v["re"], v["im"]).cast("double"))), at(F.sum(F.atan2(v["im"].cast("double"), v["re"].cast("double"))))
             return casts.pair(r * F.cos(w), r * F.sin(w), t)
 
         return _reduce(a, dims, polar, t, keepdim, casts.literal(1, t))
     if t.rank == D.FLOAT:
-        return _reduce(a, dims, lambda v: F.product(v.cast("double")), t, keepdim, F.lit(1.0))
+        return _reduce(a, dims, lambda v, at: at(F.product(v.cast("double"))), t, keepdim, F.lit(1.0))
     out = D.i64 if t.rank == D.INT else D.u64
     return _reduce(cast(a, out), dims, _int_product, out, keepdim, F.lit(1))
 
 
-def _int_product(v: Column) -> Column:
+def _int_product(v: Column, at) -> Column:
     zero = v == 0
     x = F.when(zero, F.lit(1).cast("bigint")).otherwise(v)
     twos = F.bit_count(x.bitwiseAND(-x) - 1)
@@ -114,11 +122,11 @@ def _int_product(v: Column) -> Column:
     odd = F.when(twos > 0, odd).otherwise(x)
     minus = odd.bitwiseAND(F.lit(3)) == 3
     k = _log5(F.when(minus, -odd).otherwise(odd))
-    total, n2 = F.sum(k).bitwiseAND(F.lit((1 << 62) - 1)), F.sum(twos.cast("bigint"))
+    total, n2 = at(F.sum(k)).bitwiseAND(F.lit((1 << 62) - 1)), at(F.sum(twos.cast("bigint")))
     out = _pow5(total)
-    out = F.when(F.sum(minus.cast("bigint")) % 2 == 1, -out).otherwise(out)
+    out = F.when(at(F.sum(minus.cast("bigint"))) % 2 == 1, -out).otherwise(out)
     out = F.when(n2 > 63, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftleft", out, F.least(n2, F.lit(63)).cast("int")))
-    return F.when(F.max(zero), F.lit(0).cast("bigint")).otherwise(out)
+    return F.when(at(F.max(zero)), F.lit(0).cast("bigint")).otherwise(out)
 
 
 _POW5 = [pow(5, 1 << j, 1 << 64) for j in range(62)]
@@ -150,7 +158,7 @@ def mean(array, dim=None, *, keepdim: bool = False) -> NDArray:
     if t.rank == D.COMPLEX:
         return _reduce(a, dims, _complex(F.avg, t), t, keepdim, None)
     out = t if t.rank == D.FLOAT else D.f64
-    return _reduce(a if t.rank == D.FLOAT else cast(a, D.f64), dims, lambda v: F.avg(v.cast("double")), out, keepdim, None)
+    return _reduce(a if t.rank == D.FLOAT else cast(a, D.f64), dims, lambda v, at: at(F.avg(v.cast("double"))), out, keepdim, None)
 
 
 def _variance(name: str, array, dim, ddof: float, keepdim: bool, root: bool) -> NDArray:
@@ -159,8 +167,8 @@ def _variance(name: str, array, dim, ddof: float, keepdim: bool, root: bool) ->
     out = (D.f32 if t == D.c64 else D.f64) if t.rank == D.COMPLEX else t if t.rank == D.FLOAT else D.f64
     n = S.size(tuple(a.shape[d] for d in dims))
 
-    def agg(v: Column) -> Column:
-        own = F.var_pop(v["re"].cast("double")) + F.var_pop(v["im"].cast("double")) if t.rank == D.COMPLEX else F.var_pop(v.cast("double"))
+    def agg(v: Column, at) -> Column:
+        own = at(F.var_pop(v["re"].cast("double"))) + at(F.var_pop(v["im"].cast("double"))) if t.rank == D.COMPLEX else at(F.var_pop(v.cast("double")))
         if n - ddof <= 0:
             return F.when(own.isNull(), nan).otherwise(nan)
         own = own if ddof == 0 else own * (n / (n - ddof))
@@ -184,12 +192,12 @@ def _extreme(name: str, array, dim, keepdim: bool, largest: bool) -> NDArray:
     t = a.dtype
     flip = lambda c: casts.ordered(c, t)
 
-    def agg(v: Column) -> Column:
+    def agg(v: Column, at) -> Column:
         x = flip(v)
         if largest:
-            return flip(F.max(x))
-        low = flip(F.min(x))
-        return F.when(F.max(F.isnan(v)), F.lit(float("nan")).cast(t.spark)).otherwise(low) if t.rank == D.FLOAT else low
+            return flip(at(F.max(x)))
+        low = flip(at(F.min(x)))
+        return F.when(at(F.max(F.isnan(v))), F.lit(float("nan")).cast(t.spark)).otherwise(low) if t.rank == D.FLOAT else low
 
     return _reduce(a, dims, agg, t, keepdim, None)
 
@@ -211,13 +219,13 @@ def _arg(name: str, array, dim, keepdim: bool, largest: bool) -> NDArray:
     d = S.dim(0 if dim is None else dim, a.ndim)
     t = a.dtype
 
-    def agg(v: Column) -> Column:
-        x, at = casts.ordered(v, t), F.col(f"d{d}")
+    def agg(v: Column, at) -> Column:
+        x, own = casts.ordered(v, t), F.col(f"d{d}")
         if largest:
-            return F.max_by(at, F.struct(x.alias("x"), (-at).alias("at")))
-        return F.min_by(at, F.struct((~casts.is_nan(v, t)).alias("sane"), x.alias("x"), at.alias("at")))
+            return at(F.max_by(own, F.struct(x.alias("x"), (-own).alias("at"))))
+        return at(F.min_by(own, F.struct((~casts.is_nan(v, t)).alias("sane"), x.alias("x"), own.alias("at"))))
 
-    return _reduce(a, (d,), agg, D.u64, keepdim, None)
+    return _reduce(a, (d,), agg, D.u64, keepdim, None, positional=d)
 
 
 def argmax(array, dim: int | None = None, *, keepdim: bool = False) -> NDArray:
@@ -233,7 +241,7 @@ def _logic(array, dim, keepdim: bool, f, identity: bool) -> NDArray:
     a = asarray(array)
     if a.dtype.rank != D.BOOL:
         a = cast(a, D.bool_)
-    return _reduce(a, S.dims(dim, a.ndim), f, D.bool_, keepdim, F.lit(identity))
+    return _reduce(a, S.dims(dim, a.ndim), lambda v, at: at(f(v)), D.bool_, keepdim, F.lit(identity))
 
 
 def all(array, dim=None, *, keepdim: bool = False) -> NDArray:

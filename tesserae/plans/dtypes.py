@@ -15,7 +15,7 @@ import numpy as np
 BOOL, UINT, INT, FLOAT, COMPLEX, OTHER = range(6)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class DType:
     """An element type; `size` is the byte width of a component, as promotion counts it."""
 
@@ -55,6 +55,18 @@ class DType:
     def __repr__(self) -> str:
         return self.name
 
+    def __eq__(self, other) -> bool:
+        """Equal to the same type, also if it is written as a NumPy type or a name."""
+        if not isinstance(other, DType):
+            try:
+                other = dtype(other)
+            except TypeError:
+                return False
+        return (self.name, self.inner, self.fields) == (other.name, other.inner, other.fields)
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
 
 _SPARK = {"bool": "boolean", "i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint", "u8": "smallint", "u16": "int", "u32": "bigint", "u64": "bigint", "f16": "float", "f32": "float", "f64": "double", "c64": "struct<re:float,im:float>", "c128": "struct<re:double,im:double>"}
 _NUMPY = {"bool": "?", "i8": "i1", "i16": "i2", "i32": "i4", "i64": "i8", "u8": "u1", "u16": "u2", "u32": "u4", "u64": "u8", "f16": "f2", "f32": "f4", "f64": "f8", "c64": "c8", "c128": "c16"}

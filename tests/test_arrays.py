@@ -352,3 +352,27 @@ def test_same_source_needs_no_join():
     a = ts.asarray(np.arange(12.0).reshape(3, 4))
     plan = ((a + 1) * a - a).cells()._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_large_reductions_meet_their_source_in_a_window(monkeypatch):
+    from tesserae.plans import layout
+
+    monkeypatch.setattr(layout, "BROADCAST_CELLS", 2)
+    x = RNG.normal(size=(6, 5))
+    a = ts.asarray(x)
+    for got, want in (
+        (a / a.std(1, keepdim=True), x / x.std(1, keepdims=True)), (a - a.mean(0), x - x.mean(0)), (a.T - a.T.max(1, keepdim=True), x.T - x.T.max(1, keepdims=True)),
+        ((a + 1) * a.sum(0, keepdim=True), (x + 1) * x.sum(0, keepdims=True)), (ts.exp(a) - ts.exp(a).min(1, keepdim=True), np.exp(x) - np.exp(x).min(1, keepdims=True))):
+        same(got, want)
+        plan = got.cells()._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan
+        assert "Join" not in plan
+    same(a.T - a.mean(0, keepdim=True).T, x.T - x.mean(0)[:, None])
+
+
+def test_types_compare_with_numpy():
+    a = ts.asarray(np.zeros(2, "f4"))
+    assert a.dtype == np.float32
+    assert a.dtype == "float32"
+    assert a.dtype != "f8"
+    same(a.slice(slice(0, 1)), np.zeros(1, "f4"))
