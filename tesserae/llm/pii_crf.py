@@ -14,8 +14,8 @@ is clear in one place speaks for a repeated token in a doubtful one.  A token
 joins a span if a label has at least MIN_P.
 
 Training uses the base patterns as labels on a bounded sample, a documented
-parameter: the SAMPLE texts of at most SAMPLE_CHARS characters that have such
-tokens and come first by hash.  Weights follow by gradient descent, link
+parameter: of the texts of at most SAMPLE_CHARS characters that have such tokens,
+the share whose hash is lowest, SAMPLE of them on average.  Weights follow by gradient descent, link
 potentials from how often labels meet; the patterns themselves scan every text.
 
 Nulls and odd cases: a null text counts as empty and has no spans; a null id is
@@ -273,8 +273,12 @@ def fit(texts: list[str]) -> Field:
 
 
 def sample_texts(docs: DataFrame, n: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
-    own = docs.where((F.char_length("text") <= chars) & F.col("text").rlike("[0-9@]"))
-    return [r["text"] for r in own.select("text").orderBy(F.xxhash64("text"), "text").limit(n).collect()]  # at most n * chars characters
+    """About n texts: all of them, or the share n / count whose hash is lowest; so a task sends its share of n, not n."""
+    own = docs.where((F.char_length("text") <= chars) & F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    count = own.count()
+    if count > n:
+        own = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int((1 << 40) * n / count))
+    return sorted(r["text"] for r in own.distinct().collect())
 
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
