@@ -6,12 +6,14 @@ a block carries its id count, its length and the CRC-32 of its ids.  The blocks
 of a shard are coded in lockstep: every step codes one id of every block with
 array operations.
 
-The next id is predicted by three orders.  Order 2 and order 1 each remember, by
-a hash of the last two ids and of the last id, the id that followed and a
-confidence.  The pair of confidences selects two adaptive probabilities: that
-order 2 is right, and that order 1 is right where order 2 is not.  The rest of
-the interval belongs to order 0, adaptive counts over ranges of ids that widen
-with the id.  A 64-bit carry-less range coder takes the mixed interval.
+The next id is predicted by three orders.  Order 2 and order 1 remember, by a
+hash of the last two ids and of the last id, the id that followed and a
+confidence; how often predictions of each confidence came true gives their
+weights.  The rest of the interval belongs to order 0, adaptive counts over
+ranges of ids that widen with the id.  The three are mixed into one interval, and
+a 64-bit carry-less range coder takes it.  The predictors learn between epochs
+of a block, so an encoder knows all intervals of an epoch at once and only the
+coder itself runs step by step.
 """
 
 from __future__ import annotations
@@ -29,84 +31,104 @@ _U = np.uint64
 _S1, _S2 = 9, 10  # log2 of the slots of orders 1 and 2
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x27D4EB2F)
 _H1, _H2 = np.uint32(32 - _S1), np.uint32(32 - _S2)
-_INC, _EVERY = 24, 64
-_TOP, _LOW = _U(48), _U((1 << 48) - 1)
-_BOT = _U(1 << 48)
-_SIXTEEN = _U(16)
+_TOP, _LOW, _BOT, _SIXTEEN = _U(48), _U((1 << 48) - 1), _U(1 << 48), _U(16)
+_FULL, _F = np.uint32(65536), np.uint32(65535)
+_UNITS = 2048  # order 0 divides its interval into so many parts, each into 512
+_LEVELS = 8
+_PRIOR = np.linspace(0.04, 0.9, _LEVELS)
 _HEAD = struct.Struct("<4sHHIIQ")  # magic, version, block size, vocabulary, blocks, ids
 _BLOCK_HEAD = struct.Struct("<III")  # ids, 16-bit words, CRC-32 of the ids
 
 
 class Ranges:
-    """Ranges of ids for order 0: 4 wide below 256, then 16, 64 and 512; widths are powers of two."""
+    """Ranges of ids for order 0: 4 wide below 256, then 16, 64 and 512 (more for a vocabulary above 65,536)."""
 
     def __init__(self, vocab: int):
+        if vocab > 1 << 16:
+            raise ValueError("ids have at most 16 bits")
         starts = [*range(0, 256, 4), *range(256, 1024, 16), *range(1024, 4096, 64), *range(4096, max(vocab, 4097), 512)]
         self.start = np.array(starts, np.int64)
         self.width = np.where(self.start < 256, 4, np.where(self.start < 1024, 16, np.where(self.start < 4096, 64, 512)))
         self.scale = 512 // self.width
-        self.shift = np.log2(self.width).astype(np.int64)
         self.of = np.repeat(np.arange(len(starts)), self.width)
         self.n = len(starts)
 
 
+def _epochs(steps: int) -> list[tuple[int, int, bool]]:
+    """(first, last + 1, whether order 0 is renewed before) of the epochs of a block."""
+    marks = [0, 16, 64, 128, *range(256, steps, 256), steps]
+    marks = sorted({m for m in marks if m <= steps})
+    return [(a, b, a in (0, 16, 64, 256, 512) or a % 1024 == 0) for a, b in zip(marks[:-1], marks[1:])]
+
+
 class _Model:
-    """The predictors of a group of lanes; a slot holds an id and, in its low three bits, a confidence."""
+    """The predictors of a group of lanes."""
 
     def __init__(self, lanes: int, ranges: Ranges):
-        self.r = ranges
-        self.t1, self.t2 = np.zeros(lanes << _S1, np.int32), np.zeros(lanes << _S2, np.int32)
-        q = np.arange(64, dtype=np.int32)
-        self.pa, self.pb = np.tile((q >> 3) * 7000 + 1500, lanes), np.tile((q & 7) * 6000 + 1500, lanes)
-        self.counts = np.ones(lanes * ranges.n, np.int32)
-        self.cum = np.zeros((lanes, ranges.n + 1), np.int64)
+        self.r, self.lanes = ranges, lanes
+        self.id1, self.id2 = np.zeros(lanes << _S1, np.uint16), np.zeros(lanes << _S2, np.uint16)
+        self.conf1, self.conf2 = np.zeros(lanes << _S1, np.uint8), np.zeros(lanes << _S2, np.uint8)
+        self.right1, self.seen1, self.right2, self.seen2 = (np.zeros(lanes * _LEVELS) for _ in range(4))
         lane = np.arange(lanes, dtype=np.uint32)
-        self.o1, self.o2, self.oq, self.oc = lane << np.uint32(_S1), lane << np.uint32(_S2), lane << np.uint32(6), (lane * ranges.n).astype(np.int64)
-        self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.step = 0
+        self.o1, self.o2, self.oc = lane << np.uint32(_S1), lane << np.uint32(_S2), lane * np.uint32(_LEVELS)
+        self.counts = np.ones((lanes, ranges.n), np.int64)
+
+    def start(self, renew: bool, inverse: bool) -> None:
+        """Freeze the predictions of an epoch: an id in the high 16 bits, its share in the low ones."""
+        for k, s in ((1, _S1), (2, _S2)):
+            share = (getattr(self, f"right{k}").reshape(-1, _LEVELS) + 6 * _PRIOR) / (getattr(self, f"seen{k}").reshape(-1, _LEVELS) + 6)
+            share = np.clip(share * 65536, 400, 63000).astype(np.uint32)
+            at = getattr(self, f"conf{k}").reshape(self.lanes, -1) + self.oc[:, None]
+            entry = share.ravel().take(at).ravel()
+            entry |= getattr(self, f"id{k}").astype(np.uint32) << np.uint32(16)
+            setattr(self, f"e{k}", entry)
+        if renew:
+            total = self.counts.sum(axis=1, keepdims=True)
+            q = 1 + self.counts * (_UNITS - self.r.n) // total
+            q[np.arange(self.lanes), q.argmax(axis=1)] += _UNITS - q.sum(axis=1)
+            self.cum = np.zeros((self.lanes, self.r.n + 1), np.int64)
+            np.cumsum(q, axis=1, out=self.cum[:, 1:])
+            self.q = q
+            if inverse:
+                self.inv = np.repeat(np.tile(np.arange(self.r.n, dtype=np.uint8), self.lanes), q.ravel())
 
-    def predict(self, n: int) -> None:
-        """Intervals of the first n lanes in units of 2**16: order 2 below f2, order 1 below f12."""
-        if self.step % _EVERY == 0 or self.step in (8, 24):
-            np.cumsum(self.counts.reshape(-1, self.r.n), axis=1, out=self.cum[:, 1:])
-            self.total = (self.cum[:, -1] << 9).astype(_U)
-        self.step += 1
-        a = self.prev1[:n] * _A
-        self.i1 = (a >> _H1) | self.o1[:n]
-        a ^= self.prev2[:n] * _B
+    def slots(self, p1: np.ndarray, p2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = p1 * _A
+        i1 = (a >> _H1) + self.o1
+        a ^= p2 * _B
         a *= _C
-        self.i2 = (a >> _H2) | self.o2[:n]
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.x1, self.x2 = self.e1 >> 3, self.e2 >> 3
-        self.at = (((self.e2 & 7) << 3) | (self.e1 & 7)) + self.oq[:n]
-        self.f2, self.vb = self.pa.take(self.at), self.pb.take(self.at)
-        self.same = self.x1 == self.x2
-        own = (65536 - self.f2) * (self.vb >> 1) >> 15
-        own[self.same] = 0
-        self.f12 = self.f2 + own
+        return i1, (a >> _H2) + self.o2
 
-    def update(self, x: np.ndarray, h2: np.ndarray, h1: np.ndarray) -> None:
-        """Learn the ids x; h2 and h1 tell where order 2 and, if not, order 1 was right."""
-        n = len(x)
-        self.pa[self.at] = self.f2 + ((np.where(h2, 63000, 600) - self.f2) >> 5)
-        step = (np.where(h1, 63000, 600) - self.vb) >> 5
-        step[h2 | self.same] = 0
-        self.pb[self.at] = self.vb + step
-        right1 = h1 | (h2 & self.same)
-        for table, at, e, right in ((self.t1, self.i1, self.e1, right1), (self.t2, self.i2, self.e2, h2)):
-            c = e & 7
-            wrong = np.where(c > 1, e - ((c + 1) >> 1), x << 3)
-            table[at] = np.where(right, e + (c < 7), wrong)
-        self.counts[self.oc[:n] + self.r.of.take(x)] += _INC
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = x
+    def shares(self, i1: np.ndarray, i2: np.ndarray):
+        """(order-2 id, order-1 id, order-2 share, share of both) in units of 2**-16."""
+        e1, e2 = self.e1.take(i1), self.e2.take(i2)
+        x1, x2, f2 = e1 >> np.uint32(16), e2 >> np.uint32(16), e2 & _F
+        f1 = ((_FULL - f2) * (e1 & _F)) >> np.uint32(16)
+        f1 *= x1 != x2
+        f1 += f2
+        return x2, x1, f2, f1
 
+    def learn(self, x: np.ndarray, i1: np.ndarray, i2: np.ndarray) -> None:
+        """Take in an epoch; of several visits to a slot the last one counts."""
+        for k, i in ((1, i1), (2, i2)):
+            ids, conf = getattr(self, f"id{k}"), getattr(self, f"conf{k}")
+            old, c = ids.take(i), conf.take(i)
+            hit = old == x
+            at = (c + self.oc).ravel()
+            getattr(self, f"seen{k}")[:] += np.bincount(at, minlength=self.lanes * _LEVELS)
+            getattr(self, f"right{k}")[:] += np.bincount(at[hit.ravel()], minlength=self.lanes * _LEVELS)
+            keep = hit | (c > 1)
+            ids[i] = np.where(keep, old, x)
+            conf[i] = np.where(hit, np.minimum(c + 1, _LEVELS - 1), c >> 1)
+        at = (self.r.of.take(x) + np.arange(self.lanes) * self.r.n).ravel()
+        self.counts += 24 * np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
 
-def _carry_out(low: np.ndarray, rng: np.ndarray, n: int):
-    """Rounds of (lanes, top words) to shift out, until the first n lanes have a range of 2**48 again."""
-    todo = np.flatnonzero(rng[:n] < _BOT)
+
+def _rounds(low: np.ndarray, rng: np.ndarray):
+    """Rounds of (lanes, top words) to shift out, until every range is 2**48 again."""
+    todo = np.flatnonzero(rng < _BOT)
     while len(todo):
-        a, b = low[todo], rng[todo]
+        a, b = low.take(todo), rng.take(todo)
         top = a >> _TOP
         split = top != (a + b) >> _TOP
         b = np.where(split, (~a + _U(1)) & _LOW, b) << _SIXTEEN
@@ -115,126 +137,120 @@ def _carry_out(low: np.ndarray, rng: np.ndarray, n: int):
         todo = todo[b < _BOT]
 
 
-def _lanes(n_ids: int, block: int) -> np.ndarray:
-    full, rest = divmod(n_ids, block)
-    return np.array([block] * full + [rest] * bool(rest), np.int64)
-
-
-def _encode_group(ids: np.ndarray, sizes: np.ndarray, ranges: Ranges) -> list[bytes]:
-    lanes, steps = len(sizes), int(sizes[0])
-    grid = np.zeros((steps, lanes), np.int32)
-    for k in range(lanes):  # only the last lane can be shorter
-        grid[: sizes[k], k] = ids[k * steps : k * steps + sizes[k]]
+def _encode_group(grid: np.ndarray, ranges: Ranges) -> list[bytes]:
+    """grid: steps x lanes."""
+    steps, lanes = grid.shape
     m = _Model(lanes, ranges)
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out = np.zeros((lanes, 2 * steps + 8), np.uint16)
-    pos = np.zeros(lanes, np.int64)
-    n = lanes
-    for t in range(steps):
-        if t == sizes[-1]:
-            n = lanes - 1
-        x = grid[t, :n]
-        m.predict(n)
-        lo, ra = low[:n], rng[:n]
-        r = ra >> _SIXTEEN
-        h2 = x == m.x2
-        h1 = (x == m.x1) & ~h2
-        start = np.where(h2, 0, m.f2)
-        size = np.where(h2, m.f2, m.f12 - m.f2)
-        lo_new, ra_new = lo + r * start.astype(_U), r * size.astype(_U)
-        miss = np.flatnonzero(~(h2 | h1))
-        if len(miss):
-            f12, xm = m.f12[miss], x[miss]
-            b = ranges.of[xm]
-            left = m.cum[miss, b]
-            f = (m.cum[miss, b + 1] - left) * ranges.scale[b]
-            rm = r[miss]
-            r0 = rm * (65536 - f12).astype(_U) // m.total[miss]
-            lo_new[miss] = lo[miss] + rm * f12.astype(_U) + r0 * ((left << 9) + (xm - ranges.start[b]) * f).astype(_U)
-            ra_new[miss] = r0 * f.astype(_U)
-        m.update(x, h2, h1)
-        low[:n], rng[:n] = lo_new, ra_new
-        for todo, top in _carry_out(low, rng, n):
-            out[todo, pos[todo]] = top
-            pos[todo] += 1
-    for k in range(4):
-        out[np.arange(lanes), pos] = (low >> _TOP).astype(np.uint16)
+    wide = 2 * steps + 8
+    out, line = np.zeros(lanes * wide, np.uint16), np.arange(lanes) * wide
+    pos = line.copy()
+    before = np.zeros((steps + 2, lanes), np.uint32)
+    before[2:] = grid
+    each = np.arange(lanes)
+    for a, b, renew in _epochs(steps):
+        m.start(renew, False)
+        i1, i2 = m.slots(before[a + 1 : b + 1], before[a:b])
+        x = grid[a:b]
+        x2, x1, f2, f12 = m.shares(i1, i2)
+        h2 = x == x2
+        miss = ~(h2 | ((x == x1) & (f12 > f2)))
+        start, size = np.where(h2, 0, f2).astype(_U), np.where(h2, f2, f12 - f2).astype(_U)
+        k = ranges.of.take(x)
+        q = m.q.take(k + each * ranges.n) * ranges.scale.take(k)
+        np.copyto(start, f12, where=miss)
+        left = ((m.cum.take(k + each * (ranges.n + 1)) << 9) + (x - ranges.start.take(k)) * q).astype(_U)
+        left[~miss] = 0
+        q, rest = q.astype(_U), (_FULL - f12).astype(_U)
+        for t in range(b - a):
+            r = rng >> _SIXTEEN
+            low += r * start[t]
+            own = miss[t]
+            r0 = (r * rest[t]) >> _U(20)
+            low += r0 * left[t]
+            rng = np.where(own, r0 * q[t], r * size[t])
+            for todo, top in _rounds(low, rng):
+                at = pos.take(todo)
+                out[at] = top
+                pos[todo] = at + 1
+        m.learn(x, i1, i2)
+    for _ in range(4):
+        out[pos] = low >> _TOP
         low <<= _SIXTEEN
         pos += 1
-    return [out[k, : pos[k]].astype("<u2").tobytes() for k in range(lanes)]
+    return [out[a:b].astype("<u2").tobytes() for a, b in zip(line, pos)]
 
 
-def _decode_group(parts: list[np.ndarray], sizes: np.ndarray, ranges: Ranges) -> np.ndarray:
-    lanes, steps = len(sizes), int(sizes[0])
-    src = np.zeros((lanes, max(len(p) for p in parts) + 4), _U)
+def _decode_group(parts: list[np.ndarray], steps: int, ranges: Ranges) -> np.ndarray:
+    lanes = len(parts)
+    wide = max(len(p) for p in parts) + 4
+    src = np.zeros((lanes, wide), np.uint16)
     for k, p in enumerate(parts):
         src[k, : len(p)] = p
+    src, line = src.ravel(), np.arange(lanes) * wide
     m = _Model(lanes, ranges)
     low, rng, code = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U), np.zeros(lanes, _U)
     for k in range(4):
-        code = (code << _SIXTEEN) | src[:, k].astype(_U)
-    pos = np.full(lanes, 4, np.int64)
-    grid = np.zeros((steps, lanes), np.int32)
-    n = lanes
-    for t in range(steps):
-        if t == sizes[-1]:
-            n = lanes - 1
-        m.predict(n)
-        lo, ra = low[:n], rng[:n]
-        r = ra >> _SIXTEEN
-        value = code[:n] - lo
-        v = np.minimum(value // r, _U(65535)).astype(np.int32)
-        h2 = v < m.f2
-        h1 = (v < m.f12) & ~h2
-        start = np.where(h2, 0, m.f2)
-        size = np.where(h2, m.f2, m.f12 - m.f2)
-        x = np.where(h2, m.x2, m.x1)
-        lo_new, ra_new = lo + r * start.astype(_U), r * size.astype(_U)
-        miss = np.flatnonzero(~(h2 | h1))
-        if len(miss):
-            f12, rm = m.f12[miss].astype(_U), r[miss]
-            total = m.total[miss]
-            r0 = rm * (_U(65536) - f12) // total
-            v0 = np.minimum((value[miss] - rm * f12) // r0, total - _U(1)).astype(np.int64)
-            b = _search(m.cum, miss, v0 >> 9, ranges.n)
-            left = m.cum[miss, b]
-            f = (m.cum[miss, b + 1] - left) * ranges.scale[b]
-            own = (v0 - (left << 9)) // f
-            x[miss] = ranges.start[b] + own
-            lo_new[miss] = lo[miss] + rm * f12 + r0 * ((left << 9) + own * f).astype(_U)
-            ra_new[miss] = r0 * f.astype(_U)
-        grid[t, :n] = x
-        m.update(x, h2, h1)
-        low[:n], rng[:n] = lo_new, ra_new
-        for todo, _ in _carry_out(low, rng, n):
-            code[todo] = (code[todo] << _SIXTEEN) | src[todo, pos[todo]]
-            pos[todo] += 1
-    return np.concatenate([grid[: sizes[k], k] for k in range(lanes)])
-
-
-def _search(cum: np.ndarray, rows: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """For each row the last column whose running sum is at most v."""
-    flat, base = cum.ravel(), rows * cum.shape[1]
-    at = np.zeros(len(rows), np.int64)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        go = at + step
-        ok = go < n
-        at = np.where(ok & (flat[base + np.minimum(go, n)] <= v), go, at)
-        step >>= 1
-    return at
+        code = (code << _SIXTEEN) | src[line + k]
+    pos = line + 4
+    grid = np.zeros((steps, lanes), np.uint32)
+    p1, p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    units, width = (np.arange(lanes) * _UNITS), ranges.n + 1
+    for a, b, renew in _epochs(steps):
+        m.start(renew, True)
+        i1, i2 = np.zeros((b - a, lanes), np.uint32), np.zeros((b - a, lanes), np.uint32)
+        cum, q = m.cum.ravel(), m.q.ravel()
+        for t in range(b - a):
+            i1[t], i2[t] = m.slots(p1, p2)
+            x2, x1, f2, f12 = m.shares(i1[t], i2[t])
+            r = rng >> _SIXTEEN
+            value = code - low
+            v = np.minimum(value // r, _U(65535)).astype(np.uint32)
+            h2 = v < f2
+            x = np.where(h2, x2, x1)
+            start, size = np.where(h2, np.uint32(0), f2), np.where(h2, f2, f12 - f2)
+            own = np.flatnonzero(v >= f12)
+            f = f12.take(own).astype(_U)
+            low += r * start
+            rng = r * size
+            ro = r.take(own)
+            at = ro * f
+            r0 = (ro * (_U(65536) - f)) >> _U(20)
+            v0 = np.minimum((value.take(own) - at) // r0, _U((1 << 20) - 1)).astype(np.int64)
+            k = m.inv.take(units.take(own) + (v0 >> 9))
+            left = cum.take(own * width + k) << 9
+            share = q.take(own * ranges.n + k) * ranges.scale.take(k)
+            n = (v0 - left) // share
+            x[own] = ranges.start.take(k) + n
+            low[own] += at - ro * start.take(own) + r0 * (left + n * share).astype(_U)
+            rng[own] = r0 * share.astype(_U)
+            grid[a + t] = x
+            p1, p2 = x, p1
+            for todo, _ in _rounds(low, rng):
+                i = pos.take(todo)
+                code[todo] = (code.take(todo) << _SIXTEEN) | src.take(i, mode="clip")
+                pos[todo] = i + 1
+        m.learn(grid[a:b], i1, i2)
+    return grid
 
 
 def encode(ids: np.ndarray, vocab: int, block: int = BLOCK, lanes: int = LANES) -> bytes:
-    """A self-contained stream: header, then blocks, each with its own checksum."""
-    sizes, ranges = _lanes(len(ids), block), Ranges(vocab)
-    out = [_HEAD.pack(MAGIC, VERSION, block, vocab, len(sizes), len(ids))]
-    for a in range(0, len(sizes), lanes):
-        own, base = sizes[a : a + lanes], a * block
-        part = ids[base : base + int(own.sum())]
-        for k, data in enumerate(_encode_group(part, own, ranges)):
-            crc = zlib.crc32(part[k * block : k * block + own[k]].astype("<u4").tobytes())
-            out += [_BLOCK_HEAD.pack(int(own[k]), len(data) // 2, crc), data]
+    """A self-contained stream: header, then blocks, each with its own checksum.
+
+    The last block of several is filled up with zeros, which cost next to nothing.
+    """
+    ids, ranges = np.asarray(ids, np.uint32), Ranges(vocab)
+    n_blocks = -(-len(ids) // block)
+    steps = min(block, len(ids))
+    out = [_HEAD.pack(MAGIC, VERSION, block, vocab, n_blocks, len(ids))]
+    for a in range(0, n_blocks, lanes):
+        part = ids[a * block : (a + lanes) * block]
+        n = -(-len(part) // block)
+        grid = np.zeros(n * steps, np.uint32)
+        grid[: len(part)] = part
+        for k, data in enumerate(_encode_group(np.ascontiguousarray(grid.reshape(n, steps).T), ranges)):
+            own = part[k * block : (k + 1) * block]
+            out += [_BLOCK_HEAD.pack(len(own), len(data) // 2, zlib.crc32(own.astype("<u4").tobytes())), data]
     return b"".join(out)
 
 
@@ -243,23 +259,20 @@ def decode(data: bytes, lanes: int = LANES) -> np.ndarray:
     magic, version, block, vocab, n_blocks, n_ids = _HEAD.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token-id stream")
-    ranges, at, out = Ranges(vocab), _HEAD.size, []
-    group: list[tuple] = []
-    for k in range(n_blocks):
+    ranges, at, out, heads = Ranges(vocab), _HEAD.size, [], []
+    for _ in range(n_blocks):
         size, words, crc = _BLOCK_HEAD.unpack_from(data, at)
         at += _BLOCK_HEAD.size
-        group.append((size, np.frombuffer(data, "<u2", words, at), crc))
+        heads.append((size, crc, np.frombuffer(data, "<u2", words, at)))
         at += 2 * words
-        if len(group) == lanes or k == n_blocks - 1:
-            sizes = np.array([g[0] for g in group], np.int64)
-            ids = _decode_group([g[1] for g in group], sizes, ranges)
-            ends = np.cumsum(sizes)
-            for (size, _, crc), e in zip(group, ends):
-                if zlib.crc32(ids[e - size : e].astype("<u4").tobytes()) != crc:
-                    raise ValueError("a block does not match its checksum")
-            out.append(ids)
-            group = []
-    ids = np.concatenate(out) if out else np.zeros(0, np.int64)
+    for a in range(0, n_blocks, lanes):
+        own = heads[a : a + lanes]
+        got = np.ascontiguousarray(_decode_group([h[2] for h in own], min(block, n_ids), ranges).T)
+        for ids, (size, crc, _) in zip(got, own):
+            if zlib.crc32(ids[:size].astype("<u4").tobytes()) != crc:
+                raise ValueError("a block does not match its checksum")
+            out.append(ids[:size])
+    ids = np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
     if len(ids) != n_ids:
         raise ValueError("the stream is cut short")
     return ids

@@ -217,13 +217,23 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 class HashTable:
     """Vectorised open-addressing map from 64-bit keys to their positions; -1 if absent."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.asarray(keys, _U)
-        bits = max(4, int(np.ceil(np.log2(max(1, 2 * len(self.keys))))))
+    def __init__(self, keys: np.ndarray, room: int = 0):
+        """room: keys to leave place for."""
+        bits = max(4, int(np.ceil(np.log2(max(1, 2 * len(keys), 2 * room)))))
         self.mask, self.shift = (1 << bits) - 1, _U(64 - bits)
         self.slots = np.full(1 << bits, -1, np.int32)
-        todo = np.arange(len(self.keys), dtype=np.int32)
-        at = (self.keys >> self.shift).astype(np.int64)
+        self.keys = np.zeros(0, _U)
+        self.extend(np.asarray(keys, _U))
+
+    def extend(self, keys: np.ndarray) -> None:
+        """Take `keys`, which begin with the keys held so far and may go on with new ones."""
+        old = len(self.keys)
+        if 2 * len(keys) > len(self.slots):
+            self.__init__(keys, len(keys))
+            return
+        self.keys = keys
+        todo = np.arange(old, len(keys), dtype=np.int32)
+        at = (keys[old:] >> self.shift).astype(np.int64)
         while len(todo):
             free = self.slots[at] < 0
             self.slots[at[free]] = todo[free]

@@ -37,8 +37,8 @@ from .common import bound_batches, materialize, partitions
 
 END_ID = 2
 SHARD_IDS = 1 << 22
-RUN_BYTES = 4 << 20
-CACHE = 1 << 19
+RUN_BYTES = 2 << 20
+CACHE = 3 << 19
 _INDEX = struct.Struct("<4sQ")
 _INDEX_MAGIC = b"TSHD"
 _U = np.uint64
@@ -64,34 +64,35 @@ class ChunkTokenizer:
         mark = self.tok.id_to_token(at(" x")[0])[0]
         self.opens = np.zeros(self.vocab, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith(mark)]] = True
-        self.keys, self.ends, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.table = K.HashTable(self.keys)
+        self._forget()
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, chunks: list[bytes], breaks: bool) -> tuple[np.ndarray, np.ndarray] | None:
-        """(ids, ids in each chunk) of simple chunks that all begin with a space, or all with a line break."""
-        if not chunks:
+    def _joined(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, breaks: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, ids in each chunk) of simple chunks data[a:b] that all begin with a space, or all with a line break."""
+        if not len(a):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        groups = [b"".join(chunks[i : i + 4096]).decode() for i in range(0, len(chunks), 4096)]
+        n = b - a
+        stop = np.cumsum(n)
+        flat = data[np.arange(stop[-1]) + np.repeat(a - stop + n, n)]
+        cut = np.concatenate([[0], stop[4095::4096], stop[-1:]])
+        groups = [flat[x:y].tobytes().decode() for x, y in zip(cut[:-1], cut[1:]) if y > x]
         ids = np.concatenate([np.array(x, np.int32) for x in self._batch(groups)])
         first = np.flatnonzero(ids == self.line if breaks else self.opens[ids])
-        if len(first) != len(chunks) or first[0]:
+        if len(first) != len(a) or first[0]:
             return None
         return ids, np.diff(np.concatenate([first, [len(ids)]]))
 
-    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        if len(self.keys) > CACHE:
-            self.keys, self.ends, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        order: list[np.ndarray] = []
-        parts, sizes = [], []
-        simple = np.array([len(c) > 1 and len(c.split()) == 1 and c[-1] not in b" \t\n\r\x0b\x0c" and c[0] in b" \n" and c[1] not in b" \t\n\r\x0b\x0c" for c in chunks], bool)
-        lead = np.array([c[0] if c else 0 for c in chunks], np.uint8)
-        rest = [np.flatnonzero(~simple)]
+    def _learn(self, keys: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        space = np.concatenate([[0], np.cumsum(K.SPACE[data], dtype=np.int64)])
+        lead = data[a]
+        simple = (b - a > 1) & (space[b] - space[a] == 1)
+        order, parts, sizes = [], [], []
+        rest = [np.flatnonzero(~(simple & ((lead == _SPACE) | (lead == _BREAK))))]
         for byte in (_SPACE, _BREAK):
             own = np.flatnonzero(simple & (lead == byte))
-            got = self._joined([chunks[i] for i in own], byte == _BREAK)
+            got = self._joined(data, a[own], b[own], byte == _BREAK)
             if got is None:
                 rest.append(own)
                 continue
@@ -100,15 +101,20 @@ class ChunkTokenizer:
             sizes.append(got[1])
         own = np.concatenate(rest)
         if len(own):
-            each = self._batch([chunks[i].decode() for i in own])
+            each = self._batch([data[x:y].tobytes().decode() for x, y in zip(a[own], b[own])])
             order.append(own)
             parts.append(np.array([x for e in each for x in e], np.int32))
             sizes.append(np.array([len(e) for e in each], np.int64))
         at = np.concatenate(order)
+        last = self.ends[-1] if len(self.ends) else 0
         self.keys = np.concatenate([self.keys, keys[at]])
         self.ids = np.concatenate([self.ids, *parts])
-        self.ends = np.concatenate([self.ends, np.cumsum(np.concatenate(sizes)) + (self.ends[-1] if len(self.ends) else 0)])
-        self.table = K.HashTable(self.keys)
+        self.ends = np.concatenate([self.ends, np.cumsum(np.concatenate(sizes)) + last])
+        self.table.extend(self.keys)
+
+    def _forget(self) -> None:
+        self.keys, self.ends, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.table = K.HashTable(self.keys, room=CACHE)
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text), without an end id."""
@@ -129,15 +135,13 @@ class ChunkTokenizer:
         got = self.table.find(key)
         new = np.flatnonzero(got < 0)
         if len(new):
-            known = len(self.keys)
             k, i = np.unique(key[new], return_index=True)
-            raw = data.tobytes()
-            if known + len(k) > CACHE and known:
-                k, i = np.unique(key, return_index=True)
+            if len(self.keys) + len(k) > CACHE and len(self.keys):
+                self._forget()
                 new = np.arange(len(key))
-                self.keys, self.ends, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+                k, i = np.unique(key, return_index=True)
             i = new[i]
-            self._learn(k, [raw[x:y] for x, y in zip(a[i].tolist(), b[i].tolist())])
+            self._learn(k, data, a[i], b[i])
             got = self.table.find(key)
         ends = self.ends[got]
         starts = np.where(got > 0, self.ends[np.maximum(got - 1, 0)], 0)
