@@ -49,6 +49,9 @@ class NDArray:
         self.shape, self.dtype = tuple(shape), dtype
         self.session = session or (base.df.sparkSession if base.df is not None else None)
         self.origin: Reduced | None = None
+        # value and err as functions of a stored element, while every step since a stored array was elementwise
+        self.lift: Callable[[Column], tuple[Column, Column | None]] | None = None
+        self.untouched = False  # exactly a stored array
 
     # metadata: no job runs
 
@@ -95,6 +98,13 @@ class NDArray:
         own = {"base": self.base, "coords": self.coords, "value": self.value, "shape": self.shape, "dtype": self.dtype, "err": self.err, "session": self.session} | kw
         return NDArray(**own)
 
+    def mapped(self, f: Callable[[Column], Column], dtype: DType) -> "NDArray":
+        """A function of the value alone."""
+        out = self.replace(value=f(self.value), dtype=dtype)
+        if (lift := self.lift) is not None:
+            out.lift = lambda v: (f((own := lift(v))[0]), own[1])
+        return out
+
     def spread(self, dims: tuple[int, ...] | None = None) -> "NDArray":
         """Carry out the broadcast of WIDE dimensions (all, or those given), so that every position has a row."""
         own = [d for d in (range(self.ndim) if dims is None else dims) if self.coords[d].col is None]

@@ -11,6 +11,7 @@ from ..functions import kernels as K
 from ..plans import dtypes as D
 from ..plans import shapes as S
 from ..plans.dtypes import DType
+from ..plans.layout import CONSTANT, Base
 from .array import NDArray, asarray, combine, scalar
 
 
@@ -65,7 +66,25 @@ def apply(xs: list, types: tuple[DType, ...], kernel) -> NDArray:
     shape = S.broadcast([a.shape for a in arrays])
     base, coords, cols = combine(arrays, shape)
     value, t, err = kernel(*[c for c, _ in cols])
-    return NDArray(base, coords, value, shape, t, _or(err, *[e for _, e in cols]), session)
+    out = NDArray(base, coords, value, shape, t, _or(err, *[e for _, e in cols]), session)
+    out.lift = _lifted(arrays, base, coords, shape, kernel)
+    return out
+
+
+def _lifted(arrays: list[NDArray], base: Base, coords: list, shape: tuple[int, ...], kernel):
+    """The result as a function of a stored element, if all operands are that or constants, position for position."""
+    st = base.stored
+    if st is None or st.region or shape != st.shape or [c.key for c in coords] != [("stored", d) for d in range(len(shape))]:
+        return None
+    if any(a.base is not CONSTANT and (a.lift is None or a.base.key != base.key or a.shape != shape) for a in arrays):
+        return None
+
+    def lift(v: Column):
+        own = [(a.value, a.err) if a.base is CONSTANT else a.lift(v) for a in arrays]
+        value, _, err = kernel(*[x for x, _ in own])
+        return value, _or(err, *[e for _, e in own])
+
+    return lift
 
 
 def _unary(name: str, kernel, table: list, kind: str):
@@ -269,7 +288,7 @@ def cast(array, dtype) -> NDArray:
     a, t = asarray(array), D.dtype(dtype)
     if a.dtype == t:
         return a
-    return a.replace(value=casts.cast(a.value, a.dtype, t), dtype=t)
+    return a.mapped(lambda v: casts.cast(v, a.dtype, t), t)
 
 
 def real(array) -> NDArray:
@@ -278,14 +297,14 @@ def real(array) -> NDArray:
         if a.dtype.rank == D.OTHER:
             raise TypeError(f"real of {a.dtype}")
         return a
-    return a.replace(value=a.value["re"], dtype=D.f32 if a.dtype == D.c64 else D.f64)
+    return a.mapped(lambda v: v["re"], D.f32 if a.dtype == D.c64 else D.f64)
 
 
 def imag(array) -> NDArray:
     a = asarray(array)
     if a.dtype.rank != D.COMPLEX:
         raise TypeError(f"imag of {a.dtype}")
-    return a.replace(value=a.value["im"], dtype=D.f32 if a.dtype == D.c64 else D.f64)
+    return a.mapped(lambda v: v["im"], D.f32 if a.dtype == D.c64 else D.f64)
 
 
 def dtype_sub_field(array, name: str) -> NDArray:
@@ -296,7 +315,7 @@ def dtype_sub_field(array, name: str) -> NDArray:
     of = dict(a.dtype.fields)
     if name not in of:
         raise ValueError(f"{a.dtype} has no field {name!r}")
-    return a.replace(value=a.value.getField(name), dtype=of[name])
+    return a.mapped(lambda v: v.getField(name), of[name])
 
 
 def transmute(array, dtype) -> NDArray:

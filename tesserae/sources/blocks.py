@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ARITHMETIC, translated
 from ..operators.array import NDArray, asarray
 from ..plans import dtypes as D
 from ..plans import shapes as S
@@ -64,7 +65,19 @@ def choose_block_shape(shape: tuple[int, ...], dtype: DType, params: dict, prefe
 
 
 def to_blocks(a: NDArray, block: tuple[int, ...]) -> DataFrame:
-    """Gather cells into blocks; a block bounds what a task holds."""
+    """Gather cells into blocks; a block bounds what a task holds.
+
+    Elementwise work on a stored array of the same block shape is done inside the
+    blocks, with no shuffle.
+    """
+    st = a.base.stored
+    if a.lift is not None and st is not None and st.block == block:
+
+        def element(v):
+            value, err = a.lift(v)
+            return value if err is None else F.when(err, F.raise_error(F.lit(ARITHMETIC)).cast(a.dtype.spark)).otherwise(value)
+
+        return st.blocks.select(*[f"b{d}" for d in range(a.ndim)], F.transform("vals", element).alias("vals"))
     df = a.cells()
     bs = [F.call_function("div", F.col(f"d{d}"), F.lit(b).cast("bigint")).alias(f"b{d}") for d, b in enumerate(block)]
     off = F.lit(0).cast("bigint")
@@ -112,7 +125,10 @@ class Stored:
 
     def array(self) -> NDArray:
         coords = [Coord(F.col(f"d{d}"), ("stored", d)) for d in range(len(self.shape))]
-        return NDArray(self.base(), coords, F.col("v"), self.shape, self.dtype)
+        out = NDArray(self.base(), coords, F.col("v"), self.shape, self.dtype)
+        out.lift = lambda v: (v, None)
+        out.untouched = True
+        return out
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -133,14 +149,15 @@ def write_array(array, path: str, *, append: bool = False, name: str = "array",
         raise FileExistsError(path)
     if _exists(spark, f"{path}/{name}"):
         raise FileExistsError(f"{path}/{name}")
-    same = a.base.stored if is_stored(a) else None
+    same = a.base.stored if is_stored(a) or a.lift is not None else None
     block = choose_block_shape(a.shape, a.dtype, params, same.block if same else None)
-    blocks = same.blocks if same and same.block == block else to_blocks(a, block)
+    blocks = same.blocks if is_stored(a) and same.block == block else to_blocks(a, block)
     keys = [f"b{d}" for d in range(a.ndim)]
     if keys:
         blocks = blocks.repartitionByRange(*keys).sortWithinPartitions(*keys)
     level = {"parquet.compression.codec.zstd.level": str(params["compression_level"])} if "compression_level" in params else {}
-    blocks.write.options(compression="zstd", **level).mode("errorifexists").parquet(f"{path}/{name}/blocks")
+    with translated():
+        blocks.write.options(compression="zstd", **level).mode("errorifexists").parquet(f"{path}/{name}/blocks")
     about = {"shape": list(a.shape), "block": list(block), "dtype": _describe(a.dtype)}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/{name}/about")
 
@@ -184,8 +201,7 @@ def read_array(path: str, *, name: str = "array", validation: str = "minimal", p
 
 def is_stored(a: NDArray) -> bool:
     """Whether an array is an unmodified stored one."""
-    st = a.base.stored
-    return st is not None and not st.region and a.shape == st.shape and [c.key for c in a.coords] == [("stored", d) for d in range(a.ndim)] and a.dtype == st.dtype and a.err is None and str(a.value._jc if hasattr(a.value, "_jc") else a.value) == str(F.col("v")._jc if hasattr(a.value, "_jc") else F.col("v"))
+    return a.base.stored is not None and a.untouched
 
 
 def compact(array, *, dtype=None, params: dict | None = None, session: SparkSession | None = None) -> NDArray:

@@ -80,3 +80,18 @@ def test_strict_validation_finds_missing_blocks(spark, tmp_path):
     shutil.move(f"{p}/part", f"{p}/array/blocks")
     with pytest.raises(RuntimeError):
         ts.read_array(p, validation="strict")
+
+
+def test_elementwise_work_stays_inside_the_blocks(path):
+    from tesserae.sources.blocks import to_blocks
+
+    a = ts.read_array(path)
+    b = ts.where(a > 5, ts.exp(a / 100) * 2 + 1, a.cast("f8"))
+    plan = to_blocks(b, (4, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert "Generate" not in plan
+    want = np.where(X > 5, np.exp(X / np.float32(100)) * np.float32(2) + np.float32(1), X.astype("f8"))
+    np.testing.assert_allclose(b.compact().numpy(), want, rtol=1e-5)
+    np.testing.assert_allclose((b.T + 0).compact().numpy(), want.T, rtol=1e-5)
+    with pytest.raises(ArithmeticError):
+        (ts.cast(a, "int32") // (ts.cast(a, "int32") - 7)).compact().numpy()
