@@ -26,14 +26,15 @@ import numpy as np
 MAGIC = b"TSID"
 VERSION = 1
 BLOCK = 4096
-LANES = 1024
+LANES = 2048
 _U = np.uint64
-_S1, _S2 = 9, 10  # log2 of the slots of orders 1 and 2
+_S1, _S2 = 8, 9  # log2 of the slots of orders 1 and 2
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x27D4EB2F)
 _H1, _H2 = np.uint32(32 - _S1), np.uint32(32 - _S2)
 _TOP, _LOW, _BOT, _SIXTEEN = _U(48), _U((1 << 48) - 1), _U(1 << 48), _U(16)
 _FULL, _F = np.uint32(65536), np.uint32(65535)
 _UNITS = 2048  # order 0 divides its interval into so many parts, each into 512
+_SHIFT = _U(20)  # log2 of 512 * _UNITS
 _LEVELS = 8
 _PRIOR = np.linspace(0.04, 0.9, _LEVELS)
 _HEAD = struct.Struct("<4sHHIIQ")  # magic, version, block size, vocabulary, blocks, ids
@@ -47,9 +48,9 @@ class Ranges:
         if vocab > 1 << 16:
             raise ValueError("ids have at most 16 bits")
         starts = [*range(0, 256, 4), *range(256, 1024, 16), *range(1024, 4096, 64), *range(4096, max(vocab, 4097), 512)]
-        self.start = np.array(starts, np.int64)
+        self.start = np.array(starts, np.int32)
         self.width = np.where(self.start < 256, 4, np.where(self.start < 1024, 16, np.where(self.start < 4096, 64, 512)))
-        self.scale = 512 // self.width
+        self.scale = (512 // self.width).astype(np.int32)
         self.of = np.repeat(np.arange(len(starts)), self.width)
         self.n = len(starts)
 
@@ -86,9 +87,8 @@ class _Model:
             total = self.counts.sum(axis=1, keepdims=True)
             q = 1 + self.counts * (_UNITS - self.r.n) // total
             q[np.arange(self.lanes), q.argmax(axis=1)] += _UNITS - q.sum(axis=1)
-            self.cum = np.zeros((self.lanes, self.r.n + 1), np.int64)
+            self.cum = np.zeros((self.lanes, self.r.n + 1), np.int32)
             np.cumsum(q, axis=1, out=self.cum[:, 1:])
-            self.q = q
             if inverse:
                 self.inv = np.repeat(np.tile(np.arange(self.r.n, dtype=np.uint8), self.lanes), q.ravel())
 
@@ -142,9 +142,8 @@ def _encode_group(grid: np.ndarray, ranges: Ranges) -> list[bytes]:
     steps, lanes = grid.shape
     m = _Model(lanes, ranges)
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    wide = 2 * steps + 8
-    out, line = np.zeros(lanes * wide, np.uint16), np.arange(lanes) * wide
-    pos = line.copy()
+    # words of the same place of all lanes lie together, so that a step touches few pages
+    out, pos = np.zeros((2 * steps + 8) * lanes, np.uint16), np.arange(lanes)
     before = np.zeros((steps + 2, lanes), np.uint32)
     before[2:] = grid
     each = np.arange(lanes)
@@ -157,49 +156,52 @@ def _encode_group(grid: np.ndarray, ranges: Ranges) -> list[bytes]:
         miss = ~(h2 | ((x == x1) & (f12 > f2)))
         start, size = np.where(h2, 0, f2).astype(_U), np.where(h2, f2, f12 - f2).astype(_U)
         k = ranges.of.take(x)
-        q = m.q.take(k + each * ranges.n) * ranges.scale.take(k)
+        at = k + each * (ranges.n + 1)
+        left = m.cum.take(at)
+        q = (m.cum.take(at + 1) - left) * ranges.scale.take(k)
         np.copyto(start, f12, where=miss)
-        left = ((m.cum.take(k + each * (ranges.n + 1)) << 9) + (x - ranges.start.take(k)) * q).astype(_U)
+        left = ((left << 9) + (x - ranges.start.take(k)) * q).astype(_U)
         left[~miss] = 0
         q, rest = q.astype(_U), (_FULL - f12).astype(_U)
         for t in range(b - a):
             r = rng >> _SIXTEEN
             low += r * start[t]
             own = miss[t]
-            r0 = (r * rest[t]) >> _U(20)
+            r0 = (r * rest[t]) >> _SHIFT
             low += r0 * left[t]
             rng = np.where(own, r0 * q[t], r * size[t])
             for todo, top in _rounds(low, rng):
                 at = pos.take(todo)
                 out[at] = top
-                pos[todo] = at + 1
+                pos[todo] = at + lanes
         m.learn(x, i1, i2)
     for _ in range(4):
         out[pos] = low >> _TOP
         low <<= _SIXTEEN
-        pos += 1
-    return [out[a:b].astype("<u2").tobytes() for a, b in zip(line, pos)]
+        pos += lanes
+    used = (pos - each) // lanes
+    own = np.ascontiguousarray(out.reshape(-1, lanes)[: used.max()].T)
+    return [own[k, :n].astype("<u2").tobytes() for k, n in enumerate(used)]
 
 
 def _decode_group(parts: list[np.ndarray], steps: int, ranges: Ranges) -> np.ndarray:
     lanes = len(parts)
-    wide = max(len(p) for p in parts) + 4
-    src = np.zeros((lanes, wide), np.uint16)
+    src = np.zeros((lanes, max(len(p) for p in parts) + 4), np.uint16)
     for k, p in enumerate(parts):
         src[k, : len(p)] = p
-    src, line = src.ravel(), np.arange(lanes) * wide
+    src, each = np.ascontiguousarray(src.T).ravel(), np.arange(lanes)
     m = _Model(lanes, ranges)
     low, rng, code = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U), np.zeros(lanes, _U)
     for k in range(4):
-        code = (code << _SIXTEEN) | src[line + k]
-    pos = line + 4
+        code = (code << _SIXTEEN) | src[k * lanes : (k + 1) * lanes]
+    pos = 4 * lanes + each
     grid = np.zeros((steps, lanes), np.uint32)
     p1, p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     units, width = (np.arange(lanes) * _UNITS), ranges.n + 1
     for a, b, renew in _epochs(steps):
         m.start(renew, True)
         i1, i2 = np.zeros((b - a, lanes), np.uint32), np.zeros((b - a, lanes), np.uint32)
-        cum, q = m.cum.ravel(), m.q.ravel()
+        cum = m.cum.ravel()
         for t in range(b - a):
             i1[t], i2[t] = m.slots(p1, p2)
             x2, x1, f2, f12 = m.shares(i1[t], i2[t])
@@ -215,11 +217,13 @@ def _decode_group(parts: list[np.ndarray], steps: int, ranges: Ranges) -> np.nda
             rng = r * size
             ro = r.take(own)
             at = ro * f
-            r0 = (ro * (_U(65536) - f)) >> _U(20)
-            v0 = np.minimum((value.take(own) - at) // r0, _U((1 << 20) - 1)).astype(np.int64)
+            r0 = (ro * (_U(65536) - f)) >> _SHIFT
+            v0 = np.minimum((value.take(own) - at) // r0, _U(512 * _UNITS - 1)).astype(np.int32)
             k = m.inv.take(units.take(own) + (v0 >> 9))
-            left = cum.take(own * width + k) << 9
-            share = q.take(own * ranges.n + k) * ranges.scale.take(k)
+            i = own * width + k
+            left = cum.take(i)
+            share = (cum.take(i + 1) - left) * ranges.scale.take(k)
+            left = left << 9
             n = (v0 - left) // share
             x[own] = ranges.start.take(k) + n
             low[own] += at - ro * start.take(own) + r0 * (left + n * share).astype(_U)
@@ -229,7 +233,7 @@ def _decode_group(parts: list[np.ndarray], steps: int, ranges: Ranges) -> np.nda
             for todo, _ in _rounds(low, rng):
                 i = pos.take(todo)
                 code[todo] = (code.take(todo) << _SIXTEEN) | src.take(i, mode="clip")
-                pos[todo] = i + 1
+                pos[todo] = i + lanes
         m.learn(grid[a:b], i1, i2)
     return grid
 

@@ -36,7 +36,7 @@ from . import textkit as K
 from .common import bound_batches, materialize, partitions
 
 END_ID = 2
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 23
 RUN_BYTES = 2 << 20
 CACHE = 3 << 19
 _INDEX = struct.Struct("<4sQ")
