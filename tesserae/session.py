@@ -13,5 +13,6 @@ def engine_session(spark: SparkSession | None = None) -> SparkSession:
     own = spark.newSession()
     own.conf.set("spark.sql.ansi.enabled", "false")
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.enabled"):
-        own.conf.set(key, spark.conf.get(key))
+        if (value := spark.conf.get(key, None)) is not None:
+            own.conf.set(key, value)
     return own
