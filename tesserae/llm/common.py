@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .textkit import WORD
 
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+_OWN: dict[str, str] = {}
 _CREATED: list[tuple[SparkSession, str]] = []
 
 
@@ -26,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only where it is unset (a local session) one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _OWN.get(app) or _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='tesserae-')}")
     return base
 
 

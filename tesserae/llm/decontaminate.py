@@ -135,7 +135,7 @@ class Index:
         ok = at < len(it.shingles)
         ok[ok] = it.shingles[at[ok]] == u[ok]
         both = float((wu[ok] * np.minimum(c[ok], it.counts[at[ok]])).sum())
-        return both / (float((wu * c).sum()) + it.total - both)
+        return round(both / (float((wu * c).sum()) + it.total - both), 9)  # equal windows compare equal however they sum
 
     def search(self, arr: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window of every pair that reaches the threshold."""

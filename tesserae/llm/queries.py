@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, pii_crf, quality_rules, secret_scan, simhash, source_mix, substring_dedup, suffix_tree_lm, token_output
 from .common import table
@@ -18,7 +19,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    got = quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.withColumn("rejected_by", F.array_join("rejected_by", ","))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
