@@ -107,6 +107,19 @@ def test_near_duplicates(docs):
     assert set(range(40)) | {44, 45, 47} | set(range(50, 56)) <= kept
 
 
+def test_near_duplicates_with_passages_changed(frame):
+    """Copies with a passage appended, cut or replaced, similar by 0.89 to 0.97, are all found."""
+    rows, copies = [], []
+    for i in range(60):
+        w, x = prose(20_000 + i, 260).split(), prose(30_000 + i, 60).split()
+        k = (8, 12, 20)[i // 3 % 3]
+        out = (w + x[:k], w[:100] + w[100 + k :], w[:100] + x[: k // 2] + w[100 + k // 2 :])[i % 3]
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(out))]
+        copies.append(1000 + i)
+    kept = {r["doc_id"] for r in near_dedup.drop_near_duplicates(frame(rows).repartition(3)).collect()}
+    assert kept == set(range(60))
+
+
 def test_substring(docs, corpus):
     got = {r["doc_id"]: r for r in substring_dedup.dedup_passages(docs).collect()}
     count = collections.Counter(tuple(w[k : k + 35]) for _, t in corpus for w in [words(t)] for k in range(len(w) - 34))
