@@ -120,6 +120,20 @@ def test_near_duplicates_with_passages_changed(frame):
     assert kept == set(range(60))
 
 
+def test_near_duplicates_are_decided_exactly(frame):
+    """Pairs just below and above 0.8, and texts with a line repeated, go by the similarity of the shingle sets."""
+    rows, gone = [], set()
+    for i in range(60):
+        w, x = prose(40_000 + i, 204).split(), prose(50_000 + i, 70).split()
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(w + x[: 38 + 2 * (i % 12)]))]
+        if 200 / (200 + 38 + 2 * (i % 12)) >= 0.8:
+            gone.add(1000 + i)
+    line = prose(60_000, 30)
+    rows += [(2000 + i, (line + "\n") * 60 + prose(60_001 + i, 200)) for i in range(6)]  # much alike by counts only
+    kept = {r["doc_id"] for r in near_dedup.drop_near_duplicates(frame(rows).repartition(3)).collect()}
+    assert {i for i, _ in rows} - kept == gone
+
+
 def test_substring(docs, corpus):
     got = {r["doc_id"]: r for r in substring_dedup.dedup_passages(docs).collect()}
     count = collections.Counter(tuple(w[k : k + 35]) for _, t in corpus for w in [words(t)] for k in range(len(w) - 34))
