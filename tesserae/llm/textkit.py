@@ -8,6 +8,7 @@ scanned whole, in blocks that bound the working memory.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,11 @@ import pyarrow.compute as pc
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
+LONG_WORD = 256
 _U = np.uint64
 _MASK = (1 << 64) - 1
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
+_M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -34,7 +36,7 @@ def splitmix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-_BYTE = np.array([splitmix(i + 1) | 1 for i in range(256)], _U)
+_SEED = np.array([splitmix(i + 1) for i in range(8)], _U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,27 +46,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-class _Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, grown on demand."""
+def join(a: np.ndarray, b: np.ndarray, seed=_U(0)) -> np.ndarray:
+    """Hash of a pair of hashes: one to one in either of them, and mixed, so that chains of it have no algebra of their own."""
+    return mix(a * _M1 + b + seed)
 
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, _U), np.ones(1, _U)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up), 1 << 16)
-            inv = pow(self.base, -1, 1 << 64)
-            out = []
-            for b in (self.base, inv):
-                a = np.full(size, b, _U)
-                a[0] = 1
-                out.append(np.multiply.accumulate(a))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings data[starts:ends].
 
-
-_POW = _Powers(_P)
-_ROLL = (_Powers(0xC2B2AE3D27D4EB4F | 1), _Powers(0x165667B19E3779F9 | 1))
+    Strings are taken eight bytes at a time, so strings of one length up to eight
+    bytes never collide; those beyond LONG_WORD bytes are hashed by BLAKE2b.
+    """
+    n = ends - starts
+    whole = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", buffer=whole, strides=(1,))
+    h = mix((eight[starts] & _KEEP[np.minimum(n, 8)]) ^ (n.astype(_U) * _M2))
+    todo, at = np.flatnonzero(n > 8), 8
+    while len(todo) and at < LONG_WORD:
+        h[todo] = join(h[todo], eight[starts[todo] + at] & _KEEP[np.minimum(n[todo] - at, 8)])
+        at += 8
+        todo = todo[n[todo] > at]
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def strings(arr) -> pa.Array:
@@ -168,35 +172,25 @@ def _scan(data: np.ndarray, doc: np.ndarray, hashed: bool, space: np.ndarray):
     stop[-1] = True
     stop[:-1] = ~word[1:] | doc[1:]
     ends = np.flatnonzero(word & stop) + 1
-    if not hashed:
-        return starts, ends, None
-    up, down = _POW.get(len(data) + 1)
-    c = np.empty(len(data) + 1, _U)
-    c[0] = 0
-    np.cumsum(_BYTE[data] * up[:-1], out=c[1:])
-    return starts, ends, mix((c[ends] - c[starts]) * down[starts])
+    return starts, ends, span_hashes(data, starts, ends) if hashed else None
 
 
 def ngrams(h: np.ndarray, n: int, family: int = 0) -> np.ndarray:
-    """Hash of the n words from each word on; the last n - 1 entries are zero."""
+    """Hash of the n words from each word on, by pairs of halves; the last n - 1 entries are zero."""
     out = np.zeros(len(h), _U)
     m = len(h) - n + 1
     if m <= 0:
         return out
-    if n == 1:
-        return mix(h + _U(_BYTE[family]))
-    if n <= 8:
-        base = _U(_ROLL[family].base)
-        acc = h[:m].copy()
-        for j in range(1, n):
-            acc = acc * base + h[j : m + j]
-    else:
-        up, down = _ROLL[family].get(len(h) + 1)
-        c = np.empty(len(h) + 1, _U)
-        c[0] = 0
-        np.cumsum(h * up[:-1], out=c[1:])
-        acc = (c[n:] - c[:m]) * down[:m]
-    out[:m] = mix(acc + _U(_BYTE[family]))
+    seed, own, width, acc, at = _SEED[family], h, 1, None, 0
+    while True:
+        if n & width:
+            acc = own[:m] if acc is None else join(acc, own[at : at + m], seed)
+            at += width
+        if 2 * width > n:
+            break
+        own = join(own[:-width], own[width:], seed)
+        width *= 2
+    out[:m] = mix(acc + seed)
     return out
 
 

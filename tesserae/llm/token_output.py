@@ -2,20 +2,22 @@
 
 Documents are range-partitioned and sorted by id, tokenized, closed with an end
 id and cut between documents into shards of about SHARD_IDS ids.  A shard is one
-self-contained stream: an index of (document id, number of ids), then the
-context-mixing coder's independently reset, checksummed blocks.  Shards are
-written through the Parquet sink, one binary value each, so that the commit
-protocol, retries and any store that Spark reaches work as for any table;
-`export_shards` turns the values into plain files on a local disk.
+file: a header with its place, an index of (document id, number of ids), the
+context-mixing coder's independently reset, checksummed blocks, and a line break
+as the end mark.  Spark's text sink writes the bytes, one shard to a file, so that
+the commit protocol, retries and any store that Spark reaches work as for any
+table; Spark's binary source reads them back.  File names sort in document order.
 
 Tokenizing is by distinct chunk.  A byte-level tokenizer never joins what stands
 before and after a space that is followed by a visible character, or a line
 break between visible characters; texts are cut there, each distinct chunk of
-a run of texts is encoded once, and its ids are copied to all its places.
+a run of texts is encoded once, and its ids are copied to all its places.  Chunks
+are found by a hash and compared byte by byte.
 
 Nulls and odd cases: a null or empty text has only the end id; a null document
-id sorts first and is carried as null; repeated rows are written each, in the
-order of their texts; a text of any length stays in one shard.
+id sorts first and is carried as null; rows of one id follow each other in the
+order of their texts' hashes; repeated rows are written each; a text of any
+length stays in one shard.
 """
 
 from __future__ import annotations
@@ -28,19 +30,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import context_coder
 from . import textkit as K
-from .common import bound_batches, materialize, partitions
+from .common import bound_batches, materialize, new_path, partitions
 
 END_ID = 2
 SHARD_IDS = 1 << 23
 RUN_BYTES = 2 << 20
 CACHE = 3 << 19
-_INDEX = struct.Struct("<4sQ")
-_INDEX_MAGIC = b"TSHD"
+_HEAD = struct.Struct(">4siiqqqqI")  # magic, part, shard of the part, ids of the part before it, documents, ids, bytes of the index, its CRC-32
+_MAGIC = b"TSH2"
 _U = np.uint64
 _SPACE, _BREAK = 0x20, 0x0A
 _LEAD_OK = np.zeros(256, bool)  # first bytes of characters that are surely not white space
@@ -108,14 +110,31 @@ class ChunkTokenizer:
         at = np.concatenate(order)
         last = self.ends[-1] if len(self.ends) else 0
         self.keys = np.concatenate([self.keys, keys[at]])
+        size, before = b[at] - a[at], self.raw_ends[-1] if len(self.raw_ends) else 0
+        stop = np.cumsum(size)
+        self.raw = np.concatenate([self.raw, data[np.arange(stop[-1]) + np.repeat(a[at] - stop + size, size)]])
+        self.raw_ends = np.concatenate([self.raw_ends, stop + before])
         self.ids = np.concatenate([self.ids, *parts])
         self.ends = np.concatenate([self.ends, np.cumsum(np.concatenate(sizes)) + last])
         self.table.extend(self.keys)
 
     def _forget(self) -> None:
         self.keys, self.ends, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.raw, self.raw_ends = np.zeros(0, np.uint8), np.zeros(0, np.int64)
         self.table = K.HashTable(self.keys, room=CACHE)
 
+    def _other(self, got: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Chunks whose bytes are not those of the chunk found by their hash; the chunks follow each other in data."""
+        raw_end = self.raw_ends[got]
+        size, n = raw_end - np.where(got > 0, self.raw_ends[np.maximum(got - 1, 0)], 0), b - a
+        same = size == n
+        at = np.repeat(raw_end - b, n)
+        at += np.arange(a[0], b[-1])
+        wrong = np.flatnonzero(self.raw.take(at, mode="clip") != data[a[0] : b[-1]])
+        if len(wrong):
+            same[np.searchsorted(a, wrong + a[0], "right") - 1] = False
+        return np.flatnonzero(~same)
+
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text), without an end id."""
         data, offs = K.byte_view(arr)
@@ -129,9 +148,7 @@ class ChunkTokenizer:
         cut[offs] = True
         bounds = np.flatnonzero(cut)
         a, b = bounds[:-1], bounds[1:]
-        up, down = K._POW.get(len(data) + 1)
-        c = np.concatenate([np.zeros(1, _U), np.cumsum(K._BYTE[data] * up[: len(data)])])
-        key = K.mix((c[b] - c[a]) * down[a] + (b - a).astype(_U) * _U(0x9E3779B97F4A7C15))
+        key = K.span_hashes(data, a, b)
         got = self.table.find(key)
         new = np.flatnonzero(got < 0)
         if len(new):
@@ -143,12 +160,17 @@ class ChunkTokenizer:
             i = new[i]
             self._learn(k, data, a[i], b[i])
             got = self.table.find(key)
-        ends = self.ends[got]
+        ends, ids = self.ends[got], self.ids
         starts = np.where(got > 0, self.ends[np.maximum(got - 1, 0)], 0)
         n = ends - starts
+        if len(own := self._other(got, data, a, b)):  # chunks that share another one's hash
+            each = self._batch([data[x:y].tobytes().decode() for x, y in zip(a[own], b[own])])
+            n[own] = [len(e) for e in each]
+            starts[own] = len(ids) + np.cumsum(n[own]) - n[own]
+            ids = np.concatenate([ids, np.array([x for e in each for x in e], np.int32)])
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
         doc = np.searchsorted(offs, a, "right") - 1
-        return self.ids[at], np.bincount(doc, n, len(arr)).astype(np.int64)
+        return ids[at], np.bincount(doc, n, len(arr)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -156,45 +178,49 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def pack_shard(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
-    """Index (validity, ids, sizes; deflated, with a checksum), then the coded blocks."""
+def pack_shard(place: tuple[int, int, int], doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
+    """Header with the place (part, shard of the part, ids of the part before), index (validity, ids, sizes; deflated), coded blocks, end mark."""
     valid = np.array([d is not None for d in doc_ids], np.uint8)
     index = valid.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(sizes, "<i8").tobytes()
     packed = zlib.compress(index, 6)
-    return _INDEX.pack(_INDEX_MAGIC, len(doc_ids)) + struct.pack("<QI", len(packed), zlib.crc32(index)) + packed + context_coder.encode(ids, vocab)
-
-
-def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(document ids, ids of each, all ids); ValueError on damage."""
-    magic, n = _INDEX.unpack_from(data)
-    if magic != _INDEX_MAGIC:
-        raise ValueError("not a shard")
-    size, crc = struct.unpack_from("<QI", data, _INDEX.size)
-    at = _INDEX.size + 12
-    index = zlib.decompress(data[at : at + size])
+    return _HEAD.pack(_MAGIC, *place, len(doc_ids), len(ids), len(packed), zlib.crc32(index)) + packed + context_coder.encode(ids, vocab) + b"\n"
+
+
+def unpack_shard(data: bytes) -> tuple[tuple[int, int, int], list[int | None], np.ndarray, np.ndarray]:
+    """(place, document ids, ids of each, all ids); ValueError on damage."""
+    magic, part, seq, start, n, _, size, crc = _HEAD.unpack_from(data)
+    if magic != _MAGIC or data[-1:] != b"\n":
+        raise ValueError("not a shard, or cut short")
+    at = _HEAD.size
+    try:
+        index = zlib.decompress(data[at : at + size])
+    except zlib.error as e:
+        raise ValueError("the index is damaged") from e
     if zlib.crc32(index) != crc:
         raise ValueError("the index does not match its checksum")
     valid = np.frombuffer(index, np.uint8, n)
     ids, sizes = np.frombuffer(index, "<i8", n, n), np.frombuffer(index, "<i8", n, 9 * n)
-    return [int(d) if v else None for d, v in zip(ids, valid)], sizes, context_coder.decode(data[at + size :])
-
+    return (part, seq, start), [int(d) if v else None for d, v in zip(ids, valid)], sizes, context_coder.decode(data[at + size : -1])
 
-SHARD_SCHEMA = "part int, seq int, start_in_part long, n_docs long, n_ids long, shard binary"
 
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> str:
+    """Write the shard files to a new folder, in the shared folder unless one is named; returns it.
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """The written table of shards; parts and the shards within a part follow ascending document ids."""
-    n = partitions(docs.sparkSession)
-    src = bound_batches(docs).select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    Parts and the shards within a part follow ascending document ids.
+    """
+    spark = docs.sparkSession
+    folder = folder or new_path(spark, "shards")
+    src = bound_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    # ranges of ids and hashes, so that one id of very many rows is no single partition
+    src = src.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches):
         tok, part = _tokenizer(tokenizer_path), TaskContext.get().partitionId()
         names, sizes, ids, held, seq, start = [], [], [], 0, 0, 0
 
         def shard():
-            size, flat = np.concatenate(sizes), np.concatenate(ids)
-            own = (part, seq, start, len(names), len(flat), pack_shard(names, size, flat, tok.vocab))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(own, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "start_in_part", "n_docs", "n_ids", "shard"])
+            data = pack_shard((part, seq, start), names, np.concatenate(sizes), np.concatenate(ids), tok.vocab)
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["shard"])
 
         for batch in batches:
             for own, arr in K.slices(batch, limit=RUN_BYTES):
@@ -211,43 +237,45 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sha
         if names:
             yield shard()
 
-    return materialize(src.mapInArrow(run, SHARD_SCHEMA), "shards")
+    shards = src.mapInArrow(run, "shard binary").select(F.col("shard").cast("string").alias("value"))
+    shards.write.option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
+    return folder
+
 
+def shard_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and content of every shard file."""
+    return spark.read.format("binaryFile").load(folder).where(F.col("length") > 1).select("path", "content")
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """part, doc_id, start_in_part, n_tokens and ids_crc32 of every document, decoded from the shards."""
+
+def shard_places(files: DataFrame) -> DataFrame:
+    """part, seq, start_in_part, n_docs and n_ids of every shard, from the files' headers."""
+    number = lambda at, n: F.conv(F.hex(F.substring("content", at + 1, n)), 16, 10).cast("long")
+    return files.select(number(4, 4).alias("part"), number(8, 4).alias("seq"), number(12, 8).alias("start_in_part"), number(20, 8).alias("n_docs"), number(28, 8).alias("n_ids"))
+
+
+def read_shards(files: DataFrame) -> DataFrame:
+    """part, doc_id, start_in_part, n_tokens and ids_crc32 of every document, decoded from the shard files."""
 
     def run(batches):
         for batch in batches:
-            for part, start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                names, sizes, ids = unpack_shard(data.as_py())
+            for data in batch.column(0):
+                (part, _, start), names, sizes, ids = unpack_shard(data.as_py())
                 ends = np.cumsum(sizes)
                 raw = ids.astype("<u4")
                 crc = [zlib.crc32(raw[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(names), part, np.int32)), pa.array(names, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()),
+                    pa.array(np.full(len(names), part, np.int64)), pa.array(names, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()),
                 ], names=["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "start_in_part", "shard").mapInArrow(run, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
+    return bound_batches(files).select("content").mapInArrow(run, "part long, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
 
 
 def token_report(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, as read back."""
-    shards = write_shards(docs, tokenizer_path)
+    """doc_id, start, n_tokens and ids_crc32 of every document, as read back from the files."""
+    files = shard_files(docs.sparkSession, write_shards(docs, tokenizer_path))
     # one row for each range partition: as many as spark.sql.shuffle.partitions, not as the documents
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = shard_places(files).groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offset = materialize(parts.select(F.col("part").alias("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before")), "shard-offsets")
-    own = read_shards(shards).join(offset, F.col("part") == F.col("__part"))
+    own = read_shards(files).join(offset, F.col("part") == F.col("__part"))
     return own.select("doc_id", (F.col("start_in_part") + F.col("__before")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def export_shards(shards: DataFrame, folder: str) -> list[str]:
-    """Write every shard as a file of its own on the driver's disk, one at a time; their names sort in document order."""
-    os.makedirs(folder, exist_ok=True)
-    out = []
-    for r in shards.orderBy("part", "seq").toLocalIterator():
-        out.append(f"{folder}/shard-{r['part']:06d}-{r['seq']:06d}.tshd")
-        with open(out[-1], "wb") as f:
-            f.write(r["shard"])
-    return out

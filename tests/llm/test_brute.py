@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tesserae.llm import decontaminate, license_scan, near_dedup, pii_crf, quality_rules, secret_scan, simhash, substring_dedup, suffix_tree_lm, token_output
+from tesserae.llm import context_coder, decontaminate, license_scan, near_dedup, pii_crf, quality_rules, secret_scan, simhash, substring_dedup, suffix_tree_lm, token_output
 from tesserae.llm.queries import tokenizer_path
 
 from .conftest import prose  # noqa: TID252
@@ -216,17 +216,20 @@ def test_decontamination(frame, spark, corpus):
     assert left == {d for d, _ in rows} - {d for d, _ in want}
 
 
-def test_tokens_round_trip(docs, corpus, tmp_path):
+def test_tokens_round_trip(docs, corpus, spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = tokenizer_path()
     tok, at = Tokenizer.from_file(path), 0
-    shards = token_output.write_shards(docs, path, shard_ids=3000)
-    assert shards.count() > 1
+    folder = token_output.write_shards(docs, path, str(tmp_path / "out"), shard_ids=3000)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert folder == str(tmp_path / "out")
+    assert len(files) > 1
+    assert token_output.shard_places(token_output.shard_files(spark, folder)).count() == len(files)
     got = {r["doc_id"]: r for r in token_output.token_report(docs, path).collect()}
     names, ids = [], []
-    for f in token_output.export_shards(shards, str(tmp_path / "out")):
-        own, sizes, flat = token_output.unpack_shard(open(f, "rb").read())
+    for f in files:
+        _, own, sizes, flat = token_output.unpack_shard(f.read_bytes())
         ends = np.cumsum(sizes)
         names += own
         ids += [flat[e - s : e].tolist() for s, e in zip(sizes, ends)]
@@ -238,6 +241,61 @@ def test_tokens_round_trip(docs, corpus, tmp_path):
         at += len(want)
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+def test_chunks_are_told_apart_by_their_bytes(frame, monkeypatch):
+    """Words on which polynomials modulo 2**64 agree, and chunks whose hashes are made to agree."""
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    x, y = thue_morse(2048)
+    tok = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "x " + x), (2, "x " + y), (3, "x " + x + " " + y)]
+    got = {r["doc_id"]: r for r in token_output.token_report(frame(rows), tokenizer_path()).collect()}
+    for i, t in rows:
+        want = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+    monkeypatch.setattr(token_output.K, "span_hashes", lambda data, a, b: (b - a).astype(np.uint64) << np.uint64(50))
+    chunks = token_output.ChunkTokenizer(tokenizer_path())
+    for t in ("some words of like size here", "other words of like size", "some words", ""):
+        ids, n = chunks.encode(token_output.K.strings(pa.array([t, None, t])))
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert (ids.tolist(), n.tolist()) == (want + want, [len(want), 0, len(want)])
+
+
+def test_ids_are_mixed_better_than_order_0_and_zlib():
+    """Over a source with repeated phrases, in blocks of 2048: fewer bits than zlib and than adaptive counts for each block."""
+    r = np.random.default_rng(0)
+    p = 1 / np.arange(1, 3001)
+    phrases = [r.choice(3000, 4, p=p / p.sum()) for _ in range(3000)]
+    ids = np.concatenate([phrases[k] for k in r.choice(3000, 50_000, p=p / p.sum())]).astype(np.uint32)
+    bits = 8 * len(context_coder.encode(ids, 50_257)) / len(ids)
+    block = context_coder.BLOCK
+    cuts = [ids[a : a + block] for a in range(0, len(ids), block)]
+    deflated = 8 * sum(len(zlib.compress(c.astype("<u4").tobytes(), 6)) for c in cuts) / len(ids)
+    order0 = 0.0
+    for c in cuts:
+        seen = collections.Counter()
+        for n, x in enumerate(c.tolist()):
+            order0 -= math.log2(seen[x] / (n + len(seen))) if x in seen else math.log2(len(seen) / (n + len(seen)) / 50_257 if n else 1 / 50_257)
+            seen[x] += 1
+    assert bits < deflated
+    assert bits < order0 / len(ids)
+    assert (context_coder.decode(context_coder.encode(ids, 50_257)) == ids).all()
+
+
+@pytest.mark.parametrize("vocab", [2, 300, 60_000, 65_536, 200_000])
+def test_ids_of_any_vocabulary_come_back(vocab):
+    r = np.random.default_rng(vocab)
+    for ids in (r.integers(0, vocab, 30_000), np.minimum(r.zipf(1.2, 9000), vocab) - 1, np.array([vocab - 1]), np.zeros(0, int)):
+        assert (context_coder.decode(context_coder.encode(ids, vocab)) == ids).all()
+    with pytest.raises(ValueError, match="vocabulary"):
+        context_coder.encode(np.array([vocab]), vocab)
+
+
 def test_quality_counts(docs, corpus, spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in corpus], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality_rules.quality_report(docs, labels).collect()}

@@ -51,3 +51,19 @@ def test_hash_table():
     assert (t.find(keys) == np.arange(len(keys))).all()
     assert (t.find(np.arange(100, dtype=np.uint64)) == -1).all()
     assert len(K.HashTable(np.zeros(0, np.uint64)).find(keys)) == len(keys)
+
+
+def test_hashes_of_words_made_against_polynomials():
+    """Thue-Morse words agree under any polynomial modulo 2**64 from 1,024 letters on; here all words and windows differ."""
+    for n in (64, 256, 1024, 4096):
+        x = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        y = x.translate(str.maketrans("ab", "ba"))
+        h = K.Words(K.strings(pa.array([f"{x} {y} {x}0 0{x}"]))).hashes
+        assert len(set(h.tolist())) == 4
+    w = K.mix(np.array([i.bit_count() & 1 for i in range(4096)], np.uint64))
+    for n in (32, 35, 1024):
+        g = K.ngrams(w, n)[: 4096 - n + 1]
+        of = {}
+        for i, v in enumerate(g.tolist()):
+            assert of.setdefault(w[i : i + n].tobytes(), v) == v
+        assert len(set(of.values())) == len(of)
