@@ -82,6 +82,16 @@ def plain_names(df: DataFrame):
     return df.toDF(*names), dict(zip(own, names)), lambda x: x.select(*names).toDF(*own)
 
 
+def fresh_names(taken: list[str], names: list[str]) -> list[str]:
+    """The names, each with underscores until it is not among those taken."""
+    out = []
+    for n in names:
+        while n in taken or n in out:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def n_words(col) -> "F.Column":
     """Words of a text, none for a null."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")

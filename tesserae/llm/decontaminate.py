@@ -7,20 +7,25 @@ repeats.  The search for windows with similarity 0.8 or more has three steps.
 
 1. A window that reaches the threshold misses less than (1 - t) of the item's
    weight, so it holds one of the item's rarest shingles that make up more than
-   that.  Only windows over such a shingle are fingerprinted; nothing is lost.
-2. Their weighted SimHash is looked up among the items of that size.  The 64
-   bits form 8 blocks; fingerprints within RADIUS = 23 bits differ by at most 2
-   bits in some block, so the postings of each block value hold every item
-   within 2 bits of it, and every pair within the radius is found.
-3. The exact similarity verifies what was found.
-
-An item shorter than a shingle is one shingle.  The index is broadcast only
-while the items have at most MAX_BYTES of text; beyond that they are split by
-hash into parts of that size, each with a pass of its own.
+   that.  Only windows over such a shingle are paired with the item; nothing is
+   lost, and a document costs what its hits cost, however many items it holds.
+2. The windows' weighted SimHash is compared in 8 blocks of 8 bits: fingerprints
+   within RADIUS = 23 bits differ by at most 2 bits in some block, so pairs that
+   meet in no block are out, and every pair within the radius stays.
+3. The exact similarity verifies what is left.  A bound from prefix sums puts
+   the windows of a pair in order, and those that cannot beat the best are skipped.
+
+An item shorter than a shingle is one shingle.  Items of one text are searched
+once.  Rarity is counted over all items, whatever the number of parts: the index
+is broadcast only while its texts have at most MAX_BYTES (or are one item);
+beyond that items are split by a hash of their text, with a pass for each part.
+Shingles of one item weigh the same as unknown ones, so only shared ones are
+kept, in slices of SLICE that a worker reads in turn if they are several.
 
 Nulls and odd cases: a null or empty text or item matches nothing; a null id is
 carried as null; repeated rows or items are reported each; words are compared
-with A-Z lower-cased; an empty benchmark gives no rows.
+with A-Z lower-cased; an empty benchmark gives no rows; an output column whose
+name is taken by a kept one gets an underscore.
 """
 
 from __future__ import annotations
@@ -32,14 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import bound_batches
+from .common import bound_batches, fresh_names, materialize
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
-BLOCKS, BLOCK_BITS = 8, 8
 MAX_BYTES = 16 << 20
+SLICE = 4 << 20  # shared shingles in memory at once
 _U = np.uint64
 _BITMAP = 22
-_SPAN = 1 << 15  # windows fingerprinted at once
+_SPAN = 1 << 13  # windows fingerprinted at once
+_PAIRS = 1 << 20  # (hit, item) pairs expanded at once
+_CELLS = 1 << 20  # shingles of windows compared at once
 
 
 def _signs(h: np.ndarray) -> np.ndarray:
@@ -51,149 +58,245 @@ def _fold(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel().astype(_U)
 
 
-class Item:
-    __slots__ = ("counts", "fp", "gram", "item_id", "n", "shingles", "total", "weights")
+def within_radius(fps: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Which fingerprints differ in at most RADIUS bits, asked first block by block: in one of 8 the difference is at most RADIUS // 8."""
+    diff = fps ^ fp
+    out = np.flatnonzero((np.bitwise_count(diff.view(np.uint8).reshape(-1, 8)) <= RADIUS // 8).any(axis=1))
+    return out[np.bitwise_count(diff[out]) <= RADIUS]
+
+
+class Weights:
+    """log(1 + items / items with the shingle), from the shared shingles and their counts; any other counts as in one item."""
+
+    def __init__(self, n_items: int, slices: list):
+        self.one, self.n, self.slices = float(np.log1p(n_items or 1)), n_items, slices  # slices: broadcasts of (sorted shingles, counts)
+
+    def of(self, sh: np.ndarray) -> np.ndarray:
+        out = np.full(len(sh), self.one)
+        for s in self.slices:
+            known, df = s.value
+            at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
+            ok = known[at] == sh
+            out[ok] = np.log1p(self.n / df[at[ok]])
+            if len(self.slices) > 1:
+                s.__dict__.pop("_value", None)  # one slice in memory at a time
+        return out
 
 
 class Index:
-    """Items, the rare-shingle filter and the Hamming postings; grows with the items only."""
-
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, shingle: int = SHINGLE):
-        self.threshold = threshold
-        w = K.Words(K.strings(pa.array([t for _, t in items], pa.string())), lower=True)
-        raw = []
-        for i, (item_id, _) in enumerate(items):
-            h = w.hashes[w.first[i] : w.first[i + 1]]
-            if len(h):
-                g = min(shingle, len(h))
-                raw.append((item_id, len(h), g, *np.unique(K.ngrams(h, g)[: len(h) - g + 1], return_counts=True)))
-        every = np.concatenate([r[3] for r in raw]) if raw else np.zeros(0, _U)
-        known, df = np.unique(every, return_counts=True)
-        self.known, self.log_w = known, np.log1p(len(raw) / np.maximum(df, 1))
-        self.new_w = float(np.log1p(len(raw) or 1))
-        self.items: list[Item] = []
-        rare = {}
-        for item_id, n, g, sh, cnt in raw:
-            it = Item()
-            it.item_id, it.n, it.gram, it.shingles, it.counts = item_id, n, g, sh, cnt
-            it.weights = self.weights(sh) * cnt
-            it.total = float(it.weights.sum())
-            it.fp = int(_fold((_signs(sh) * it.weights[:, None]).sum(axis=0, keepdims=True))[0])
-            order = np.lexsort((sh, -self.weights(sh)))
-            need = int(np.searchsorted(np.cumsum(it.weights[order]), (1 - threshold) * it.total, "right")) + 1
-            for s in sh[order[:need]]:
-                rare.setdefault(g, {}).setdefault(int(s), set()).add(n)
-            self.items.append(it)
-        # per shingle size: rare shingles, and the item sizes that each stands for
+    """Items, their shingles and fingerprints, and the rare shingles that lead to them; grows with the items only."""
+
+    def __init__(self, items: list[tuple[int, str]], weights: Weights, threshold: float = THRESHOLD, shingle: int = SHINGLE):
+        self.threshold, self.weights = threshold, weights
+        self.keys, sizes, grams, shingles, counts, item = [], [], [], [], [], []
+        for key, text in items:
+            w = K.Words(K.strings(pa.array([text], pa.string())), lower=True)
+            h = w.hashes
+            if not len(h):
+                continue
+            g = min(shingle, len(h))
+            sh, c = np.unique(K.ngrams(h, g)[: len(h) - g + 1], return_counts=True)
+            item.append(np.full(len(sh), len(self.keys)))
+            self.keys.append(key)
+            sizes.append(len(h))
+            grams.append(g)
+            shingles.append(sh)
+            counts.append(c)
+        self.n, self.gram = np.array(sizes, np.int64), np.array(grams, np.int64)
+        none = np.zeros(0, np.int64)
+        sh, c, item = np.concatenate([none.astype(_U), *shingles]), np.concatenate([none, *counts]), np.concatenate([none, *item])
+        wt = weights.of(sh)
+        self.total = np.bincount(item, wt * c, len(self.keys))
+        self.fp = np.zeros(len(self.keys), _U)
+        for k, (s, m) in enumerate(zip(shingles, counts)):
+            self.fp[k] = _fold((_signs(s) * (weights.of(s) * m)[:, None]).sum(axis=0, keepdims=True))[0]
+        # shingles of an item by a hash of both
+        self.counts, self.salt = c, K.mix(np.arange(len(self.keys), dtype=_U) + _U(1))
+        self.table = K.HashTable(K.join(self.salt[item], sh))
+        # per shingle size: rare shingles, and the items that each leads to
+        order = np.lexsort((sh, -wt, item))
+        lead = np.searchsorted(item[order], np.arange(len(self.keys)))
+        upto = np.cumsum((wt * c)[order])
+        before = upto - (wt * c)[order]
+        rare = order[before - before[lead][item[order]] <= (1 - threshold) * self.total[item[order]]] if len(order) else order
         self.rare = {}
-        for g, of in rare.items():
-            keys = np.array(sorted(of), _U)
+        for g in sorted(set(grams)):
+            own = rare[self.gram[item[rare]] == g]
+            own = own[np.argsort(sh[own], kind="stable")]
+            keys, first = np.unique(sh[own], return_index=True)
             bitmap = np.zeros(1 << _BITMAP, bool)
             bitmap[(keys >> _U(64 - _BITMAP)).astype(np.int64)] = True
-            self.rare[g] = (K.HashTable(keys), bitmap, [sorted(of[int(k)]) for k in keys])
-        self.by_size: dict[tuple[int, int], np.ndarray] = {}
-        for k, it in enumerate(self.items):
-            self.by_size.setdefault((it.gram, it.n), []).append(k)
-        self.postings = {size: self._blocks(np.array(ks)) for size, ks in self.by_size.items()}
-
-    def weights(self, sh: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(sh), self.new_w)
-        at = np.minimum(np.searchsorted(self.known, sh), len(self.known) - 1)
-        return np.where(self.known[at] == sh, self.log_w[at], self.new_w)
-
-    def _blocks(self, ks: np.ndarray):
-        fps = np.array([self.items[k].fp for k in ks], _U)
-        values = np.arange(1 << BLOCK_BITS)
-        posts = []
-        for b in range(BLOCKS):
-            own = ((fps >> _U(b * BLOCK_BITS)) & _U((1 << BLOCK_BITS) - 1)).astype(np.int64)
-            near = np.bitwise_count(values[:, None] ^ own[None, :]) <= RADIUS // BLOCKS
-            v, k = np.nonzero(near)
-            posts.append((np.searchsorted(v, np.arange((1 << BLOCK_BITS) + 1)), k))
-        return ks, fps, posts
-
-    def within_radius(self, size: tuple[int, int], fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, item) pairs of that size whose fingerprints differ in at most RADIUS bits."""
-        ks, own, posts = self.postings[size]
-        found = []
-        for b, (start, post) in enumerate(posts):
-            v = ((fps >> _U(b * BLOCK_BITS)) & _U((1 << BLOCK_BITS) - 1)).astype(np.int64)
-            n = start[v + 1] - start[v]
-            win = np.repeat(np.arange(len(fps)), n)
-            at = np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[v], n)
-            found.append(win * len(ks) + post[at])
-        pair = np.unique(np.concatenate(found))
-        win, k = pair // len(ks), pair % len(ks)
-        ok = np.bitwise_count(fps[win] ^ own[k]) <= RADIUS
-        return win[ok], ks[k[ok]]
-
-    def similarity(self, it: Item, sh: np.ndarray) -> float:
-        u, c = np.unique(sh, return_counts=True)
-        wu = self.weights(u)
-        at = np.searchsorted(it.shingles, u)
-        ok = at < len(it.shingles)
-        ok[ok] = it.shingles[at[ok]] == u[ok]
-        both = float((wu[ok] * np.minimum(c[ok], it.counts[at[ok]])).sum())
-        return round(both / (float((wu * c).sum()) + it.total - both), 9)  # equal windows compare equal however they sum
+            self.rare[g] = (K.HashTable(keys), bitmap, np.concatenate([first, [len(own)]]), item[own])
+
+    def similarities(self, h: np.ndarray, starts: np.ndarray, m: int, k: int) -> np.ndarray:
+        """Exact similarity of item k to the windows of m shingles from each start."""
+        out = np.zeros(len(starts))
+        for a in range(0, len(starts), max(1, _CELLS // m)):
+            own = starts[a : a + max(1, _CELLS // m)]
+            s = np.sort(h[own[:, None] + np.arange(m)], axis=1)
+            new = np.ones(s.shape, bool)
+            new[:, 1:] = s[:, 1:] != s[:, :-1]
+            at = np.flatnonzero(new.ravel())
+            row, u, c = at // m, s.ravel()[at], np.diff(np.concatenate([at, [s.size]]))
+            w, hit = self.weights.of(u), self.table.find(K.join(self.salt[k], u))
+            both = np.bincount(row, w * np.where(hit >= 0, np.minimum(c, self.counts[hit]), 0), len(own))
+            out[a : a + len(own)] = both / (np.bincount(row, w * c, len(own)) + self.total[k] - both)
+        return np.round(out, 9)  # equal windows compare equal however they sum
 
     def search(self, arr: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window of every pair that reaches the threshold."""
         w = K.Words(arr, lower=True)
         best: dict[tuple[int, int], tuple] = {}
-        for g, (table, bitmap, sizes) in self.rare.items():
+        for g, (table, bitmap, first, item) in self.rare.items():
             h = K.ngrams(w.hashes, g)
             maybe = np.flatnonzero(bitmap[(h >> _U(64 - _BITMAP)).astype(np.int64)] & (w.room() >= g))
             hit = table.find(h[maybe])
             at, hit = maybe[hit >= 0], hit[hit >= 0]
-            if not len(at):
-                continue
-            doc = np.searchsorted(w.first, at, "right") - 1
-            spans: dict[tuple[int, int], list] = {}
-            for p, d, k in zip(at.tolist(), doc.tolist(), hit.tolist()):
-                for n in sizes[k]:
-                    a, z = int(w.first[d]), int(w.first[d + 1])
-                    last = max(a, z - n)
-                    own = spans.setdefault((d, n), [])
-                    lo, hi = max(a, min(p - n + g, last)), min(p, last)
-                    if own and lo <= own[-1][1] + 1:
-                        own[-1][1] = max(own[-1][1], hi)
-                    else:
-                        own.append([lo, hi])
-            for (d, n), ranges in spans.items():
-                for lo, hi in ranges:
-                    for x in range(lo, hi + 1, _SPAN):
-                        self._range(h, w, g, d, n, x, min(hi, x + _SPAN - 1), best)
-        return [(d, k, s, p, n) for (d, k), (s, p, n) in sorted(best.items())]
-
-    def _range(self, h, w, g, d, n, lo, hi, best) -> None:
-        m = min(n, int(w.first[d + 1] - w.first[d])) - g + 1  # shingles of a window
-        own = h[lo : hi + m]
-        sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(own) * self.weights(own)[:, None], axis=0)])
-        fps = _fold(np.round(sums[m:] - sums[:-m], 9))
-        win, ks = self.within_radius((g, n), fps)
-        for x, k in zip(win.tolist(), ks.tolist()):
-            s = self.similarity(self.items[k], own[x : x + m])
-            if s >= self.threshold and s > best.get((d, k), (-1,))[0]:
-                best[(d, k)] = (s, int(lo + x - w.first[d]), m + g - 1)
-
-
-def _parts(benchmark: DataFrame, max_bytes: int) -> list[DataFrame]:
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    k = -(-size // max_bytes) if size else 1
-    if k == 1:
-        return [benchmark]
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i) for i in range(k)]
+            upto = np.cumsum(first[hit + 1] - first[hit])
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _PAIRS, "right")))
+                self._hits(w, h, g, at[a:b], hit[a:b], first, item, best)
+                a = b
+        return [(d, k, s, -p, n) for (d, k), (s, p, n) in sorted(best.items())]
+
+    def _hits(self, w, h, g, at, hit, first, item, best) -> None:
+        """Windows of items over the rare shingles `hit` at the words `at`."""
+        n = first[hit + 1] - first[hit]
+        p = np.repeat(at, n)
+        k = item[np.repeat(first[hit] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        d = np.searchsorted(w.first, p, "right") - 1
+        last = np.maximum(w.first[d], w.first[d + 1] - self.n[k])  # last start of a window
+        lo, hi = np.maximum(w.first[d], np.minimum(p - self.n[k] + g, last)), np.minimum(p, last)
+        order = np.lexsort((lo, k, self.n[k], d))
+        d, k, lo, hi = d[order], k[order], lo[order], hi[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (lo[1:] > hi[:-1] + 1)
+        lead = np.flatnonzero(new)
+        d, k, lo, hi = d[lead], k[lead], lo[lead], hi[np.concatenate([lead[1:], [len(new)]]) - 1]
+        # texts and item sizes in turn: items of one size share the windows' fingerprints
+        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (self.n[k[1:]] != self.n[k[:-1]]), [True]]))
+        for a, b in zip(cut[:-1], cut[1:]):
+            own = np.argsort(lo[a:b], kind="stable") + a
+            self._windows(w, h, g, int(d[a]), k[own], lo[own], hi[own], best)
+
+    def _windows(self, w, h, g, d, k, lo, hi, best) -> None:
+        """Ranges (item, first start, last start) of one text and one item size, by first start."""
+        a, z = int(w.first[d]), int(w.first[d + 1])
+        m = min(int(self.n[k[0]]), z - a) - g + 1  # shingles of a window
+        i, x = 0, int(lo[0])
+        open_: list[int] = []
+        while i < len(k) or open_:
+            if not open_:
+                x = max(x, int(lo[i]))
+            end = x + _SPAN
+            while i < len(k) and lo[i] < end:
+                open_.append(i)
+                i += 1
+            y = min(end, max(int(hi[j]) for j in open_) + 1)
+            own = h[x : y - 1 + m]
+            wt = self.weights.of(own)
+            sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(own) * wt[:, None], axis=0)])
+            fps = _fold(np.round(sums[m:] - sums[:-m], 9))
+            for j in open_:
+                s, e = max(x, int(lo[j])), min(y, int(hi[j]) + 1)
+                near = within_radius(fps[s - x : e - x], self.fp[k[j]])
+                if len(near):
+                    self._verify(h, g, d, int(k[j]), near + s, m, a, own, wt, x, best)
+            open_ = [j for j in open_ if hi[j] >= y]
+            x = y
+
+    def _verify(self, h, g, d, k, starts, m, a, own, wt, x, best) -> None:
+        """The best of the windows, the first of equals, into `best`: (similarity, -first word, words)."""
+        lo, hi = int(starts[0]) - x, int(starts[-1]) - x + m
+        hit = self.table.find(K.join(self.salt[k], own[lo:hi])) >= 0
+        mine, all_ = (np.concatenate([[0.0], np.cumsum(v)]) for v in (np.where(hit, wt[lo:hi], 0.0), wt[lo:hi]))
+        at = starts - x - lo
+        both = np.minimum(mine[at + m] - mine[at], self.total[k])
+        bound = np.round(both / (all_[at + m] - all_[at] + self.total[k] - both), 9)  # repeats beyond the item's only lower it
+        rest, step, found = np.lexsort((starts, -bound)), 4, best.get((d, k))
+        while len(rest):
+            now, rest = rest[:step], rest[step:]
+            for s, p in zip(self.similarities(h, starts[now], m, k).tolist(), (starts[now] - a).tolist()):
+                if s >= self.threshold and (found is None or (s, -p) > found[:2]):
+                    found = best[(d, k)] = (s, -p, m + g - 1)
+            least = found[0] if found else self.threshold
+            rest = rest[(bound[rest] > least + 1e-8) | ((bound[rest] > least - 1e-8) & (found is None or starts[rest] < a - found[1]))]
+            step *= 2
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id and text with a key of the text, written once."""
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(own.withColumn("key", F.xxhash64("text")).withColumn("size", F.octet_length("text").cast("long")), "benchmark")
+
+
+def _parts(items: DataFrame, max_bytes: int) -> list[DataFrame]:
+    """Distinct texts in parts of at most max_bytes, or of one hash bucket, which has one item unless items are small."""
+    texts = items.dropDuplicates(["key", "text"]).select("key", "text", "size")
+    whole = texts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    if whole <= max_bytes:
+        return [texts]
+    k = max(2, -(-16 * whole // max_bytes))  # buckets of a sixteenth of a part on average
+    bucket = F.pmod(F.xxhash64("key"), F.lit(k))
+    sizes = {r["b"]: r["n"] for r in texts.groupBy(bucket.alias("b")).agg(F.sum("size").alias("n")).collect()}
+    out, first, held = [], 0, 0
+    for b in range(k):
+        n = sizes.get(b, 0)
+        if held and held + n > max_bytes:
+            out.append(texts.where((bucket >= first) & (bucket < b)))
+            first, held = b, 0
+        held += n
+    return [*out, texts.where(bucket >= first)]
+
+
+def _weights(items: DataFrame, shingle: int = SHINGLE, size: int = SLICE) -> Weights:
+    """Counts over all items of the shingles that several have."""
+    spark = items.sparkSession
+
+    def shingles(batches):
+        for batch in batches:
+            for _, arr in K.slices(batch):
+                w, out, words = K.Words(arr, lower=True), [np.zeros(0, _U)], 0
+                for g in sorted({min(shingle, c) for c in w.counts.tolist()} - {0}):
+                    h = K.ngrams(w.hashes, g)
+                    for i in np.flatnonzero(np.minimum(shingle, w.counts) == g):
+                        out.append(np.unique(h[w.first[i] : w.first[i + 1] - g + 1]))
+                        words += 1
+                flat = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.zeros(len(flat), np.int64))], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([words], pa.int64())], names=["h", "n"])
+
+    each = bound_batches(items).select("text").mapInArrow(shingles, "h long, n long")
+    counts = materialize(each.groupBy("h").agg(F.count("*").alias("df"), F.sum("n").alias("n")).where("h IS NULL OR df > 1"), "benchmark-shingles")
+    n = counts.where("h IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    shared = counts.where("h IS NOT NULL")
+    k, out = -(-shared.count() // size), []
+    for i in range(k):  # a slice on the driver at a time
+        rows = shared.where(F.pmod(F.xxhash64("h"), F.lit(k)) == i).select("h", "df").toArrow()
+        h, df = rows.column("h").to_numpy().view(_U), rows.column("df").to_numpy()
+        order = np.argsort(h)
+        out.append(spark.sparkContext.broadcast((h[order], df[order])))
+    return Weights(n, out)
+
+
+def _indexes(items: DataFrame, threshold: float, max_bytes: int):
+    """A broadcast index of each part of the items."""
+    weights = _weights(items)
+    for part in _parts(items, max_bytes):
+        rows = [(r["key"], r["text"]) for r in part.collect()]  # at most max_bytes of text, or one item
+        yield items.sparkSession.sparkContext.broadcast(Index(rows, weights, threshold))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The columns `keep` of docs, item_id, similarity, start_word and n_words of every pair at or above the threshold."""
-    spark = docs.sparkSession
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, t) for c, t in (("item_id", T.LongType()), ("similarity", T.DoubleType()), ("start_word", T.LongType()), ("n_words", T.LongType()))])
-    src = bound_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    items = _items(benchmark)
+    names = [f"c{i}" for i in range(len(keep))]
+    more = (("key", T.LongType()), ("similarity", T.DoubleType()), ("start_word", T.LongType()), ("n_words", T.LongType()))
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep)] + [T.StructField(c, t) for c, t in more])
+    src = bound_batches(docs).select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep)], F.col("text").alias("__text"))
     out = None
-    for part in _parts(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")), max_bytes):
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.collect()], threshold))  # at most max_bytes of text
+    for index in _indexes(items, threshold, max_bytes):
 
         def run(batches, index=index):
             for batch in batches:
@@ -202,20 +305,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresho
                     if found:
                         rows = own.take(pa.array([f[0] for f in found], pa.int64()))
                         cols = [rows.column(i) for i in range(len(keep))]
-                        cols += [pa.array([index.value.items[f[1]].item_id for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())]
+                        cols += [pa.array([index.value.keys[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())]
                         yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
         got = src.mapInArrow(run, schema)
         out = got if out is None else out.unionAll(got)
-    return out
+    to = fresh_names(keep, ["item_id", "similarity", "start_word", "n_words"])
+    pairs = out.join(items.select("key", "item_id"), "key").select(*names, "item_id", "similarity", "start_word", "n_words")
+    return pairs.toDF(*keep, *to)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents without a window that reaches the threshold, columns unchanged; one narrow pass for each index part."""
-    spark = docs.sparkSession
     src = bound_batches(docs)
-    for part in _parts(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")), max_bytes):
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.collect()], threshold))  # at most max_bytes of text
+    for index in _indexes(_items(benchmark), threshold, max_bytes):
 
         def run(batches, index=index):
             for batch in batches:

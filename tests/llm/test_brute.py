@@ -209,13 +209,56 @@ def test_decontamination(frame, spark, corpus):
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     assert {(70, 2), (73, 4)} <= got.keys()
-    # split over several index parts, nothing changes
-    parts = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(rows), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], max_bytes=200).collect()}
-    assert {k[1] for k in parts} == {k[1] for k in want}
+    # split over several index parts and slices of shared shingles, nothing changes, similarities included
+    for size in (200, 60):
+        parts = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(frame(rows), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], max_bytes=size).collect()}
+        assert parts == got
     left = {r["doc_id"] for r in decontaminate.clean_documents(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert left == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_weights_do_not_depend_on_parts(frame, spark, monkeypatch):
+    """Items that share shingles weigh them by all items, in one part or in many, with the shared shingles in one slice or in many."""
+    common = prose(910, 12)
+    items = [(i, prose(911 + i, 12) + " " + common + " " + prose(930 + i, 8)) for i in range(12)]
+    rows = [(i, edit(t, i, 1)) for i, t in items] + [(100 + i, prose(911 + i, 12) + " " + prose(950 + i, 3) + " " + common) for i in range(12)]
+    bench = spark.createDataFrame([*items, (50, items[0][1])], "item_id long, text string")
+    run = lambda **k: sorted(tuple(r) for r in decontaminate.contaminated(frame(rows), bench, ["doc_id"], threshold=0.4, **k).collect())
+    whole = run()
+    assert len(whole) >= 13
+    assert run(max_bytes=400) == whole
+    own = decontaminate._weights
+    monkeypatch.setattr(decontaminate, "_weights", lambda items: own(items, size=3))
+    assert len(own(decontaminate._items(bench), size=3).slices) > 1
+    assert run(max_bytes=400) == whole
+
+
+def test_many_items_in_one_document(frame, spark):
+    """A document that holds 2,000 items of one size costs what its hits cost."""
+    import time
+
+    items = [(i, prose(100_000 + i, 30)) for i in range(2000)]
+    rows = [(1, " ".join(t for _, t in items)), (2, " ".join(t for _, t in items[:50]) + " " + prose(1, 5000)), (3, " ".join([items[7][1]] * 3000))]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), frame(rows)
+    t = time.time()
+    got = decontaminate.contaminated(docs, bench, ["doc_id"]).collect()
+    assert time.time() - t < 60
+    assert {(r["doc_id"], r["item_id"], r["start_word"]) for r in got if r["doc_id"] == 1} == {(1, i, 30 * i) for i, _ in items}
+    assert sum(r["doc_id"] == 2 for r in got) == 50
+    assert [(r["item_id"], r["start_word"], r["similarity"]) for r in got if r["doc_id"] == 3] == [(7, 0, 1.0)]
+
+
+def test_kept_columns_named_like_an_output(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "x", 5, 6)], "doc_id long, text string, license string, item_id long, start long")
+    got = license_scan.scan_licenses(docs, ["doc_id", "license", "start"])
+    assert got.columns == ["doc_id", "license", "start", "license_", "coverage", "n_matched", "start_", "end"]
+    assert [tuple(r) for r in got.collect()] == [(1, "x", 6, "MIT (notice)", 1.0, 5, 0, 30)]
+    bench = spark.createDataFrame([(9, "released under the MIT license.")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench, ["doc_id", "item_id"])
+    assert [tuple(r)[:4] for r in got.collect()] == [(1, 5, 9, 1.0)]
+    assert got.columns[2] == "item_id_"
+
+
 def test_tokens_round_trip(docs, corpus, spark, tmp_path):
     from tokenizers import Tokenizer
 
