@@ -441,15 +441,74 @@ def test_licenses(frame):
     assert 5 not in got
 
 
+def local_alignment(t, x):
+    """(score, matches, first, last) of the best local alignment of all, by a full table."""
+    zero = (0, 0, -1)
+    above, best = [zero] * (len(x) + 1), (0, 0, -1, -1)
+    for a in t:
+        row = [zero]
+        for j, b in enumerate(x):
+            s, k, f = above[j]
+            cell = (s + 1, k + 1, f if s else j) if a == b else (s - 1, k, f)
+            up, left = above[j + 1], row[j]
+            cell = max(cell, (up[0] - 1, *up[1:]), (left[0] - 1, *left[1:]))
+            row.append(cell if cell[0] > 0 else zero)
+            if a == b and row[-1][:2] > best[:2]:
+                best = (*row[-1], j)
+        above = row
+    return best
+
+
 def test_alignment_is_the_best_of_the_band():
     r = np.random.default_rng(1)
-    for _ in range(40):
-        t, x = r.integers(0, 4, 8).astype(np.uint64), r.integers(0, 4, 14).astype(np.uint64)
-        k, first, last = license_scan.align(t, x, -20, 20)
-        s = np.zeros((9, 15), int)
-        for i in range(1, 9):
-            for j in range(1, 15):
-                s[i, j] = max(0, s[i - 1, j - 1] + (1 if t[i - 1] == x[j - 1] else -1), s[i - 1, j] - 1, s[i, j - 1] - 1)
-        assert (k > 0) == (s.max() > 0)
-        assert k >= s.max()
+    pairs = [(r.integers(1, 5, 8).astype(np.uint64), r.integers(1, 5, 14).astype(np.uint64)) for _ in range(40)]
+    for t, x in pairs:
+        k, first, last = (int(v[0]) for v in license_scan.align(t, x, np.array([0]), np.array([14]), np.array([-20]), np.array([20])))
+        s, want, *_ = local_alignment(t.tolist(), x.tolist())
+        assert k == want
+        assert (k > 0) == (s > 0)
         assert last - first + 1 >= k
+
+
+def test_licenses_as_alignment_everywhere(frame):
+    """The whole query against a full alignment of each template with every text, again on either side of each notice found."""
+    templates = {"short": "alpha beta gamma delta epsilon", "long": prose(70_001, 40), "other": prose(70_002, 25)}
+    own = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    rows = [(i, " ".join(x for j in range(6) for x in (prose(71_000 + 10 * i + j, 15), edit(templates[("short", "long", "other")[(i + j) % 3]], i + j, (i + j) % 2 + ((i + j) % 3 == 1) * 2)))) for i in range(12)]
+    rows += [(50, (templates["short"] + ". ") * 30), (51, (templates["other"] + " ") * 3 + templates["long"]), (52, prose(1, 400)), (53, None)]
+    want = set()
+
+    def look(i, name, words, x, y):
+        t = own(templates[name])
+        _, k, first, last = local_alignment(t, words[x:y])
+        if k and k >= 0.8 * len(t):
+            want.add((i, name, k, x + first, x + last))
+            look(i, name, words, x, x + first)
+            look(i, name, words, x + last + 1, y)
+
+    for i, t in rows:
+        for name in templates:
+            words = own(t or "")
+            look(i, name, words, 0, len(words))
+    texts = dict(rows)
+    got = set()
+    for r in license_scan.scan_licenses(frame(rows), ["doc_id"], templates).collect():
+        text = texts[r["doc_id"]]
+        first = len(own(text[: r["start"]]))
+        got.add((r["doc_id"], r["license"], r["n_matched"], first, first + len(own(text[r["start"] : r["end"]])) - 1))
+    assert got <= want
+    assert len(got) > 60
+    run = license_scan.GRAM + license_scan.WINNOW - 1  # what the fingerprints promise to find
+    for i, name, _, x, y in want - got:
+        t, part = own(templates[name]), own(texts[i])[x : y + 1]
+        assert not {tuple(t[k : k + run]) for k in range(len(t) - run + 1)} & {tuple(part[k : k + run]) for k in range(len(part) - run + 1)}
+
+
+def test_repeated_notices_take_linear_time(frame):
+    import time
+
+    one = "Released under the MIT License. "
+    t = time.time()
+    got = license_scan.scan_licenses(frame([(1, one * 20_000)]), ["doc_id"]).collect()
+    assert time.time() - t < 40
+    assert sorted((r["start"], r["end"]) for r in got) == [(32 * i, 32 * i + 30) for i in range(20_000)]
