@@ -303,8 +303,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresho
                 for own, arr in K.slices(batch, "__text"):
                     found = index.value.search(arr)
                     if found:
-                        rows = own.take(pa.array([f[0] for f in found], pa.int64()))
-                        cols = [rows.column(i) for i in range(len(keep))]
+                        at = pa.array([f[0] for f in found], pa.int64())
+                        cols = [own.column(i).take(at) for i in range(len(keep))]
                         cols += [pa.array([index.value.keys[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())]
                         yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 

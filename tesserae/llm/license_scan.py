@@ -192,8 +192,8 @@ def scan_licenses(docs: DataFrame, keep: list[str], templates: dict[str, str] |
                 found = index.scan(arr, min_coverage)
                 if not found:
                     continue
-                rows = part.take(pa.array([f[0] for f in found], pa.int64()))
-                cols = [rows.column(i) for i in range(len(keep))]
+                at = pa.array([f[0] for f in found], pa.int64())
+                cols = [part.column(i).take(at) for i in range(len(keep))]
                 cols += [pa.array([index.names[f[1]] for f in found]), pa.array([f[2] for f in found]), *(pa.array([f[k] for f in found], pa.int64()) for k in (3, 4, 5))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
