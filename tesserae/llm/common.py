@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .textkit import WORD
 
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+BUCKET_BYTES = 32 << 20
 _OWN: dict[str, str] = {}
 _CREATED: list[tuple[SparkSession, str]] = []
 
@@ -75,6 +76,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(docs: DataFrame, text: str = "text") -> int:
+    """Buckets of a packed exchange over the texts: spark.sql.shuffle.partitions, and more where a bucket would stand for over BUCKET_BYTES of text."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
+_SCANS = {"Project", "Filter", "LogicalRelation", "LocalRelation", "DataSourceV2ScanRelation", "RelationV2", "SubqueryAlias"}
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """df if its rows come in the same partitions and order whenever a task is run again, as a table's scan does; else df written and read.
+
+    Row numbers of task and place need that: a task that is recomputed after a lost executor must give each row its old number.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in _SCANS and not node.nodeName().startswith("Relation"):
+            return materialize(df, "rows")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return df
+
+
 def plain_names(df: DataFrame):
     """(df with columns c0, c1, ..., the new name of each column, the way back), so that no name can clash."""
     own = df.columns

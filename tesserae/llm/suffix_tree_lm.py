@@ -1,23 +1,30 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 The tree's states are contexts of up to DEPTH words.  A context is a candidate
-if it makes up a share CONTEXT_SHARE of the training tokens; it is retained if
-its next-word distribution diverges from that of its longest retained suffix:
-count * KL must exceed a description-length penalty of half the log count for
-each stored next word.  A next word is stored if the pair makes up a share
-WORD_SHARE.  With C the count of context s, C' its stored part and suf(s) its
-longest retained suffix,
+if it occurs MIN_CONTEXT times in training; it is retained if its next-word
+distribution diverges from that of its longest retained suffix: count * KL must
+exceed a description-length penalty of half the log count for each stored next
+word.  A next word is stored if the pair occurs MIN_PAIR times.  With C the count
+of context s, C' its stored part and suf(s) its longest retained suffix,
 
     P(x|s) = c(s,x) / (C + MU) + (C - C' + MU) / (C + MU) * P(x|suf(s)),
 
 down to the root, the add-one unigram; every state is a proper distribution.
 A token is scored in the longest retained suffix of what precedes it.
 
-Counting is exact and covers every training token.  Word counts meet in a packed
-shuffle of (hash, count) blobs, merged within each task first, so a frequent
-word costs one entry per task.  What is broadcast is bounded whatever the corpus:
-at most 1/WORD_SHARE words or pairs reach their share.  Rare words are looked up
-by a second packed shuffle.  Words are told apart by 64-bit hashes.
+Logarithms make that a sum: of the root's part, log10(c(x) + 1); of one number for
+each retained context before the token, log10 of its factor of P(x|suf(s)); and of
+one number for each stored pair.  So the model is a table of numbers by key
+(*facts*), spread over the cluster by the key's hash, and a text's score is the sum
+of what its keys have.  What is counted and stored grows with the corpus.
+
+Words and runs of words are counted in packed shuffles of (hash, count), merged
+within each task first, so a frequent key costs one entry per task.  A run is
+counted only if its context is a candidate.  Facts of keys with a share HOT of all
+tokens are broadcast, at most 1 / HOT of each kind, so that no key that is asked by
+shuffle is a hot one.  Bitmaps of at most 2**MAX_BITS bits say which keys can have a
+fact; a wrong yes costs a question and changes nothing.  Words and runs are told
+apart by 64-bit hashes.
 
 Nulls and odd cases: a null or empty text is the end token alone; a null id
 counts as training; repeated rows count and are scored each; without training
@@ -26,6 +33,8 @@ texts every token has probability one.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,19 +42,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import BLOB_SCHEMA, blob_batch, bound_batches, by_kind, deal, joined, materialize, partitions, regroup, row_keys
+from .common import BLOB_SCHEMA, blob_batch, bound_batches, buckets, by_kind, deal, joined, materialize, regroup, repeatable, row_keys
 
 DEPTH = 2
-WORD_SHARE = 2.0**-20
-CONTEXT_SHARE = 2.0**-15
 MIN_CONTEXT, MIN_PAIR = 16, 3
 MU = 16.0
+HOT = 2.0**-18
+MAX_BITS, PIECE_BITS = 28, 19
 FOLDS, FOLD = 7, 2
 END = np.uint64(K.splitmix(0xE0D))
 _U = np.uint64
-_ID = _U(24)  # bits of a word's number in a pair key
-_FLUSH = 1 << 22
-_ROW = np.dtype([("row", "<u8"), ("id", "<i8"), ("has_id", "u1"), ("held", "u1"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+_CONTEXT, _PAIR, _COUNT = (_U(K.splitmix(i)) for i in (0xC0, 0xA1, 0xC7))
+_FLUSH = 1 << 21
+_ROW = np.dtype([("row", "<u8"), ("id", "<i8"), ("has_id", "u1"), ("held", "u1"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("more", "<f8")])
+_NONE = np.zeros(0, _U)
 
 
 def held_out(doc_id):
@@ -89,289 +99,433 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return k[lead], np.add.reduceat(c, lead) if len(lead) else c
 
 
-def count_keys(train: DataFrame, keys_of, n: int) -> DataFrame:
-    """(bucket, kind, a: keys, b: counts) of the keys that keys_of gives for a token stream, each key in one blob."""
+class Stream:
+    """Tokens of a run of texts with the hashes of the runs of words that end at each."""
 
-    def count(batches):
-        tally = _Tally()
+    def __init__(self, arr: pa.Array):
+        self.h, self.first = token_stream(arr)
+        self.doc = np.repeat(np.arange(len(arr)), np.diff(self.first))
+        self.at = np.arange(len(self.h)) - self.first[self.doc]  # place in the text
 
-        def flush():
-            k, c = tally.take()
-            return blob_batch(deal(K.mix(k), n, 0, k, c.astype(np.uint32)))
+    def grams(self, d: int) -> np.ndarray:
+        """Hash of the d tokens up to each one; only where `at` is d - 1 or more."""
+        out = np.zeros(len(self.h), _U)
+        if len(out) >= d:
+            out[d - 1 :] = K.ngrams(self.h, d)[: len(out) - d + 1]
+        return out
+
+    def contexts(self, grams: np.ndarray) -> np.ndarray:
+        """The runs that end just before each token."""
+        return np.concatenate([np.zeros(1, _U), grams[:-1]])
+
+
+class Bitmap:
+    """Which hashes may belong to a set."""
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
+
+    def __contains__(self, h):
+        raise TypeError("use has()")
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        c = _cell(h, self.bits)
+        return (self.packed[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _cell(h: np.ndarray, bits: int) -> np.ndarray:
+    return (K.mix(h) >> _U(64 - bits)).astype(np.int64)
+
+
+def bitmap(blobs: DataFrame, keys_of, n: int) -> Bitmap:
+    """The bitmap of the keys that keys_of gives for each blob; its size follows their number, up to 2**MAX_BITS bits."""
+    spark = blobs.sparkSession
+
+    def size(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(keys_of(x)) for _, _, x in by_kind(batches))], pa.int64())], names=["n"])
+
+    total = blobs.mapInArrow(size, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, total))), 16, MAX_BITS))
+    piece = min(bits, PIECE_BITS)
+
+    def cells(batches):
+        for _, _, x in by_kind(batches):
+            c = np.unique(_cell(keys_of(x), bits))
+            if len(c):
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(c >> piece)) + 1, [len(c)]])
+                yield blob_batch([(int(c[a] >> piece) % n, 0, int(c[a] >> piece).to_bytes(4, "little"), zlib.compress((c[a:b] & ((1 << piece) - 1)).astype(np.uint32).tobytes(), 1)) for a, b in zip(cut[:-1], cut[1:])])
+
+    def merge(batches):
+        planes: dict[int, np.ndarray] = {}
+        for _, _, x in by_kind(batches):
+            planes.setdefault(int.from_bytes(x[0], "little"), np.zeros(1 << piece, bool))[np.frombuffer(zlib.decompress(x[1]), np.uint32)] = True
+        yield blob_batch([(k, 0, np.packbits(v).tobytes()) for k, v in planes.items()])
+
+    packed = np.zeros(1 << (bits - 3), np.uint8)
+    for r in regroup(blobs.mapInArrow(cells, BLOB_SCHEMA), n).mapInArrow(merge, BLOB_SCHEMA).select("bucket", "a").toLocalIterator():
+        packed[r["bucket"] << (piece - 3) : (r["bucket"] + 1) << (piece - 3)] = np.frombuffer(r["a"], np.uint8)
+    return spark.sparkContext.broadcast(Bitmap(bits, packed))
 
+
+def count_words(train: DataFrame, n: int) -> DataFrame:
+    """Blobs (words, counts) of the training texts, each word in one."""
+
+    def count(batches):
+        tally = _Tally()
         for batch in batches:
             for _, arr in K.slices(batch):
-                tally.add(keys_of(*token_stream(arr)))
+                tally.add(token_stream(arr)[0])
             if tally.size > _FLUSH:
-                yield flush()
-        yield flush()
+                k, c = tally.take()
+                yield blob_batch(deal(K.mix(k), n, 0, k, c.astype(np.uint32)))
+        k, c = tally.take()
+        yield blob_batch(deal(K.mix(k), n, 0, k, c.astype(np.uint32)))
 
     def merge(batches):
         now, parts = None, []
-        for bucket, _, x in by_kind(batches):
-            now = bucket
+        for now, _, x in by_kind(batches):
             parts.append((np.frombuffer(x[0], _U), np.frombuffer(x[1], np.uint32)))
         k, c = merge_counts(parts)
         if len(k):
-            yield blob_batch([(now, 0, k.tobytes(), c.tobytes(), len(k).to_bytes(8, "big"), int(c.sum()).to_bytes(8, "big"))])
+            yield blob_batch([(now, 0, k.tobytes(), c.tobytes())])
 
     return regroup(train.select("text").mapInArrow(count, BLOB_SCHEMA), n).mapInArrow(merge, BLOB_SCHEMA)
 
 
-def frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys counted `least` times or more; at most (all tokens / least) of them."""
+def count_runs(train: DataFrame, d: int, contexts, found, counts: DataFrame | None, n: int) -> DataFrame:
+    """One scan that counts the runs of d + 1 words whose context the bitmap `contexts` has (kind 0: runs, counts of MIN_PAIR or more),
+    and joins to the runs of d words, counted before (`counts`, bitmap `found`), what they are made of (kind 1: runs, counts, parts).
+
+    The parts of a run are the runs that end before its last word, of 1, 2, ... words, then those that end with it, of 1, 2, ... words.
+    """
+
+    def scan(batches):
+        tally, parts, held = _Tally(), [], 0
+
+        def flush():
+            rows = []
+            k, c = tally.take()
+            rows += deal(K.mix(k), n, 0, k, c.astype(np.uint32))
+            if parts:
+                key, m = (np.concatenate(x) for x in zip(*parts))
+                parts.clear()
+                key, i = np.unique(key, return_index=True)
+                rows += deal(K.mix(key), n, 1, key, m[i])
+            return rows
 
-    def pick(batches):
+        for batch in batches:
+            for _, arr in K.slices(batch):
+                s = Stream(arr)
+                if contexts is not None:
+                    ctx = s.contexts(s.grams(d))
+                    ok = (s.at >= d) & contexts.value.has(ctx)
+                    tally.add(s.grams(d + 1)[ok])
+                if found is not None:
+                    run = s.grams(d)
+                    ok = np.flatnonzero((s.at >= d - 1) & found.value.has(run))
+                    run, i = np.unique(run[ok], return_index=True)
+                    m = [s.contexts(s.grams(j))[ok[i]] for j in range(1, d)] + [s.h[ok[i]]] + [s.grams(j)[ok[i]] for j in range(2, d)]
+                    parts.append((run, np.stack(m, 1)))
+                    held += m[0].nbytes * len(m)
+            if tally.size > _FLUSH or held > 8 * _FLUSH:
+                held = 0
+                yield blob_batch(flush())
+        yield blob_batch(flush())
+
+    def merge(batches):
+        now, tally, parts, known = None, [], [], (_NONE, np.zeros(0, np.int64))
+        for now, kind, x in by_kind(batches):
+            key = np.frombuffer(x[0], _U)
+            if kind == 0:
+                tally.append((key, np.frombuffer(x[1], np.uint32)))
+            elif kind == 1:
+                parts.append((key, np.frombuffer(x[1], _U).reshape(len(key), -1)))
+            else:
+                known = key, np.frombuffer(x[1], np.int64)
+        rows = []
+        k, c = merge_counts(tally)
+        ok = c >= MIN_PAIR
+        if ok.any():
+            rows.append((now, 0, k[ok].tobytes(), c[ok].tobytes()))
+        if parts and len(known[0]):
+            key, m = (np.concatenate(x) for x in zip(*parts))
+            key, i = np.unique(key, return_index=True)
+            at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+            ok = known[0][at] == key
+            rows.append((now, 1, key[ok].tobytes(), known[1][at[ok]].tobytes(), np.ascontiguousarray(m[i[ok]]).tobytes()))
+        yield blob_batch(rows)
+
+    blobs = train.select("text").mapInArrow(scan, BLOB_SCHEMA)
+    if counts is not None:
+        blobs = blobs.unionAll(counts.withColumn("kind", F.lit(2).cast("tinyint")))
+    return materialize(regroup(blobs, n).mapInArrow(merge, BLOB_SCHEMA), "lm-runs")
+
+
+def answers(asked: DataFrame, n: int) -> DataFrame:
+    """Sums of facts: kind 0 blobs are facts (keys, values), kinds 1 and 2 questions (keys, rows); others pass.
+
+    Answers are blobs of the question's kind, dealt by row: (rows, sums, numbers of keys that have a fact).
+    """
+
+    def run(batches):
+        facts, asks, through = [], {1: [], 2: []}, []
+        for bucket, kind, x in by_kind(batches):
+            if kind == 0:
+                facts.append(x)
+            elif kind < 3:
+                asks[kind].append(x)
+            else:
+                through.append((bucket, kind, *x))
+                if len(through) >= 500:
+                    yield blob_batch(through)
+                    through = []
+        yield blob_batch(through)
+        keys, values = joined([x[0] for x in facts], _U), joined([x[1] for x in facts], np.float64)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        for kind, own in asks.items():
+            while own:  # some questions at a time
+                part, size = [], 0
+                while own and size < 16 * _FLUSH:
+                    part.append(own.pop())
+                    size += len(part[-1][0])
+                h, r = joined([x[0] for x in part], _U), joined([x[1] for x in part], _U)
+                value, ok = np.zeros(len(h)), np.zeros(len(h), bool)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    ok = keys[at] == h
+                    value = np.where(ok, values[at], 0.0)
+                row, inv = np.unique(r, return_inverse=True)
+                yield blob_batch(deal(K.mix(row), n, kind, row, np.bincount(inv, value, len(row)), np.bincount(inv, ok, len(row))))
+
+    return regroup(asked, n).mapInArrow(run, BLOB_SCHEMA)
+
+
+def _sums(replies: list, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and numbers of the replies for ascending rows."""
+    r, s, k = joined([x[0] for x in replies], _U), joined([x[1] for x in replies], np.float64), joined([x[2] for x in replies], np.float64)
+    at = np.searchsorted(row, r)
+    return np.bincount(at, s, len(row)), np.bincount(at, k, len(row))
+
+
+def word_facts(words: DataFrame, n: int) -> DataFrame:
+    """Facts of words, log10(count + 1), and their counts as facts of runs of one word."""
+
+    def run(batches):
         for _, _, x in by_kind(batches):
             k, c = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64)
-            yield blob_batch([(0, 0, k[c >= least].tobytes(), c[c >= least].tobytes())])
-
-    got = counts.mapInArrow(pick, BLOB_SCHEMA).select("a", "b").toLocalIterator()
-    k, c = merge_counts([(np.frombuffer(r["a"], _U), np.frombuffer(r["b"], np.int64)) for r in got])
-    return k, c
-
-
-class SuffixTree:
-    """The bounded model: frequent words, contexts with their suffixes, and stored next words."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int):
-        self.words, self.counts = K.HashTable(words), counts
-        self.tokens, self.total = tokens, tokens + types + 1
-        self.log_root = np.log10((counts + 1) / self.total)
-        self.levels: list[dict] = []  # for each depth: contexts by key, state numbers
-        # states; state 0 is the root
-        self.suffix, self.log_rest = np.zeros(1, np.int64), np.zeros(1)
-        self.pair_keys, self.pair_log = np.zeros(0, _U), np.zeros(0)
-        self.pairs = K.HashTable(self.pair_keys)
-
-    def candidates(self, ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each depth, the candidate context that ends just before each token; -1 if there is none."""
-        out = []
-        start = np.zeros(len(ids), bool)
-        start[first[:-1]] = True
-        for d, level in enumerate(self.levels):
-            prev = np.concatenate([[-1], ids[:-1]])
-            prev[start] = -1
-            if d == 0:
-                key, ok = prev.astype(_U), prev >= 0
-            else:
-                up = np.concatenate([[-1], out[-1][:-1]])
-                up[start] = -1
-                key, ok = (up.astype(_U) << _ID) | prev.astype(_U), (up >= 0) & (prev >= 0)
-            got = np.full(len(ids), -1, np.int64)
-            got[ok] = level["table"].find(K.mix(key[ok]))
-            out.append(got)
-        return out
+            yield blob_batch(deal(K.mix(k), n, 0, k, np.log10(c + 1.0), c) + _count_facts(K.ngrams(k, 1), c, n))
 
-    def add_level(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.levels.append({"keys": keys, "table": K.HashTable(K.mix(keys)), "count": counts, "state": np.full(len(keys), -1, np.int64)})
-
-    def _find(self, words: list[np.ndarray]) -> np.ndarray:
-        """The candidate with these words (arrays of word numbers, last word last); -1 if there is none."""
-        got = self.levels[0]["table"].find(K.mix(words[0].astype(_U)))
-        for level, word in zip(self.levels[1:], words[1:]):
-            key = (got.astype(_U) << _ID) | word.astype(_U)
-            got = np.where(got >= 0, level["table"].find(K.mix(key)), -1)
-        return got
-
-    def _suffix_states(self, d: int) -> np.ndarray:
-        """The longest retained proper suffix of every candidate of level d."""
-        words, at = [], np.arange(len(self.levels[d]["keys"]))
-        for j in range(d, -1, -1):
-            k = self.levels[j]["keys"][at]
-            words.insert(0, (k & _U((1 << 24) - 1)).astype(np.int64))
-            at = (k >> _ID).astype(np.int64)
-        out = np.zeros(len(words[0]), np.int64)
-        for j in range(1, d + 1):  # shortest first, so that the longest wins
-            got = self._find(words[d + 1 - j :])
-            state = np.where(got >= 0, self.levels[j - 1]["state"][got], -1)
-            out = np.where(state >= 0, state, out)
-        return out
+    return words.mapInArrow(run, BLOB_SCHEMA)
 
-    def log_prob(self, state: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 P without the root factor of words that are not in the table, whether the root was reached)."""
-        out, s = np.zeros(len(ids)), state.copy()
-        todo = np.flatnonzero((s > 0) & (ids >= 0))
-        found = np.zeros(len(ids), bool)
-        rare = np.flatnonzero((s > 0) & (ids < 0))
-        while len(rare):  # a rare word is stored nowhere
-            out[rare] += self.log_rest[s[rare]]
-            s[rare] = self.suffix[s[rare]]
-            rare = rare[s[rare] > 0]
-        while len(todo):
-            hit = self.pairs.find(K.mix((s[todo].astype(_U) << _ID) | ids[todo].astype(_U)))
-            got = hit >= 0
-            out[todo[got]] += self.pair_log[hit[got]]
-            found[todo[got]] = True
-            todo = todo[~got]
-            out[todo] += self.log_rest[s[todo]]
-            s[todo] = self.suffix[s[todo]]
-            todo = todo[s[todo] > 0]
-        root = ~found & (ids >= 0)
-        out[root] += self.log_root[ids[root]]
-        return out, ~found
-
-    def learn_level(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Divergence tests for the deepest level, given its stored pairs (candidate << 24 | word) in key order."""
-        d = len(self.levels) - 1
-        level = self.levels[d]
-        suf = self._suffix_states(d)
-        ctx, word = (keys >> _ID).astype(np.int64), (keys & _U((1 << 24) - 1)).astype(np.int64)
-        if not len(keys):
+
+def _count_facts(runs: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
+    ok = c >= MIN_CONTEXT
+    k = K.join(runs[ok], _COUNT)
+    return deal(K.mix(k), n, 0, k, c[ok].astype(np.float64), np.zeros(int(ok.sum()), np.int64))
+
+
+def level_facts(runs: DataFrame, d: int, facts: DataFrame, log_total: float, n: int) -> DataFrame:
+    """Facts of the retained contexts of d words and of their stored pairs, with counts; runs are kind 1 blobs of d + 1 words."""
+
+    def ask(batches):
+        for bucket, _, x in by_kind(batches):
+            run = np.frombuffer(x[0], _U)
+            m = np.frombuffer(x[2], _U).reshape(len(run), -1)
+            rows = [(bucket, 3, *x)]
+            own = [m[:, d]]  # the word
+            for j in range(1, d):
+                own += [K.join(m[:, j - 1], _CONTEXT), K.join(m[:, d + j], _PAIR)]
+            for key in own:
+                rows += deal(K.mix(key), n, 1, key, run)
+            key = K.join(m[:, d - 1], _COUNT)
+            yield blob_batch(rows + deal(K.mix(key), n, 2, key, run))
+
+    def meet(batches):
+        replies, own = {1: [], 2: []}, []
+        for _, kind, x in by_kind(batches):
+            (own if kind == 3 else replies[kind]).append(x)
+        if own:
+            run, c = joined([x[0] for x in own], _U), joined([x[1] for x in own], np.int64)
+            m = joined([x[2] for x in own], _U).reshape(len(run), -1)
+            order = np.argsort(run)
+            run, c, ctx = run[order], c[order], m[order, d - 1]
+            q, total = _sums(replies[1], run)[0] - log_total, _sums(replies[2], run)[0]
+            ok = total >= MIN_CONTEXT
+            yield blob_batch(deal(K.mix(ctx[ok]), n, 0, ctx[ok], run[ok], np.stack([c[ok].astype(float), q[ok], total[ok]], 1)))
+
+    def learn(batches):
+        got = [x for _, _, x in by_kind(batches)]
+        ctx, run = joined([x[0] for x in got], _U), joined([x[1] for x in got], _U)
+        num = joined([x[2] for x in got], np.float64).reshape(-1, 3)
+        order = np.lexsort((run, ctx))
+        ctx, run, (c, log_q, C) = ctx[order], run[order], num[order].T
+        if not len(ctx):
             return
-        C = level["count"][ctx].astype(float)
-        q = 10 ** self.log_prob(suf[ctx], word)[0]
         lead = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-        own = ctx[lead]
-        total = level["count"][own].astype(float)
-        stored = np.add.reduceat(counts, lead).astype(float)
-        rest, rest_q = total - stored, np.maximum(1 - np.add.reduceat(q, lead), 1e-12)
-        gain = np.add.reduceat(counts * np.log(counts / C / q), lead) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / total / rest_q), 0)
-        size = np.diff(np.concatenate([lead, [len(keys)]]))
+        size, total = np.diff(np.concatenate([lead, [len(ctx)]])), C[lead]
+        q, rest = 10**log_q, total - np.add.reduceat(c, lead)
+        rest_q = np.maximum(1 - np.add.reduceat(q, lead), 1e-12)
+        gain = np.add.reduceat(c * np.log(c / C / q), lead) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / total / rest_q), 0)
         keep = gain > 0.5 * size * np.log(total) + 3
-        number = len(self.suffix) + np.cumsum(keep) - 1
-        level["state"][own[keep]] = number[keep]
-        self.suffix = np.concatenate([self.suffix, suf[own[keep]]])
         log_rest = np.log10((rest + MU) / (total + MU))
-        self.log_rest = np.concatenate([self.log_rest, log_rest[keep]])
-        mine = np.repeat(keep, size)
-        prob = counts / (C + MU) + 10 ** np.repeat(log_rest, size) * q
-        new = (np.repeat(number, size)[mine].astype(_U) << _ID) | word[mine].astype(_U)
-        self.pair_keys = np.concatenate([self.pair_keys, new])
-        self.pair_log = np.concatenate([self.pair_log, np.log10(prob[mine])])
-        self.pairs = K.HashTable(K.mix(self.pair_keys))
-
-    def states(self, cand: list[np.ndarray], n: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        for level, c in zip(self.levels, cand):
-            if len(level["state"]):
-                s = np.where(c >= 0, level["state"][c], -1)
-                out = np.where(s >= 0, s, out)
+        key = K.join(ctx[lead][keep], _CONTEXT)
+        rows = deal(K.mix(key), n, 0, key, log_rest[keep], total[keep].astype(np.int64))
+        mine, back = np.repeat(keep, size), np.repeat(log_rest, size)
+        more = np.log10(c / (C + MU) + 10**back * q) - log_q - back
+        key = K.join(run[mine], _PAIR)
+        yield blob_batch(rows + deal(K.mix(key), n, 0, key, more[mine], c[mine].astype(np.int64)))
+
+    asked = runs.where("kind = 1").mapInArrow(ask, BLOB_SCHEMA).unionAll(facts)
+    met = regroup(answers(asked, n), n).mapInArrow(meet, BLOB_SCHEMA)
+    return materialize(regroup(met, n).mapInArrow(learn, BLOB_SCHEMA), "lm-level")
+
+
+class Model:
+    """Tables of a trained tree: facts of words and of the tree, the training tokens and types."""
+
+    def __init__(self, words: DataFrame, tree: list[DataFrame], tokens: int, types: int, n: int):
+        self.words, self.tree, self.tokens, self.types, self.n = words, tree, tokens, types, n
+        self.log_total = float(np.log10(max(1, tokens + types + 1)))
+
+    def facts(self) -> DataFrame:
+        out = self.words
+        for t in self.tree:
+            out = out.unionAll(t)
         return out
 
+    def hot(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and values of the facts of what has a share HOT of the tokens: at most 1 / HOT for the words, and twice that for each level."""
+        least = max(1, int(np.ceil(self.tokens * HOT)))
 
-def train(docs: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
-    """The model and the table of all word counts of the training documents."""
-    spark = bound_batches(docs).sparkSession
-    n = partitions(spark)
-    own = docs.where(~held_out(F.col("doc_id")))
-    words = materialize(count_keys(own, lambda h, first: h, n), "lm-words")
-    got = words.agg(F.sum(F.conv(F.hex("c"), 16, 10).cast("long")).alias("v"), F.sum(F.conv(F.hex("d"), 16, 10).cast("long")).alias("n")).first()
-    types, tokens = got["v"] or 0, got["n"] or 0
-    tree = SuffixTree(*frequent(words, max(1, int(np.ceil(tokens * WORD_SHARE)))), tokens, types)
-    context, pair = max(MIN_CONTEXT, int(np.ceil(tokens * CONTEXT_SHARE))), max(MIN_PAIR, int(np.ceil(tokens * WORD_SHARE)))
-    end = int(tree.words.find(np.array([END], _U))[0])
-    often = np.flatnonzero((tree.counts >= context) & (np.arange(len(tree.counts)) != end))
-    keys, counts = often.astype(_U), tree.counts[often]
-    for _ in range(depth):
-        if not len(keys):
+        def pick(batches):
+            for _, _, x in by_kind(batches):
+                ok = np.frombuffer(x[2], np.int64) >= least
+                yield blob_batch([(0, 0, np.frombuffer(x[0], _U)[ok].tobytes(), np.frombuffer(x[1], np.float64)[ok].tobytes())])
+
+        got = [(r["a"], r["b"]) for r in self.facts().mapInArrow(pick, BLOB_SCHEMA).select("a", "b").toLocalIterator()]
+        return joined([bytes(a) for a, _ in got], _U), joined([bytes(b) for _, b in got], np.float64)
+
+
+def _table_size(words: DataFrame) -> tuple[int, int]:
+    def size(batches):
+        c = [np.frombuffer(x[1], np.int64) for _, _, x in by_kind(batches)]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, c))], pa.int64()), pa.array([int(sum(x.sum() for x in c))], pa.int64())], names=["v", "n"])
+
+    got = words.mapInArrow(size, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    return got["v"] or 0, got["n"] or 0
+
+
+def train(docs: DataFrame, depth: int = DEPTH) -> Model:
+    """The model of the training documents."""
+    own = bound_batches(docs).where(~held_out(F.col("doc_id")))
+    n = buckets(docs)
+    words = materialize(count_words(own, n), "lm-words")
+    types, tokens = _table_size(words)
+    model = Model(materialize(word_facts(words, n), "lm-word-facts"), [], tokens, types, n)
+
+    def often(x):
+        k, c = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64)
+        return K.ngrams(k[(c >= MIN_CONTEXT) & (k != END)], 1)
+
+    candidates = bitmap(words, often, n)
+    found, counts, totals = None, None, {}
+    for d in range(1, depth + 2):  # runs of d + 1 words are counted while the parts of those of d words are gathered
+        runs = count_runs(own, d, candidates if d <= depth else None, found, counts, n)
+        if d > 1:
+            facts = model.facts().unionAll(totals[d - 1]) if d > 2 else model.facts()  # those of single words are with the words
+            model.tree.append(level_facts(runs, d - 1, facts, model.log_total, n))
+        if d > depth:
             break
-        tree.add_level(keys, counts)
-        model = spark.sparkContext.broadcast(tree)
+        counts = runs.where("kind = 0")
+        found = bitmap(counts, lambda x: np.frombuffer(x[0], _U), n)
+        candidates = bitmap(counts, lambda x: np.frombuffer(x[0], _U)[np.frombuffer(x[1], np.int64) >= MIN_CONTEXT], n)
 
-        def pairs_of(h, first, model=model):
-            ids = model.value.words.find(h)
-            c = model.value.candidates(ids, first)[-1]
-            ok = (c >= 0) & (ids >= 0)
-            return (c[ok].astype(_U) << _ID) | ids[ok].astype(_U)
+        def as_facts(batches):
+            for _, _, x in by_kind(batches):
+                yield blob_batch(_count_facts(np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64), n))
 
-        pk, pc = frequent(count_keys(own, pairs_of, n), pair)
-        model.unpersist()
-        tree.learn_level(pk, pc)
-        # a context grows by its next word, unless the text ends there
-        grow = (pc >= context) & ((pk & _U((1 << 24) - 1)).astype(np.int64) != end)
-        keys, counts = pk[grow], pc[grow]
-    return tree, words
+        totals[d + 1] = counts.mapInArrow(as_facts, BLOB_SCHEMA)
+    return model
 
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    tree, words = train(docs, depth)
-    model = spark.sparkContext.broadcast(tree)
-    log_total = float(np.log10(max(1, tree.total)))
+    docs = repeatable(docs.select("doc_id", "text"))
+    spark, model = docs.sparkSession, train(docs, depth)
+    n, log_total, train_tokens = model.n, model.log_total, model.tokens
+    hot = spark.sparkContext.broadcast(model.hot())
+    may = None
+    if model.tree:
+        tree = model.tree[0]
+        for t in model.tree[1:]:
+            tree = tree.unionAll(t)
+        may = bitmap(tree, lambda x: np.frombuffer(x[0], _U), n)
 
     def scan(batches):
-        """Kinds: 1 rare words with the row that asks; 2 rows with what is known of them."""
-        t, task, at = model.value, TaskContext.get().partitionId(), 0
-        asks, size, rows = [], 0, []
+        """Kinds: 1 words and 2 contexts and pairs with the row that asks; 3 rows with what is known of them."""
+        table, values = K.HashTable(K.mix(hot.value[0])), hot.value[1]
+        task, at = TaskContext.get().partitionId(), 0
+        asks, size = {1: [], 2: []}, 0
 
         def flush():
-            h, r = (np.concatenate(x) for x in zip(*asks))
-            asks.clear()
-            return deal(K.mix(h), n, 1, h, r)
+            rows = []
+            for kind, own in asks.items():
+                if own:
+                    h, r = (np.concatenate(x) for x in zip(*own))
+                    own.clear()
+                    rows += deal(K.mix(h), n, kind, h, r)
+            return rows
 
         for batch in batches:
             for part, arr in K.slices(batch):
-                h, first = token_stream(arr)
-                ids = t.words.find(h)
-                doc = np.repeat(np.arange(len(arr)), np.diff(first))
-                state = t.states(t.candidates(ids, first), len(ids))
-                logp, root = t.log_prob(state, ids)
-                rare = ids < 0
+                s = Stream(arr)
                 out = np.zeros(len(arr), _ROW)
                 out["row"] = row_keys(task, at, len(arr))
                 at += len(arr)
                 out["id"] = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 out["has_id"] = part.column(0).is_valid().to_numpy(zero_copy_only=False)
                 out["held"] = part.column(1).to_numpy(zero_copy_only=False)
-                out["n"] = np.diff(first)
-                out["known"] = np.bincount(doc[~rare], minlength=len(arr))
-                out["base"] = np.bincount(doc, np.where(rare, -log_total, t.log_root[ids] if len(t.log_root) else 0.0), len(arr))
-                out["score"] = np.bincount(doc, np.where(rare, logp - log_total, logp), len(arr))
-                rows += deal(K.mix(out["row"]), n, 2, out)
-                asks.append((h[rare], out["row"][doc[rare]]))
-                size += int(rare.sum())
+                out["n"] = np.diff(s.first)
+
+                def add(key, where, kind, field, out=out, s=s):
+                    got = table.find(K.mix(key))
+                    ok = got >= 0
+                    out[field] += np.bincount(s.doc[where[ok]], values[got[ok]], len(out))
+                    if kind == 1:
+                        out["known"] += np.bincount(s.doc[where[ok]], minlength=len(out))
+                    asks[kind].append((key[~ok], out["row"][s.doc[where[~ok]]]))
+                    return int((~ok).sum())
+
+                size += add(s.h, np.arange(len(s.h)), 1, "base")
+                for d in range(1, len(model_levels) + 1):
+                    ctx = K.join(s.contexts(s.grams(d)), _CONTEXT)
+                    where = np.flatnonzero((s.at >= d) & may.value.has(ctx))
+                    size += add(ctx[where], where, 2, "more")
+                    pair = K.join(s.grams(d + 1)[where], _PAIR)
+                    ok = may.value.has(pair)
+                    size += add(pair[ok], where[ok], 2, "more")
+                yield blob_batch(deal(K.mix(out["row"]), n, 3, out))
                 if size > _FLUSH:
-                    yield blob_batch(flush())
                     size = 0
-            yield blob_batch(rows)
-            rows = []
-        if asks:
-            yield blob_batch(flush())
-
-    def answer(batches):
-        k, c, hold, through = [], [], [], []
-        for bucket, kind, x in by_kind(batches):
-            if kind == 0:
-                k.append(x[0])
-                c.append(x[1])
-            elif kind == 1:
-                hold.append(x)
-            else:
-                through.append((bucket, kind, *x))
-                if len(through) >= 500:
-                    yield blob_batch(through)
-                    through = []
-        yield blob_batch(through)
-        h, r = joined([x[0] for x in hold], _U), joined([x[1] for x in hold], _U)
-        if len(h):
-            keys, counts = joined(k, _U), joined(c, np.int64)
-            at = np.searchsorted(keys, h)
-            ok = at < len(keys)
-            ok[ok] = keys[at[ok]] == h[ok]
-            count = np.zeros(len(h), np.int64)
-            count[ok] = counts[at[ok]]
-            row, inv = np.unique(r, return_inverse=True)
-            yield blob_batch(deal(K.mix(row), n, 0, row, np.bincount(inv, np.log10(count + 1.0), len(row)), np.bincount(inv, count > 0, len(row))))
+                    yield blob_batch(flush())
+        yield blob_batch(flush())
 
     def finish(batches):
-        replies, own = [], []
+        replies, own = {1: [], 2: []}, []
         for _, kind, x in by_kind(batches):
-            (replies if kind == 0 else own).append(x)
+            (own if kind == 3 else replies[kind]).append(x)
         out = joined([x[0] for x in own], _ROW).copy()
         out = out[np.argsort(out["row"], kind="stable")]
-        row, logs, known = joined([x[0] for x in replies], _U), joined([x[1] for x in replies], np.float64), joined([x[2] for x in replies], np.float64)
-        at = np.searchsorted(out["row"], row)
-        s, kn = np.bincount(at, logs, len(out)), np.bincount(at, known, len(out))
+        base, known = _sums(replies[1], out["row"])
+        more = _sums(replies[2], out["row"])[0]
+        base = out["base"] + base - out["n"] * log_total
         yield pa.RecordBatch.from_arrays([
-            pa.array(out["id"], mask=out["has_id"] == 0), pa.array(out["held"].astype(bool)), pa.array(out["n"]), pa.array(out["known"] + kn.astype(np.int64)),
-            pa.array(np.full(len(out), tree_tokens, np.int64)), pa.array(out["base"] + s), pa.array(out["score"] + s),
+            pa.array(out["id"], mask=out["has_id"] == 0), pa.array(out["held"].astype(bool)), pa.array(out["n"]), pa.array(out["known"] + known.astype(np.int64)),
+            pa.array(np.full(len(out), train_tokens, np.int64)), pa.array(base), pa.array(base + out["more"] + more),
         ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    tree_tokens = tree.tokens
+    model_levels = list(range(len(model.tree)))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
-    asked = src.mapInArrow(scan, BLOB_SCHEMA).unionAll(words)
-    replied = regroup(asked, n).mapInArrow(answer, BLOB_SCHEMA)
+    replied = answers(src.mapInArrow(scan, BLOB_SCHEMA).unionAll(model.facts()), n)
     return regroup(replied, n).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

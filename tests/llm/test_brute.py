@@ -159,10 +159,45 @@ def test_suffix_tree(docs, corpus):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert r["score"] < 0
-
-
-def test_suffix_tree_states_are_distributions(frame):
+    model = brute_tree([toks[i] for i in toks if not out[i]], suffix_tree_lm.DEPTH)
+    for i, w in toks.items():
+        assert got[i]["score"] == pytest.approx(model(w))
+
+
+def brute_tree(texts, depth):
+    """The log10 probability of a text under the tree of the training texts, by plain dictionaries."""
+    m = suffix_tree_lm
+    runs = collections.Counter(tuple(w[k : k + d]) for w in texts for d in range(1, depth + 2) for k in range(len(w) - d + 1))
+    total = sum(c for r, c in runs.items() if len(r) == 1) + sum(len(r) == 1 for r in runs) + 1
+    state = {}
+
+    def prob(s, x):  # in the longest retained suffix of s
+        while s and s not in state:
+            s = s[1:]
+        if not s:
+            return (runs[(x,)] + 1) / total
+        C, stored, rest = state[s]
+        return stored.get(x, 0) / (C + m.MU) + (rest + m.MU) / (C + m.MU) * prob(s[1:], x)
+
+    for d in range(1, depth + 1):
+        by = collections.defaultdict(dict)
+        for r, c in runs.items():
+            if len(r) == d + 1 and c >= m.MIN_PAIR and runs[r[:-1]] >= m.MIN_CONTEXT:
+                by[r[:-1]][r[-1]] = c
+        new = {}
+        for s, stored in by.items():
+            C, q = runs[s], {x: prob(s[1:], x) for x in stored}
+            rest, rest_q = C - sum(stored.values()), max(1 - sum(q.values()), 1e-12)
+            gain = sum(c * math.log(c / C / q[x]) for x, c in stored.items()) + (rest * math.log(rest / C / rest_q) if rest else 0)
+            if gain > 0.5 * len(stored) * math.log(C) + 3:
+                new[s] = (C, stored, rest)
+        state |= new
+    score = lambda w: sum(math.log10(prob(tuple(w[max(0, k - depth) : k]), x)) for k, x in enumerate(w))
+    score.states, score.prob, score.words = state, prob, [r[0] for r in runs if len(r) == 1]
+    return score
+
+
+def test_suffix_tree_states_are_distributions(frame, monkeypatch):
     """On a source whose next word depends on the last two, contexts are retained and held-out scores improve."""
     r = np.random.default_rng(0)
     rows = []
@@ -171,17 +206,38 @@ def test_suffix_tree_states_are_distributions(frame):
         for _ in range(60):
             w.append("abcd"[(ord(w[-1]) + 2 * ord(w[-2]) + int(r.random() < 0.1)) % 4])
         rows.append((i, " ".join(w)))
-    docs = frame(rows).select("doc_id", "text")
-    tree, _ = suffix_tree_lm.train(docs)
-    assert len(tree.suffix) > 4
-    ids = np.arange(len(tree.counts))
-    root = (tree.counts + 1) / tree.total
-    for s in range(1, len(tree.suffix)):
-        p = 10 ** tree.log_prob(np.full(len(ids), s), ids)[0]
-        assert p.sum() <= 1 + 1e-9
-        assert p.sum() >= root.sum() - 1e-9
-    got = [x for x in suffix_tree_lm.score(docs).collect() if x["held_out"]]
-    assert sum(x["score"] for x in got) > 0.6 * sum(x["base_score"] for x in got)
+    rows += [(400, None), (401, "a c d unseen b b"), (402, "")]
+    model = brute_tree([[*words(t, True), None] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], suffix_tree_lm.DEPTH)
+    assert len([s for s in model.states if len(s) == 2]) > 4
+    for s in model.states:
+        assert sum(model.prob(s, x) for x in model.words) <= 1 + 1e-9
+    got = {x["doc_id"]: x for x in suffix_tree_lm.score(frame(rows).repartition(4)).collect()}
+    for i, t in rows:
+        assert got[i]["score"] == pytest.approx(model([*words(t, True), None]))
+    # nothing is hot, and everything is asked by shuffle: the same scores
+    monkeypatch.setattr(suffix_tree_lm.Model, "hot", lambda self: (np.zeros(0, np.uint64), np.zeros(0)))
+    assert {x["doc_id"]: round(x["score"], 9) for x in suffix_tree_lm.score(frame(rows)).collect()} == {i: round(x["score"], 9) for i, x in got.items()}
+    held = [x for x in got.values() if x["held_out"]]
+    assert sum(x["score"] for x in held) > 0.6 * sum(x["base_score"] for x in held)
+
+
+def test_what_the_tree_gathers_grows_with_the_corpus(frame):
+    """Ten times the text with ten times the contexts: ten times the retained states, none of them crowded out."""
+    def states(k):
+        r = np.random.default_rng(k)
+        rows = []
+        for i in range(100 * k):
+            w = [f"v{i % k}x{r.integers(30)}"]
+            for _ in range(80):
+                w.append(f"v{i % k}x{(int(w[-1].split('x')[1]) * 7 + int(r.integers(3))) % 30}")
+            rows.append((i, " ".join(w)))
+        model = suffix_tree_lm.train(frame(rows), 1)
+        blobs = model.tree[0].select("c").collect()
+        return sum(len(b["c"]) // 8 for b in blobs)
+
+    one, ten = states(1), states(10)
+    assert one > 60
+    assert ten > 8 * one
 
 
 def test_decontamination(frame, spark, corpus):
