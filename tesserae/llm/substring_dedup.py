@@ -21,7 +21,8 @@ bytes; above that more windows pass to the exact step, and none is lost.
 Nulls and odd cases: a null or empty text has no words and keeps the hash of the
 empty string; a text shorter than a window keeps all its words; overlapping
 windows of a periodic text count as different starts; repeated rows lose
-everything that a window covers; very long texts are scanned in one task.
+everything that a window covers; very long texts are scanned in one task; input
+that is no plain scan is written first, as rows are numbered by task and place.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import BLOB_SCHEMA, blob_batch, bound_batches, bucket_of, by_kind, deal, id_bytes, id_value, joined, partitions, regroup, row_keys
+from .common import BLOB_SCHEMA, blob_batch, bound_batches, bucket_of, buckets, by_kind, deal, id_bytes, id_value, joined, regroup, repeatable, row_keys
 
 WINDOW, GRAM = 35, 8
 DEPTH, MIN_BITS, MAX_BITS = 2, 20, 28
@@ -73,9 +74,8 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (K.mix(h * _ROW[row]) >> _U(64 - bits)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
+def sketch(docs: DataFrame, bits: int, window: int, gram: int, n: int) -> DataFrame:
     """(bucket, a): for each piece of each row the bits of the cells that reached two, merged over all partitions."""
-    n = partitions(docs.sparkSession)
     piece = min(bits, PIECE_BITS)
     low = np.int64((1 << piece) - 1)
 
@@ -133,13 +133,13 @@ def _sketch_bits(docs: DataFrame, bits: int | None) -> int:
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space) of every text."""
-    spark = bound_batches(docs).sparkSession
-    n = partitions(spark)
+    spark, docs = bound_batches(docs).sparkSession, repeatable(docs.select("doc_id", "text"))
+    n = buckets(docs)
     bits = _sketch_bits(docs, bits)
     piece = min(bits, PIECE_BITS)
     planes = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(DEPTH)]
     # the merged sketch has DEPTH * 2**(bits - 3) bytes at most, whatever the input
-    for r in sketch(docs, bits, window, gram).select("bucket", "a").toLocalIterator():
+    for r in sketch(docs, bits, window, gram, n).select("bucket", "a").toLocalIterator():
         row, k = divmod(r["bucket"], 1 << (MAX_BITS - PIECE_BITS))
         planes[row][k << (piece - 3) : (k + 1) << (piece - 3)] = np.frombuffer(r["a"], np.uint8)
     seen = spark.sparkContext.broadcast(planes)
