@@ -454,6 +454,70 @@ def test_randomness_battery(frame):
     assert sum(v for i, v in got.items() if i >= 100) == 0
 
 
+def brute_battery(run):
+    """(encoding, p-value) of a run in plain Python."""
+    enc, (_, alphabet, k) = next((e, v) for e, v in secret_scan.ENCODINGS.items() if re.fullmatch(v[0], run))
+    n, a, x = len(run), len(alphabet), [alphabet.index(c) for c in run]
+    sq = sum(v * v for v in collections.Counter(run).values())
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = (a / n * sq - n - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n)
+    up = [v >= a / 2 for v in x]
+    h = sum(up)
+    mu = 2 * h * (n - h) / n + 1
+    count = 1 + sum(p != q for p, q in zip(up, up[1:]))
+    z_runs = 9.0 if h in (0, n) else abs(count - mu) / math.sqrt(max((mu - 1) * (mu - 2) / (n - 1), 1e-9))
+    den = n * sum(v * v for v in x) - sum(x) ** 2
+    serial = 1.0 if den <= 0 else (n * sum(p * q for p, q in zip(x, x[1:] + x[:1])) - sum(x) ** 2) / den
+    z_serial = abs(serial + 1 / (n - 1)) / (n / (n - 1) * math.sqrt(1 / (n - 2)))
+    if 3 * min(tail(chi), 2 * tail(z_runs), 2 * tail(z_serial)) < secret_scan.LEVEL:
+        return enc, 1.0
+    ic = (sq - n) / (n * (n - 1))
+    return enc, tail((k - ic) / math.sqrt(2 * k * (1 - k) / (n * (n - 1)) + 1.6 * k * k / n))
+
+
+POOLS = {"digits": "0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"}
+
+
+def test_secret_spans_against_brute_force(frame):
+    """Every run tested, the family without base spans, and the reported spans just those that Benjamini-Hochberg selects."""
+    r, rows = np.random.default_rng(11), [*SECRETS]
+    for i in range(240):
+        pool, n = list(POOLS.values())[i % 6], (24, 40, 64, 128, 256)[i % 5]
+        word = "".join(r.choice(list(pool), n))
+        rows.append((1000 + i, f"see {word} there " + ("token=" + word[:30] if i % 7 == 0 else prose(i, 6).replace(" ", "_" if i % 2 else "")) + " 2024-01-01-2024-01-02 " + "ab1" * 9))
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.secret_report(frame(rows).repartition(3)).collect()}
+    kinds = [("assign", secret_scan.ASSIGN, lambda m: len(m[2]) >= 8), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32)]
+    base, family = {}, collections.defaultdict(list)
+    for i, t in rows:
+        base[i] = sorted((m.start(), k, name, m.end()) for k, (name, pat, ok) in enumerate(kinds) for m in re.finditer(pat, t or "") if ok(m))
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t or ""):
+            if not any(s < m.end() and m.start() < e for s, _, _, e in base[i]):
+                enc, p = brute_battery(m[0])
+                family[enc, math.floor(2 * math.log2(len(m[0])))].append((math.floor(-math.log10(max(p, 1e-300)) / secret_scan.BIN + 1e-12), i, m.start(), m.end()))
+    want = {i: [(s, k, f"{name}:{s}:{e}") for s, k, name, e in own] for i, own in base.items()}
+    for own in family.values():
+        own.sort(reverse=True)
+        ends = [j for j in range(len(own)) if j + 1 == len(own) or own[j + 1][0] < own[j][0]]
+        good = [j for j in ends if len(own) * 10 ** (-secret_scan.BIN * min(own[j][0], secret_scan.BINS)) <= secret_scan.Q * (j + 1)]
+        for _, i, s, e in own[: good[-1] + 1 if good else 0]:
+            want[i].append((s, 3, f"random:{s}:{e}"))
+    assert got == {i: ",".join(x for _, _, x in sorted(own)) for i, own in want.items()}
+
+
+def test_secrets_of_every_encoding_are_found(frame):
+    """Planted among words joined by underscores: at the lengths at which an encoding holds enough evidence, 0.9 or more (32 digits are a base span)."""
+    r, rows, i = np.random.default_rng(12), [], 0
+    for enc, n in (("lower", 256), ("letters", 96), ("base32", 128), ("base62", 48), ("base64", 48)):
+        for _ in range(40):
+            rows.append((i, "see " + "".join(r.choice(list(POOLS[enc]), n)) + " there"))
+            i += 1
+    rows += [(1000 + k, f"file the_{prose(k, 8).replace(' ', '_')} kept {'lorem' * 6} {'2024' * 8}") for k in range(100)]
+    got = {x["doc_id"]: x["n_random"] for x in secret_scan.secret_report(frame(rows)).collect()}
+    for k in range(5):
+        assert sum(got[j] for j in range(40 * k, 40 * k + 40)) >= 36
+    assert sum(v for j, v in got.items() if j >= 1000) <= 3
+
+
 def test_pii(frame):
     rows = [(1, "mail a.b+c@x-y.example.org, a@b@c.d or @no.pe; 1.2.3.4.5.6.7.8 999.1.1.1 é 010.0.0.255"), (2, "card 4111 1111 1111 1111 or 4111-1111-1111-1112 and 4111111111111111 +1 (743) 555-3824. +12 +1((((("), (3, None), (4, "plain words")]
     rows += [(10 + i, f"call +1 (743) 555-{1000 + i} or write user{i}@mail.example.com from 10.0.{i}.7 with 4111111111111111") for i in range(40)]
