@@ -64,6 +64,7 @@ def apply(xs: list, types: tuple[DType, ...], kernel) -> NDArray:
     session = _session(xs)
     arrays = [typed(x, t, session) for x, t in zip(xs, types)]
     shape = S.broadcast([a.shape for a in arrays])
+    arrays = _block_by_block(arrays, shape)
     base, coords, cols = combine(arrays, shape)
     value, t, err = kernel(*[c for c, _ in cols])
     out = NDArray(base, coords, value, shape, t, _or(err, *[e for _, e in cols]), session)
@@ -71,6 +72,27 @@ def apply(xs: list, types: tuple[DType, ...], kernel) -> NDArray:
     return out
 
 
+def _block_by_block(arrays: list[NDArray], shape: tuple[int, ...]) -> list[NDArray]:
+    """Elementwise results of different stored arrays of one grid, over a base that pairs their blocks; else the arrays as they are."""
+    own = [a for a in arrays if a.base is not CONSTANT]
+    plain = lambda a: a.lift is not None and not a.base.stored.region and a.shape == shape and [c.key for c in a.coords] == [("stored", d) for d in range(len(shape))]
+    if not shape or len({a.base.key for a in own}) < 2 or any(a.base.stored is None or not plain(a) for a in own) or len({a.base.stored.block for a in own}) > 1:
+        return arrays
+    both = own[0].base.stored
+    for a in own[1:]:
+        both = both.paired(a.base.stored)
+    over = both.array()
+
+    def moved(a: NDArray) -> NDArray:
+        lift = lambda v: a.lift(both.element(a.base.stored, v))
+        value, err = lift(over.value)
+        out = NDArray(over.base, over.coords, value, shape, a.dtype, err, a.session)
+        out.lift = lift
+        return out
+
+    return [a if a.base is CONSTANT else moved(a) for a in arrays]
+
+
 def _lifted(arrays: list[NDArray], base: Base, coords: list, shape: tuple[int, ...], kernel):
     """The result as a function of a stored element, if all operands are that or constants, position for position."""
     st = base.stored

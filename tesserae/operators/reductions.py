@@ -102,12 +102,11 @@ def product(array, dim=None, *, keepdim: bool = False) -> NDArray:
     a, dims = _start("product", array, dim, _NUMERIC[1:])
     t = a.dtype
     if t.rank == D.COMPLEX:
-        # polar form: moduli multiply, angles add
-        def polar(v, at):
-            r, w = at(F.product(F.hypot(v["re"], v["im"]).cast("double"))), at(F.sum(F.atan2(v["im"].cast("double"), v["re"].cast("double"))))
-            return casts.pair(r * F.cos(w), r * F.sin(w), t)
-
-        return _reduce(a, dims, polar, t, keepdim, casts.literal(1, t))
+        if S.size(tuple(a.shape[d] for d in dims)) == 0:
+            return _reduce(a, dims, None, t, keepdim, casts.literal(1, t))
+        # the products of parts of a bounded number of elements, in double precision; whole numbers stay exact
+        times = lambda x, y: F.struct((x["re"] * y["re"] - x["im"] * y["im"]).alias("re"), (x["re"] * y["im"] + x["im"] * y["re"]).alias("im"))
+        return cast(reduce_unordered(cast(a, D.c128), times, dims, keepdim=keepdim), t)
     if t.rank == D.FLOAT:
         return _reduce(a, dims, lambda v, at: at(F.product(v.cast("double"))), t, keepdim, F.lit(1.0))
     out = D.i64 if t.rank == D.INT else D.u64

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,7 +241,8 @@ _each("map_multiple", lambda t: ts.map_multiple([t.part(), t.part(), t.part()],
 
 # alignment of arrays over different bases
 register("align_join", lambda t: t.ord() - ts.slice(ts.concatenate([t.ord("o_custkey", "i64"), t.ord("o_custkey", "i64")]), slice(0, t.ord().shape[0])), f"WITH {_ORD} SELECT d0, {_f('v - c')} AS v FROM a")
-register("outer_product", lambda t: ts.slice(t.part(), slice(0, 50)).insert_dim(1) * ts.slice(t.part(), slice(50, 80)), f"WITH {_PART} SELECT x.d0, y.d0 - 50 AS d1, (x.s * y.s)::BIGINT AS v FROM a x, a y WHERE x.d0 < 50 AND y.d0 BETWEEN 50 AND 79")
+_SHORT = f"b AS (SELECT d1 AS d0, SUM((v > 0)::INT)::BIGINT AS c FROM (WITH {_EMB} SELECT * FROM a) GROUP BY d1)"
+register("outer_product", lambda t: t.part().insert_dim(1) * (t.emb > 0).sum(0).cast("i64"), f"WITH {_PART}, {_SHORT} SELECT a.d0, b.d0 AS d1, (a.s * b.c)::BIGINT AS v FROM a, b")
 register("normalize", lambda t: (_e64(t) - _e64(t).mean(0)) / _e64(t).std(1, keepdim=True), f"WITH {_EMB} SELECT d0, d1, {_f('(v::DOUBLE - AVG(v::DOUBLE) OVER (PARTITION BY d1)) / STDDEV_POP(v::DOUBLE) OVER (PARTITION BY d0)')} AS v FROM a")
 register("elementwise_pipeline", lambda t: ts.log(ts.exp(_e64(t)) * 0.5 + 1), f"WITH {_EMB} SELECT d0, d1, {_f('ln(exp(v::DOUBLE) * 0.5 + 1)')} AS v FROM a")
 register("reduction_pipeline", lambda t: ts.exp(_e64(t)).sum(0), f"WITH {_EMB} SELECT d1 AS d0, {_f('SUM(exp(v::DOUBLE))')} AS v FROM a GROUP BY d1")
@@ -254,3 +256,27 @@ register("plain", lambda t: (t.part() + 1).plain() * 2, f"WITH {_PART} SELECT d0
 register("write_read", lambda t: t.emb.compact({"block_shape": (32, 64)}), f"WITH {_EMB} SELECT d0, d1, {_f('v')} AS v FROM a")
 register("region_read", lambda t: ts.slice(t.emb.compact({"block_shape": (16, 16)}), (slice(40, 60), slice(20, 36))), f"WITH {_EMB} SELECT d0 - 40 AS d0, d1 - 20 AS d1, {_f('v')} AS v FROM a WHERE d0 BETWEEN 40 AND 59 AND d1 BETWEEN 20 AND 35")
 register("scalar", lambda t: ts.scalar(math.pi, D.f64, (2, 2), session=t.spark), "SELECT i::BIGINT AS d0, j::BIGINT AS d1, ROUND(pi(), 6) + 0.0 AS v FROM range(2) AS x(i), range(2) AS y(j)")
+
+
+def _appended(t: Tables) -> NDArray:
+    """Two arrays written to one folder by name and read back, added block by block."""
+    import uuid
+
+    from .sources.blocks import _own_folder
+
+    path = f"{t.spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/tesserae/pair-{uuid.uuid4().hex}"
+    ts.write_array(t.part(), path, name="size", params={"block_shape": (128,)})
+    ts.write_array(t.part() * 2, path, append=True, name="double", params={"block_shape": (128,)})
+    size, double = (ts.read_array(path, name=n, validation="strict", session=t.spark) for n in ("size", "double"))
+    return size + double
+
+
+# indexing, elements and the rest of the array protocol
+register("getitem", lambda t: ts.asarray(t.emb[2:5, 7], session=t.spark), f"WITH {_EMB} SELECT d0 - 2 AS d0, {_f('v')} AS v FROM a WHERE d0 BETWEEN 2 AND 4 AND d1 = 7")
+register("get", lambda t: ts.asarray([int(t.part()[3])], session=t.spark), f"WITH {_PART} SELECT 0::BIGINT AS d0, s AS v FROM a WHERE d0 = 3")
+register("item", lambda t: ts.asarray([t.part().sum().item()], session=t.spark), f"WITH {_PART} SELECT 0::BIGINT AS d0, SUM(s)::BIGINT AS v FROM a")
+register("maybe_compact", lambda t: ts.compact(ts.compact(t.part())), f"WITH {_PART} SELECT d0, s AS v FROM a")
+register("unary_plus", lambda t: +t.part(), f"WITH {_PART} SELECT d0, s AS v FROM a")
+register("numpy_operand", lambda t: np.arange(64, dtype="f8") + _e64(t), f"WITH {_EMB} SELECT d0, d1, {_f('v::DOUBLE + d1')} AS v FROM a")
+register("read_append_strict", _appended, f"WITH {_PART} SELECT d0, 3 * s AS v FROM a")
+register("product_complex", lambda t: (_grid(t) % 3 + 1).cast("c128").prod(1).real(), f"WITH {_PART}, {_G} SELECT d0, PRODUCT(v % 3 + 1) AS v FROM g GROUP BY d0")

@@ -9,8 +9,11 @@ apart.
 
 from __future__ import annotations
 
+import atexit
 import json
 import math
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,8 @@ from ..session import engine_session
 
 BLOCK_BYTES = 1 << 20
 MAX_BLOCK_BYTES = 1 << 30
+PART_BYTES = 128 << 20  # of an array in a partition that is written
+RUNS = 8  # of blocks in a partition
 _PARAMS = {"block_shape", "block_shape_fixed_dims", "block_size", "read_size", "codec", "compression_level", "filters"}
 
 
@@ -87,16 +92,19 @@ def to_blocks(a: NDArray, block: tuple[int, ...]) -> DataFrame:
         off = off * width + (F.col(f"d{d}") - start)
     keyed = df.select(*bs, F.struct(off.alias("o"), F.col("v")).alias("c"))
     keys = [f"b{d}" for d in range(a.ndim)]
-    vals = F.transform(F.array_sort(F.collect_list("c"), lambda x, y: (x["o"] - y["o"]).cast("int")), lambda x: x["v"]).alias("vals")
-    return keyed.groupBy(*keys).agg(vals) if keys else keyed.agg(vals)
+    # offsets differ, so the natural order of (offset, value) is that of the offsets
+    vals = F.transform(F.array_sort(F.collect_list("c")), lambda x: x["v"]).alias("vals")
+    if not keys:
+        return keyed.agg(vals)
+    return _in_place(keyed, a, block).groupBy("run", *keys).agg(vals).drop("run")
 
 
 class Stored:
     """An array in block layout, and the cells of the blocks that meet a region."""
 
-    def __init__(self, blocks: DataFrame, shape: tuple[int, ...], dtype: DType, block: tuple[int, ...], region: dict | None = None, uid: str | None = None):
+    def __init__(self, blocks: DataFrame, shape: tuple[int, ...], dtype: DType, block: tuple[int, ...], region: dict | None = None, uid: str | None = None, sides: tuple | None = None):
         self.blocks, self.shape, self.dtype, self.block = blocks, shape, dtype, block
-        self.region, self.uid = region or {}, uid or uuid.uuid4().hex
+        self.region, self.uid, self.sides = region or {}, uid or uuid.uuid4().hex, sides
 
     @property
     def key(self):
@@ -121,7 +129,30 @@ class Stored:
         for d, (lo, hi) in region.items():
             a, b = own.get(d, (0, self.shape[d]))
             own[d] = (max(lo, a), min(hi, b))
-        return Stored(self.blocks, self.shape, self.dtype, self.block, own, self.uid).base()
+        return Stored(self.blocks, self.shape, self.dtype, self.block, own, self.uid, self.sides).base()
+
+    def paired(self, other: "Stored") -> "Stored":
+        """Both arrays of one grid, block by block: an element is the struct (x, y) of theirs.  Blocks are joined, not cells."""
+        if other.element(self, F.lit(None)) is not None:
+            return other
+        if self.element(other, F.lit(None)) is not None:
+            return self
+        keys = [f"b{d}" for d in range(len(self.shape))]
+        right = other.blocks.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("vals").alias("__vals"))
+        both = self.blocks.join(right, [F.col(k) == F.col(f"__{k}") for k in keys])
+        vals = F.zip_with("vals", "__vals", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("vals")
+        return Stored(both.select(*keys, vals), self.shape, self.dtype, self.block, uid=f"({self.uid}*{other.uid})", sides=(self, other))
+
+    def element(self, of: "Stored", v):
+        """The element of another array as part of v, an element of this one; None if it is no part."""
+        if of.uid == self.uid:
+            return v
+        for name, side in zip("xy", self.sides or ()):
+            if side.element(of, F.lit(None)) is not None:
+                return side.element(of, v.getField(name))
+        if of.sides and all(self.element(x, v) is not None for x in of.sides):
+            return F.struct(*[self.element(x, v).alias(n) for n, x in zip("xy", of.sides)])
+        return None
 
     def array(self) -> NDArray:
         coords = [Coord(F.col(f"d{d}"), ("stored", d)) for d in range(len(self.shape))]
@@ -132,9 +163,25 @@ class Stored:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _in_place(cells: DataFrame, a: NDArray, block: tuple[int, ...]) -> DataFrame:
+    """Cells keyed by block, dealt to partitions by runs of blocks (column `run`): the one exchange of a write, without sampling."""
+    grid = [-(-n // b) for n, b in zip(a.shape, block)]
+    whole = max(1, math.prod(grid))
+    parts = min(whole, max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-a.size * a.dtype.size // PART_BYTES)))
+    place = F.lit(0).cast("bigint")
+    for d, n in enumerate(grid):
+        place = place * n + F.col(f"b{d}")
+    run = F.floor(place.cast("double") * (min(whole, RUNS * parts) / whole)).cast("int")  # several for a partition, so that their hashes even out
+    return cells.withColumn("run", run).repartition(parts, "run")
 
 
 def write_array(array, path: str, *, append: bool = False, name: str = "array", params: dict | None = None) -> None:
@@ -153,13 +200,19 @@ def write_array(array, path: str, *, append: bool = False, name: str = "array",
     block = choose_block_shape(a.shape, a.dtype, params, same.block if same else None)
     blocks = same.blocks if is_stored(a) and same.block == block else to_blocks(a, block)
     keys = [f"b{d}" for d in range(a.ndim)]
-    if keys:
-        blocks = blocks.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    if keys and not (same and same.sides is None and same.block == block):  # else a scan of sorted blocks
+        blocks = blocks.sortWithinPartitions(*keys)
     level = {"parquet.compression.codec.zstd.level": str(params["compression_level"])} if "compression_level" in params else {}
-    with translated():
-        blocks.write.options(compression="zstd", **level).mode("errorifexists").parquet(f"{path}/{name}/blocks")
+    new = not _exists(spark, path)
     about = {"shape": list(a.shape), "block": list(block), "dtype": _describe(a.dtype)}
-    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/{name}/about")
+    try:
+        with translated():
+            blocks.write.options(compression="zstd", **level).mode("errorifexists").parquet(f"{path}/{name}/blocks")
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/{name}/about")
+    except BaseException:  # a failed write leaves nothing behind
+        fs, own = _file_system(spark, path if new else f"{path}/{name}")
+        fs.delete(own, True)
+        raise
 
 
 def _describe(t: DType):
@@ -204,6 +257,17 @@ def is_stored(a: NDArray) -> bool:
     return a.base.stored is not None and a.untouched
 
 
+_OWN: list[str] = []
+
+
+def _own_folder() -> str:
+    """A folder of this process for a local session, which names no shared one; removed at exit."""
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="tesserae-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
+
+
 def compact(array, *, dtype=None, params: dict | None = None, session: SparkSession | None = None) -> NDArray:
     """Materialise an array-like into blocks in the folder of spark.checkpoint.dir; an unmodified stored array is returned."""
     from ..operators.elementwise import cast
@@ -216,11 +280,7 @@ def compact(array, *, dtype=None, params: dict | None = None, session: SparkSess
     spark = a.session or engine_session(session)
     if a.session is None:
         a = a.replace(session=spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"  # a local session: nothing shared is named
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     path = f"{folder}/tesserae/array-{uuid.uuid4().hex}"
     write_array(a, path, params=params)
     return read_array(path, session=spark)

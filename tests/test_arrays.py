@@ -376,3 +376,11 @@ def test_types_compare_with_numpy():
     assert a.dtype == "float32"
     assert a.dtype != "f8"
     same(a.slice(slice(0, 1)), np.zeros(1, "f4"))
+
+
+def test_complex_products_of_whole_numbers_are_exact():
+    x = np.array([[1 + 1j, 1 - 1j, 3, 2j], [2, 1j, -1j, 5 + 2j]])
+    assert ts.asarray(x).prod().item() == np.prod(x)
+    np.testing.assert_array_equal(ts.asarray(x).prod(1).numpy(), [12j, 10 + 4j])
+    np.testing.assert_array_equal(ts.asarray(x[:, :0]).prod(1).numpy(), [1, 1])
+    assert ts.asarray(x.astype("c8")).prod(0, keepdim=True).numpy().dtype == np.complex64

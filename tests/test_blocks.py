@@ -95,3 +95,59 @@ def test_elementwise_work_stays_inside_the_blocks(path):
     np.testing.assert_allclose((b.T + 0).compact().numpy(), want.T, rtol=1e-5)
     with pytest.raises(ArithmeticError):
         (ts.cast(a, "int32") // (ts.cast(a, "int32") - 7)).compact().numpy()
+
+
+def _stored(x, block, tmp_path, name):
+    ts.write_array(ts.asarray(x), str(tmp_path / name), params={"block_shape": block})
+    return ts.read_array(str(tmp_path / name))
+
+
+def test_stored_arrays_of_one_grid_meet_block_by_block(tmp_path):
+    y = np.cos(X).astype("f4")
+    a, b, c = _stored(X, (4, 5), tmp_path, "a"), _stored(y, (4, 5), tmp_path, "b"), _stored(y * 3, (4, 5), tmp_path, "c")
+    both = (a + b) * a - c / 2
+    from tesserae.sources.blocks import to_blocks
+
+    plan = to_blocks(both, (4, 5))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
+    assert "Generate" not in plan  # no cell is taken out of its block
+    assert both.cells()._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    want = (X + y) * X - y * 3 / 2
+    np.testing.assert_allclose(both.numpy(), want, rtol=1e-5)
+    np.testing.assert_allclose(both[2:9, 3:4], want[2:9, 3:4], rtol=1e-5)
+    np.testing.assert_allclose(both.compact().numpy(), want, rtol=1e-5)
+    np.testing.assert_allclose((both.T + 1).numpy(), want.T + 1, rtol=1e-5)
+    pruned = ts.slice(a + b, (slice(8, 10), slice(0, 2))).cells()._jdf.queryExecution().executedPlan().toString()
+    assert pruned.count("GreaterThanOrEqual(b0,2)") == 2  # both scans
+
+
+def test_stored_arrays_of_other_grids_meet_by_cells(tmp_path):
+    a, b = _stored(X, (4, 5), tmp_path, "a"), _stored(X * 2, (3, 6), tmp_path, "b")
+    np.testing.assert_array_equal((a + b).numpy(), X * 3)
+    with np.errstate(divide="ignore"):
+        i, j = _stored(np.arange(6), (2,), tmp_path, "i"), _stored(np.arange(6) - 3, (2,), tmp_path, "j")
+    with pytest.raises(ArithmeticError):
+        (i // j).compact()
+
+
+def test_writing_cells_takes_one_exchange():
+    from tesserae.sources.blocks import to_blocks
+
+    df = to_blocks(ts.asarray(X).spread() + 1, (4, 5)).sortWithinPartitions("b0", "b1")
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1
+
+
+def test_a_failed_write_leaves_nothing_behind(path, tmp_path):
+    import os
+
+    bad = ts.asarray(np.arange(4)) // ts.asarray(np.array([1, 2, 0, 1]))
+    with pytest.raises(ArithmeticError):
+        ts.write_array(bad, str(tmp_path / "new"))
+    assert not os.path.exists(tmp_path / "new")
+    with pytest.raises(ArithmeticError):
+        ts.write_array(bad, path, append=True, name="bad")
+    assert not os.path.exists(f"{path}/bad")
+    np.testing.assert_array_equal(ts.read_array(path).numpy(), X)
+    ts.write_array(ts.asarray(X), str(tmp_path / "new"))
+    np.testing.assert_array_equal(ts.read_array(str(tmp_path / "new")).numpy(), X)
