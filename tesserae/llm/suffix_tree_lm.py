@@ -20,7 +20,8 @@ of what its keys have.  What is counted and stored grows with the corpus.
 
 Words and runs of words are counted in packed shuffles of (hash, count), merged
 within each task first, so a frequent key costs one entry per task.  A run is
-counted only if its context is a candidate.  Facts of keys with a share HOT of all
+counted only if its context is a candidate and the run without its first word
+occurs MIN_PAIR times, without which it cannot either.  Facts of keys with a share HOT of all
 tokens are broadcast, at most 1 / HOT of each kind, so that no key that is asked by
 shuffle is a hot one.  Bitmaps of at most 2**MAX_BITS bits say which keys can have a
 fact; a wrong yes costs a question and changes nothing.  Words and runs are told
@@ -42,18 +43,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import BLOB_SCHEMA, blob_batch, bound_batches, buckets, by_kind, deal, joined, materialize, regroup, repeatable, row_keys
+from .common import BLOB_SCHEMA, blob_batch, bound_batches, bucket_of, buckets, by_kind, deal, joined, materialize, regroup, repeatable, row_keys
 
 DEPTH = 2
 MIN_CONTEXT, MIN_PAIR = 16, 3
 MU = 16.0
-HOT = 2.0**-18
+HOT = 2.0**-20
 MAX_BITS, PIECE_BITS = 28, 19
 FOLDS, FOLD = 7, 2
 END = np.uint64(K.splitmix(0xE0D))
 _U = np.uint64
 _CONTEXT, _PAIR, _COUNT = (_U(K.splitmix(i)) for i in (0xC0, 0xA1, 0xC7))
-_FLUSH = 1 << 21
+_FLUSH = 1 << 22
 _ROW = np.dtype([("row", "<u8"), ("id", "<i8"), ("has_id", "u1"), ("held", "u1"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("more", "<f8")])
 _NONE = np.zeros(0, _U)
 
@@ -99,6 +100,37 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return k[lead], np.add.reduceat(c, lead) if len(lead) else c
 
 
+def deal_counts(k: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
+    """Blobs of kind 0: keys, and counts of the first ones; the others count once."""
+    order = np.argsort(c == 1, kind="stable")
+    k, c, out = k[order], c[order], []
+    many = int((c > 1).sum())
+    for own, count in ((slice(0, many), c[:many].astype(np.uint32)), (slice(many, None), None)):
+        out += deal(K.mix(k[own]), n, 0, k[own], *([count] if count is not None else []))
+    return out
+
+
+def counts_of(x: tuple) -> tuple[np.ndarray, np.ndarray]:
+    k, c = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.uint32)
+    return k, c if len(c) else np.ones(len(k), np.uint32)
+
+
+def deal_questions(kind: int, keys: np.ndarray, rows: np.ndarray, base: int, n: int) -> list[tuple]:
+    """Questions (key, row): distinct keys, rows of each, then the rows less `base`, which are below 2**32."""
+    if not len(keys):
+        return []
+    bucket = bucket_of(K.mix(keys), n)
+    order = np.lexsort((keys, bucket))
+    bucket, keys, rows = bucket[order], keys[order], rows[order].astype(np.uint32)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.concatenate([new, [len(keys)]])).astype(np.uint32)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[new])) + 1, [len(new)]])
+    ends, out = np.concatenate([new, [len(keys)]]), []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        out.append((int(bucket[new[a]]), kind, keys[new[a:b]].tobytes(), size[a:b].tobytes(), rows[ends[a] : ends[b]].tobytes(), base.to_bytes(8, "little")))
+    return out
+
+
 class Stream:
     """Tokens of a run of texts with the hashes of the runs of words that end at each."""
 
@@ -176,15 +208,13 @@ def count_words(train: DataFrame, n: int) -> DataFrame:
             for _, arr in K.slices(batch):
                 tally.add(token_stream(arr)[0])
             if tally.size > _FLUSH:
-                k, c = tally.take()
-                yield blob_batch(deal(K.mix(k), n, 0, k, c.astype(np.uint32)))
-        k, c = tally.take()
-        yield blob_batch(deal(K.mix(k), n, 0, k, c.astype(np.uint32)))
+                yield blob_batch(deal_counts(*tally.take(), n))
+        yield blob_batch(deal_counts(*tally.take(), n))
 
     def merge(batches):
         now, parts = None, []
         for now, _, x in by_kind(batches):
-            parts.append((np.frombuffer(x[0], _U), np.frombuffer(x[1], np.uint32)))
+            parts.append(counts_of(x))
         k, c = merge_counts(parts)
         if len(k):
             yield blob_batch([(now, 0, k.tobytes(), c.tobytes())])
@@ -192,8 +222,8 @@ def count_words(train: DataFrame, n: int) -> DataFrame:
     return regroup(train.select("text").mapInArrow(count, BLOB_SCHEMA), n).mapInArrow(merge, BLOB_SCHEMA)
 
 
-def count_runs(train: DataFrame, d: int, contexts, found, counts: DataFrame | None, n: int) -> DataFrame:
-    """One scan that counts the runs of d + 1 words whose context the bitmap `contexts` has (kind 0: runs, counts of MIN_PAIR or more),
+def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: DataFrame | None, n: int) -> DataFrame:
+    """One scan that counts the runs of d + 1 words whose first d words the bitmap `contexts` has and the last d `suffixes` (kind 0: runs, counts of MIN_PAIR or more),
     and joins to the runs of d words, counted before (`counts`, bitmap `found`), what they are made of (kind 1: runs, counts, parts).
 
     The parts of a run are the runs that end before its last word, of 1, 2, ... words, then those that end with it, of 1, 2, ... words.
@@ -203,9 +233,7 @@ def count_runs(train: DataFrame, d: int, contexts, found, counts: DataFrame | No
         tally, parts, held = _Tally(), [], 0
 
         def flush():
-            rows = []
-            k, c = tally.take()
-            rows += deal(K.mix(k), n, 0, k, c.astype(np.uint32))
+            rows = deal_counts(*tally.take(), n)
             if parts:
                 key, m = (np.concatenate(x) for x in zip(*parts))
                 parts.clear()
@@ -217,8 +245,10 @@ def count_runs(train: DataFrame, d: int, contexts, found, counts: DataFrame | No
             for _, arr in K.slices(batch):
                 s = Stream(arr)
                 if contexts is not None:
-                    ctx = s.contexts(s.grams(d))
-                    ok = (s.at >= d) & contexts.value.has(ctx)
+                    own = s.grams(d)
+                    ok = np.flatnonzero(s.at >= d)
+                    ok = ok[contexts.value.has(s.contexts(own)[ok])]
+                    ok = ok[suffixes.value.has(own[ok])]
                     tally.add(s.grams(d + 1)[ok])
                 if found is not None:
                     run = s.grams(d)
@@ -237,7 +267,7 @@ def count_runs(train: DataFrame, d: int, contexts, found, counts: DataFrame | No
         for now, kind, x in by_kind(batches):
             key = np.frombuffer(x[0], _U)
             if kind == 0:
-                tally.append((key, np.frombuffer(x[1], np.uint32)))
+                tally.append(counts_of(x))
             elif kind == 1:
                 parts.append((key, np.frombuffer(x[1], _U).reshape(len(key), -1)))
             else:
@@ -262,7 +292,7 @@ def count_runs(train: DataFrame, d: int, contexts, found, counts: DataFrame | No
 
 
 def answers(asked: DataFrame, n: int) -> DataFrame:
-    """Sums of facts: kind 0 blobs are facts (keys, values), kinds 1 and 2 questions (keys, rows); others pass.
+    """Sums of facts: kind 0 blobs are facts (keys, values), kinds 1 and 2 questions (deal_questions); others pass.
 
     Answers are blobs of the question's kind, dealt by row: (rows, sums, numbers of keys that have a fact).
     """
@@ -285,25 +315,29 @@ def answers(asked: DataFrame, n: int) -> DataFrame:
         keys, values = keys[order], values[order]
         for kind, own in asks.items():
             while own:  # some questions at a time
-                part, size = [], 0
-                while own and size < 16 * _FLUSH:
-                    part.append(own.pop())
-                    size += len(part[-1][0])
-                h, r = joined([x[0] for x in part], _U), joined([x[1] for x in part], _U)
-                value, ok = np.zeros(len(h)), np.zeros(len(h), bool)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    ok = keys[at] == h
-                    value = np.where(ok, values[at], 0.0)
-                row, inv = np.unique(r, return_inverse=True)
-                yield blob_batch(deal(K.mix(row), n, kind, row, np.bincount(inv, value, len(row)), np.bincount(inv, ok, len(row))))
+                total, at, size = [], [], 0
+                while own and size < 4 * _FLUSH:
+                    h, count, rows, base = own.pop()
+                    h, rows = np.frombuffer(h, _U), np.frombuffer(rows, np.uint32)
+                    value, ok = np.zeros(len(h)), np.zeros(len(h), bool)
+                    if len(keys):
+                        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                        ok = keys[i] == h
+                        value = np.where(ok, values[i], 0.0)
+                    count = np.frombuffer(count, np.uint32)
+                    hit = np.repeat(ok, count)  # a key without a fact adds nothing
+                    at.append(rows[hit] + _U(int.from_bytes(base, "little")))
+                    total.append(np.repeat(value, count)[hit])
+                    size += len(rows)
+                row, inv, many = np.unique(np.concatenate(at), return_inverse=True, return_counts=True)
+                yield blob_batch(deal(K.mix(row), n, kind, row, np.bincount(inv, np.concatenate(total), len(row)), many.astype(np.uint32)))
 
     return regroup(asked, n).mapInArrow(run, BLOB_SCHEMA)
 
 
 def _sums(replies: list, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and numbers of the replies for ascending rows."""
-    r, s, k = joined([x[0] for x in replies], _U), joined([x[1] for x in replies], np.float64), joined([x[2] for x in replies], np.float64)
+    r, s, k = joined([x[0] for x in replies], _U), joined([x[1] for x in replies], np.float64), joined([x[2] for x in replies], np.uint32)
     at = np.searchsorted(row, r)
     return np.bincount(at, s, len(row)), np.bincount(at, k, len(row))
 
@@ -331,26 +365,24 @@ def level_facts(runs: DataFrame, d: int, facts: DataFrame, log_total: float, n:
     def ask(batches):
         for bucket, _, x in by_kind(batches):
             run = np.frombuffer(x[0], _U)
-            m = np.frombuffer(x[2], _U).reshape(len(run), -1)
-            rows = [(bucket, 3, *x)]
-            own = [m[:, d]]  # the word
+            m, base, at = np.frombuffer(x[2], _U).reshape(len(run), -1), (bucket + 1) << 40, np.arange(len(run))
+            number = at.astype(_U) + _U(base)
+            rows = deal(K.mix(number), n, 3, number, run, np.frombuffer(x[1], np.int64), np.ascontiguousarray(m[:, d - 1]))
+            keys = [m[:, d]]  # the word
             for j in range(1, d):
-                own += [K.join(m[:, j - 1], _CONTEXT), K.join(m[:, d + j], _PAIR)]
-            for key in own:
-                rows += deal(K.mix(key), n, 1, key, run)
-            key = K.join(m[:, d - 1], _COUNT)
-            yield blob_batch(rows + deal(K.mix(key), n, 2, key, run))
+                keys += [K.join(m[:, j - 1], _CONTEXT), K.join(m[:, d + j], _PAIR)]
+            rows += deal_questions(1, np.concatenate(keys), np.tile(at, len(keys)), base, n)
+            yield blob_batch(rows + deal_questions(2, K.join(m[:, d - 1], _COUNT), at, base, n))
 
     def meet(batches):
         replies, own = {1: [], 2: []}, []
         for _, kind, x in by_kind(batches):
             (own if kind == 3 else replies[kind]).append(x)
         if own:
-            run, c = joined([x[0] for x in own], _U), joined([x[1] for x in own], np.int64)
-            m = joined([x[2] for x in own], _U).reshape(len(run), -1)
-            order = np.argsort(run)
-            run, c, ctx = run[order], c[order], m[order, d - 1]
-            q, total = _sums(replies[1], run)[0] - log_total, _sums(replies[2], run)[0]
+            number, run, c, ctx = (joined([x[i] for x in own], t) for i, t in enumerate((_U, _U, np.int64, _U)))
+            order = np.argsort(number)
+            number, run, c, ctx = number[order], run[order], c[order], ctx[order]
+            q, total = _sums(replies[1], number)[0] - log_total, _sums(replies[2], number)[0]
             ok = total >= MIN_CONTEXT
             yield blob_batch(deal(K.mix(ctx[ok]), n, 0, ctx[ok], run[ok], np.stack([c[ok].astype(float), q[ok], total[ok]], 1)))
 
@@ -428,17 +460,21 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Model:
         k, c = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64)
         return K.ngrams(k[(c >= MIN_CONTEXT) & (k != END)], 1)
 
-    candidates = bitmap(words, often, n)
+    def some(x):
+        k, c = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64)
+        return K.ngrams(k[c >= MIN_PAIR], 1)
+
+    candidates, suffixes = bitmap(words, often, n), bitmap(words, some, n)
     found, counts, totals = None, None, {}
     for d in range(1, depth + 2):  # runs of d + 1 words are counted while the parts of those of d words are gathered
-        runs = count_runs(own, d, candidates if d <= depth else None, found, counts, n)
+        runs = count_runs(own, d, candidates if d <= depth else None, suffixes, found, counts, n)
         if d > 1:
             facts = model.facts().unionAll(totals[d - 1]) if d > 2 else model.facts()  # those of single words are with the words
             model.tree.append(level_facts(runs, d - 1, facts, model.log_total, n))
         if d > depth:
             break
         counts = runs.where("kind = 0")
-        found = bitmap(counts, lambda x: np.frombuffer(x[0], _U), n)
+        found = suffixes = bitmap(counts, lambda x: np.frombuffer(x[0], _U), n)
         candidates = bitmap(counts, lambda x: np.frombuffer(x[0], _U)[np.frombuffer(x[1], np.int64) >= MIN_CONTEXT], n)
 
         def as_facts(batches):
@@ -466,6 +502,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         """Kinds: 1 words and 2 contexts and pairs with the row that asks; 3 rows with what is known of them."""
         table, values = K.HashTable(K.mix(hot.value[0])), hot.value[1]
         task, at = TaskContext.get().partitionId(), 0
+        base = int(row_keys(task, 0, 1)[0])
         asks, size = {1: [], 2: []}, 0
 
         def flush():
@@ -474,7 +511,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 if own:
                     h, r = (np.concatenate(x) for x in zip(*own))
                     own.clear()
-                    rows += deal(K.mix(h), n, kind, h, r)
+                    rows += deal_questions(kind, h, r, base, n)
             return rows
 
         for batch in batches:
@@ -494,7 +531,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     out[field] += np.bincount(s.doc[where[ok]], values[got[ok]], len(out))
                     if kind == 1:
                         out["known"] += np.bincount(s.doc[where[ok]], minlength=len(out))
-                    asks[kind].append((key[~ok], out["row"][s.doc[where[~ok]]]))
+                    asks[kind].append((key[~ok], out["row"][s.doc[where[~ok]]] - _U(base)))
                     return int((~ok).sum())
 
                 size += add(s.h, np.arange(len(s.h)), 1, "base")
