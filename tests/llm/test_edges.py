@@ -73,3 +73,24 @@ def test_damaged_blocks_are_found():
     data[len(data) // 2] ^= 1
     with pytest.raises(ValueError):
         context_coder.decode(bytes(data))
+
+
+def test_stages_of_the_pipeline_on_odd_and_empty_tables(spark, odd, empty):
+    import os
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    left = {"quality_rules": None, "near_dedup": 7, "decontaminate": 12, "source_mix": None, "token_output": 12}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        rows = got.collect()
+        assert left[name] is None or len(rows) == left[name]
+        assert {r["doc_id"] for r in rows} <= {None, 1, 2, 3, 4, 5, 6, 7, 8, 9}
+        if name != "token_output":
+            assert got.columns == odd.columns
+        if name == "quality_rules":
+            assert not {1, 2, 3} & {r["doc_id"] for r in rows}
+        assert stage(spark, empty, sf).collect() == []
