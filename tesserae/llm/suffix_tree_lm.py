@@ -100,18 +100,38 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return k[lead], np.add.reduceat(c, lead) if len(lead) else c
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then their next ones, and so on: the exchange's compression takes high bytes that are alike away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def ascending(k: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return planes(np.diff(k, prepend=_U(0)))
+
+
+def from_ascending(raw: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(raw, _U), dtype=_U)
+
+
 def deal_counts(k: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
-    """Blobs of kind 0: keys, and counts of the first ones; the others count once."""
+    """Blobs of kind 0 of ascending keys, with counts or, if they all count once, without."""
     order = np.argsort(c == 1, kind="stable")
     k, c, out = k[order], c[order], []
     many = int((c > 1).sum())
     for own, count in ((slice(0, many), c[:many].astype(np.uint32)), (slice(many, None), None)):
-        out += deal(K.mix(k[own]), n, 0, k[own], *([count] if count is not None else []))
+        dealt = deal(K.mix(k[own]), n, 0, k[own], *([count] if count is not None else []))
+        out += [(b, 0, ascending(np.frombuffer(x, _U)), *(planes(np.frombuffer(y, np.uint32)) for y in more)) for b, _, x, *more in dealt]
     return out
 
 
 def counts_of(x: tuple) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.uint32)
+    k, c = from_ascending(x[0]), from_planes(x[1], np.uint32)
     return k, c if len(c) else np.ones(len(k), np.uint32)
 
 
@@ -127,10 +147,23 @@ def deal_questions(kind: int, keys: np.ndarray, rows: np.ndarray, base: int, n:
     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[new])) + 1, [len(new)]])
     ends, out = np.concatenate([new, [len(keys)]]), []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        out.append((int(bucket[new[a]]), kind, keys[new[a:b]].tobytes(), size[a:b].tobytes(), rows[ends[a] : ends[b]].tobytes(), base.to_bytes(8, "little")))
+        out.append((int(bucket[new[a]]), kind, ascending(keys[new[a:b]]), planes(size[a:b]), planes(rows[ends[a] : ends[b]]), base.to_bytes(8, "little")))
     return out
 
 
+def run_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of runs, a row of words each."""
+    d = words.shape[1]
+    return K.ngrams(words.ravel(), d)[::d]
+
+
+def run_parts(words: np.ndarray) -> np.ndarray:
+    """The parts of runs, a row of words each: the runs that end before the last word, of 1, 2, ... words, then those that end with it; the first of these is the word."""
+    d = words.shape[1]
+    before = [run_hashes(words[:, d - 1 - j : d - 1]) for j in range(1, d)]
+    return np.stack(before + [words[:, d - 1]] + [run_hashes(words[:, d - j :]) for j in range(2, d)], 1)
+
+
 class Stream:
     """Tokens of a run of texts with the hashes of the runs of words that end at each."""
 
@@ -224,9 +257,8 @@ def count_words(train: DataFrame, n: int) -> DataFrame:
 
 def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: DataFrame | None, n: int) -> DataFrame:
     """One scan that counts the runs of d + 1 words whose first d words the bitmap `contexts` has and the last d `suffixes` (kind 0: runs, counts of MIN_PAIR or more),
-    and joins to the runs of d words, counted before (`counts`, bitmap `found`), what they are made of (kind 1: runs, counts, parts).
-
-    The parts of a run are the runs that end before its last word, of 1, 2, ... words, then those that end with it, of 1, 2, ... words.
+    and joins to the runs of d words, counted before (`counts`, bitmap `found`), what they are made of (kind 1: runs, counts, run_parts).
+    A task sends the words of such a run, of which the run and its parts are made again.
     """
 
     def scan(batches):
@@ -235,10 +267,10 @@ def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: Data
         def flush():
             rows = deal_counts(*tally.take(), n)
             if parts:
-                key, m = (np.concatenate(x) for x in zip(*parts))
+                key, words = (np.concatenate(x) for x in zip(*parts))
                 parts.clear()
                 key, i = np.unique(key, return_index=True)
-                rows += deal(K.mix(key), n, 1, key, m[i])
+                rows += deal(K.mix(key), n, 1, words[i])
             return rows
 
         for batch in batches:
@@ -254,9 +286,8 @@ def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: Data
                     run = s.grams(d)
                     ok = np.flatnonzero((s.at >= d - 1) & found.value.has(run))
                     run, i = np.unique(run[ok], return_index=True)
-                    m = [s.contexts(s.grams(j))[ok[i]] for j in range(1, d)] + [s.h[ok[i]]] + [s.grams(j)[ok[i]] for j in range(2, d)]
-                    parts.append((run, np.stack(m, 1)))
-                    held += m[0].nbytes * len(m)
+                    parts.append((run, s.h[ok[i][:, None] + np.arange(1 - d, 1)]))
+                    held += parts[-1][1].nbytes
             if tally.size > _FLUSH or held > 8 * _FLUSH:
                 held = 0
                 yield blob_batch(flush())
@@ -265,24 +296,23 @@ def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: Data
     def merge(batches):
         now, tally, parts, known = None, [], [], (_NONE, np.zeros(0, np.int64))
         for now, kind, x in by_kind(batches):
-            key = np.frombuffer(x[0], _U)
             if kind == 0:
                 tally.append(counts_of(x))
             elif kind == 1:
-                parts.append((key, np.frombuffer(x[1], _U).reshape(len(key), -1)))
+                parts.append(x[0])
             else:
-                known = key, np.frombuffer(x[1], np.int64)
+                known = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64)
         rows = []
         k, c = merge_counts(tally)
         ok = c >= MIN_PAIR
         if ok.any():
             rows.append((now, 0, k[ok].tobytes(), c[ok].tobytes()))
         if parts and len(known[0]):
-            key, m = (np.concatenate(x) for x in zip(*parts))
-            key, i = np.unique(key, return_index=True)
+            words = joined(parts, _U).reshape(-1, d)
+            key, i = np.unique(run_hashes(words), return_index=True)
             at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
             ok = known[0][at] == key
-            rows.append((now, 1, key[ok].tobytes(), known[1][at[ok]].tobytes(), np.ascontiguousarray(m[i[ok]]).tobytes()))
+            rows.append((now, 1, key[ok].tobytes(), known[1][at[ok]].tobytes(), run_parts(words[i[ok]]).tobytes()))
         yield blob_batch(rows)
 
     blobs = train.select("text").mapInArrow(scan, BLOB_SCHEMA)
@@ -318,13 +348,13 @@ def answers(asked: DataFrame, n: int) -> DataFrame:
                 total, at, size = [], [], 0
                 while own and size < 4 * _FLUSH:
                     h, count, rows, base = own.pop()
-                    h, rows = np.frombuffer(h, _U), np.frombuffer(rows, np.uint32)
+                    h, rows = from_ascending(h), from_planes(rows, np.uint32)
                     value, ok = np.zeros(len(h)), np.zeros(len(h), bool)
                     if len(keys):
                         i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                         ok = keys[i] == h
                         value = np.where(ok, values[i], 0.0)
-                    count = np.frombuffer(count, np.uint32)
+                    count = from_planes(count, np.uint32)
                     hit = np.repeat(ok, count)  # a key without a fact adds nothing
                     at.append(rows[hit] + _U(int.from_bytes(base, "little")))
                     total.append(np.repeat(value, count)[hit])
