@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tesserae.llm import context_coder, decontaminate, license_scan, near_dedup, pii_crf, quality_rules, secret_scan, simhash, substring_dedup, suffix_tree_lm, token_output
+from tesserae.llm import context_coder, decontaminate, license_scan, near_dedup, pii_crf, quality_rules, secret_scan, simhash, substring_dedup, suffix_tree_lm, textkit, token_output
 from tesserae.llm.queries import tokenizer_path
 
 from .conftest import prose  # noqa: TID252
@@ -221,6 +221,20 @@ def test_suffix_tree_states_are_distributions(frame, monkeypatch):
     assert sum(x["score"] for x in held) > 0.6 * sum(x["base_score"] for x in held)
 
 
+def test_narrow_blobs_of_the_tree_come_back():
+    m, r = suffix_tree_lm, np.random.default_rng(5)
+    for n in (0, 1, 7, 1000):
+        k, c = np.sort(r.integers(0, 2**64, n, np.uint64)), r.integers(1, 2**32, n).astype(np.uint32)
+        assert np.array_equal(m.from_ascending(m.ascending(k)), k)
+        assert np.array_equal(m.from_planes(m.planes(c), np.uint32), c)
+    h = r.integers(0, 2**64, 40, np.uint64)
+    for d in (2, 3, 4):
+        runs = np.stack([h[i : i + d] for i in range(41 - d)])
+        assert np.array_equal(m.run_hashes(runs), textkit.ngrams(h, d)[: len(runs)])
+        want = [textkit.ngrams(h, j)[d - 1 - j :][: len(runs)] for j in range(1, d)] + [runs[:, -1]] + [textkit.ngrams(h, j)[d - j :][: len(runs)] for j in range(2, d)]
+        assert np.array_equal(m.run_parts(runs), np.stack(want, 1))
+
+
 def test_what_the_tree_gathers_grows_with_the_corpus(frame):
     """Ten times the text with ten times the contexts: ten times the retained states, none of them crowded out."""
     def states(k):
