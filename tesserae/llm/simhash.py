@@ -59,6 +59,11 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint_array(texts: pa.Array, n: int) -> np.ndarray:
+    """The 64 bits of each text's fingerprint as a signed long."""
+    return np.array([simhash(shingle_hashes(t, n)) for t in texts.to_pylist()], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, n: int, keep: list[str]) -> DataFrame:
     """The columns `keep` and fp, the 64 bits as a signed long."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
@@ -67,7 +72,7 @@ def fingerprints(docs: DataFrame, n: int, keep: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, arr in K.slices(batch, "__text"):
-                fp = np.array([simhash(shingle_hashes(t, n)) for t in arr.to_pylist()], np.uint64).view(np.int64)
+                fp = fingerprint_array(arr, n)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(fp)], names=[*keep, "fp"])
 
     return src.mapInArrow(run, schema)

@@ -134,6 +134,54 @@ def test_near_duplicates_are_decided_exactly(frame):
     assert {i for i, _ in rows} - kept == gone
 
 
+def test_near_duplicates_go_through_the_covering_tables(docs, corpus, monkeypatch):
+    """The stage takes its first links from op4's operator: components of its fingerprints within two bits."""
+    seen, plain = [], simhash.simhash_components
+
+    def components(fps, radius):
+        seen.append((radius, {r["doc_id"]: r["fp"] for r in fps.collect()}))
+        return plain(fps, radius)
+
+    monkeypatch.setattr(simhash, "simhash_components", components)
+    near_dedup.drop_near_duplicates(docs)
+    (radius, fps), = seen
+    want = {int(r["fingerprint"], 16) for r in simhash.near_duplicate_report(docs).collect()}
+    assert radius == 2
+    assert {f % 2**64 for f in fps.values()} <= want
+    assert len(fps) > 40
+
+
+def test_a_large_group_of_near_copies_gives_few_rows(frame, monkeypatch):
+    """Copies of one text that are alike in part, above and below 0.8: rows by members, not by pairs, and brute force's groups, over several chunks."""
+    r, base = np.random.default_rng(8), prose(70_000, 120).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in r.integers(0, 120, i % 4 + 1).tolist():
+            w[k] = f"x{r.integers(1 << 30)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in rows]
+    top = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and top[i] != top[j]:
+                top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+    df, made = frame(rows).repartition(5), []
+
+    def counted(links):
+        made.append(links.count())
+        return components(links)
+
+    components = near_dedup.connected_components
+    monkeypatch.setattr(near_dedup, "connected_components", counted)
+    monkeypatch.setattr(near_dedup, "CHUNK", 32)
+    assert {x["doc_id"] for x in near_dedup.drop_near_duplicates(df).collect()} == set(top)
+    assert 1 < len(set(top)) < 200
+    n = 8
+    assert near_dedup.forest(near_dedup.fingerprint_rows(df).select("cls", "size", "prefix", *(f"f{i}" for i in range(near_dedup.WORDS5))), n).count() < 300 * n
+    assert max(made) < 300 * n
+
+
 def test_substring(docs, corpus):
     got = {r["doc_id"]: r for r in substring_dedup.dedup_passages(docs).collect()}
     count = collections.Counter(tuple(w[k : k + 35]) for _, t in corpus for w in [words(t)] for k in range(len(w) - 34))
