@@ -214,11 +214,22 @@ def bitmap(blobs: DataFrame, keys_of, n: int) -> Bitmap:
     piece = min(bits, PIECE_BITS)
 
     def cells(batches):
+        """A task merges its cells first: a row for each piece, not for each piece of each blob."""
+        held, size = [], 0
+
+        def flush():
+            c = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            held.clear()
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(c >> piece)) + 1, [len(c)]]) if len(c) else [0]
+            return blob_batch([(int(c[a] >> piece) % n, 0, int(c[a] >> piece).to_bytes(4, "little"), zlib.compress((c[a:b] & ((1 << piece) - 1)).astype(np.uint32).tobytes(), 1)) for a, b in zip(cut[:-1], cut[1:])])
+
         for _, _, x in by_kind(batches):
-            c = np.unique(_cell(keys_of(x), bits))
-            if len(c):
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(c >> piece)) + 1, [len(c)]])
-                yield blob_batch([(int(c[a] >> piece) % n, 0, int(c[a] >> piece).to_bytes(4, "little"), zlib.compress((c[a:b] & ((1 << piece) - 1)).astype(np.uint32).tobytes(), 1)) for a, b in zip(cut[:-1], cut[1:])])
+            held.append(_cell(keys_of(x), bits))
+            size += len(held[-1])
+            if size > 2 * _FLUSH:
+                size = 0
+                yield flush()
+        yield flush()
 
     def merge(batches):
         planes: dict[int, np.ndarray] = {}
@@ -321,10 +332,12 @@ def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: Data
     return materialize(regroup(blobs, n).mapInArrow(merge, BLOB_SCHEMA), "lm-runs")
 
 
-def answers(asked: DataFrame, n: int) -> DataFrame:
+def answers(asked: DataFrame, home, n: int) -> DataFrame:
     """Sums of facts: kind 0 blobs are facts (keys, values), kinds 1 and 2 questions (deal_questions); others pass.
 
-    Answers are blobs of the question's kind, dealt by row: (rows, sums, numbers of keys that have a fact).
+    Answers are blobs of kind 1, dealt by `home` of the row: (rows, sums, numbers of keys that have a fact) of the
+    questions of kind 1, and (rows, sums) of those of kind 2.  A row of the exchange holds both, so there are at most
+    n for each of the n tasks and some questions.
     """
 
     def run(batches):
@@ -343,33 +356,67 @@ def answers(asked: DataFrame, n: int) -> DataFrame:
         keys, values = joined([x[0] for x in facts], _U), joined([x[1] for x in facts], np.float64)
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        for kind, own in asks.items():
-            while own:  # some questions at a time
-                total, at, size = [], [], 0
-                while own and size < 4 * _FLUSH:
-                    h, count, rows, base = own.pop()
-                    h, rows = from_ascending(h), from_planes(rows, np.uint32)
-                    value, ok = np.zeros(len(h)), np.zeros(len(h), bool)
-                    if len(keys):
-                        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                        ok = keys[i] == h
-                        value = np.where(ok, values[i], 0.0)
-                    count = from_planes(count, np.uint32)
-                    hit = np.repeat(ok, count)  # a key without a fact adds nothing
-                    at.append(rows[hit] + _U(int.from_bytes(base, "little")))
-                    total.append(np.repeat(value, count)[hit])
-                    size += len(rows)
-                row, inv, many = np.unique(np.concatenate(at), return_inverse=True, return_counts=True)
-                yield blob_batch(deal(K.mix(row), n, kind, row, np.bincount(inv, np.concatenate(total), len(row)), many.astype(np.uint32)))
+
+        def some(own):
+            """Rows, sums and numbers of some questions."""
+            total, at, size = [np.zeros(0)], [_NONE], 0
+            while own and size < 4 * _FLUSH:
+                h, count, rows, base = own.pop()
+                h, rows = from_ascending(h), from_planes(rows, np.uint32)
+                value, ok = np.zeros(len(h)), np.zeros(len(h), bool)
+                if len(keys):
+                    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    ok = keys[i] == h
+                    value = np.where(ok, values[i], 0.0)
+                count = from_planes(count, np.uint32)
+                hit = np.repeat(ok, count)  # a key without a fact adds nothing
+                at.append(rows[hit] + _U(int.from_bytes(base, "little")))
+                total.append(np.repeat(value, count)[hit])
+                size += len(rows)
+            row, inv, many = np.unique(np.concatenate(at), return_inverse=True, return_counts=True)
+            return row, np.bincount(inv, np.concatenate(total), len(row)), many.astype(np.uint32)
+
+        while asks[1] or asks[2]:
+            out = {}
+            for kind in asks:
+                for bucket, rows, sums, many in deal_replies(*some(asks[kind]), home, n):
+                    out.setdefault(bucket, {})[kind] = rows, sums, many
+            none = (b"", b"", b"")
+            yield blob_batch([(b, 1, *x.get(1, none), b"".join(x.get(2, none)[:2])) for b, x in out.items()])
 
     return regroup(asked, n).mapInArrow(run, BLOB_SCHEMA)
 
 
-def _sums(replies: list, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and numbers of the replies for ascending rows."""
-    r, s, k = joined([x[0] for x in replies], _U), joined([x[1] for x in replies], np.float64), joined([x[2] for x in replies], np.uint32)
-    at = np.searchsorted(row, r)
-    return np.bincount(at, s, len(row)), np.bincount(at, k, len(row))
+def by_row(row: np.ndarray, n: int) -> np.ndarray:
+    return bucket_of(K.mix(row), n)
+
+
+def by_asker(row: np.ndarray, n: int) -> np.ndarray:
+    """The bucket whose rows begin at (bucket + 1) * 2**40."""
+    return (row >> _U(40)).astype(np.int32) - 1
+
+
+def deal_replies(row: np.ndarray, sums: np.ndarray, many: np.ndarray, home, n: int) -> list[tuple]:
+    """(bucket, rows by their differences, sums, numbers) of ascending rows."""
+    if not len(row):
+        return []
+    bucket = home(row, n)
+    order = np.argsort(bucket, kind="stable")
+    bucket, row, sums, many = bucket[order], row[order], sums[order], many[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(row)]])
+    return [(int(bucket[a]), ascending(row[a:b]), planes(sums[a:b]), planes(many[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def _sums(replies: list, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending rows the sums and numbers of the replies of kind 1 and the sums of kind 2."""
+    first, many, second = np.zeros(len(row)), np.zeros(len(row), np.int64), np.zeros(len(row))
+    for rows, sums, count, more in replies:
+        at = np.searchsorted(row, from_ascending(rows))  # distinct within a reply
+        first[at] += from_planes(sums, np.float64)
+        many[at] += from_planes(count, np.uint32)
+        half = len(more) // 2
+        second[np.searchsorted(row, from_ascending(more[:half]))] += from_planes(more[half:], np.float64)
+    return first, many, second
 
 
 def word_facts(words: DataFrame, n: int) -> DataFrame:
@@ -392,27 +439,33 @@ def _count_facts(runs: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
 def level_facts(runs: DataFrame, d: int, facts: DataFrame, log_total: float, n: int) -> DataFrame:
     """Facts of the retained contexts of d words and of their stored pairs, with counts; runs are kind 1 blobs of d + 1 words."""
 
-    def ask(batches):
+    def asking(batches):
         for bucket, _, x in by_kind(batches):
             run = np.frombuffer(x[0], _U)
-            m, base, at = np.frombuffer(x[2], _U).reshape(len(run), -1), (bucket + 1) << 40, np.arange(len(run))
-            number = at.astype(_U) + _U(base)
-            rows = deal(K.mix(number), n, 3, number, run, np.frombuffer(x[1], np.int64), np.ascontiguousarray(m[:, d - 1]))
+            yield bucket, run, np.frombuffer(x[1], np.int64), np.frombuffer(x[2], _U).reshape(len(run), -1)
+
+    def ask(batches):
+        for bucket, run, _, m in asking(batches):
+            base, at = (bucket + 1) << 40, np.arange(len(run))
             keys = [m[:, d]]  # the word
             for j in range(1, d):
                 keys += [K.join(m[:, j - 1], _CONTEXT), K.join(m[:, d + j], _PAIR)]
-            rows += deal_questions(1, np.concatenate(keys), np.tile(at, len(keys)), base, n)
+            rows = deal_questions(1, np.concatenate(keys), np.tile(at, len(keys)), base, n)
             yield blob_batch(rows + deal_questions(2, K.join(m[:, d - 1], _COUNT), at, base, n))
 
+    def stay(batches):
+        """The runs of a bucket, which the answers come back to."""
+        for bucket, run, c, m in asking(batches):
+            yield blob_batch([(bucket, 3, run.tobytes(), planes(c), m[:, d - 1].tobytes())])
+
     def meet(batches):
-        replies, own = {1: [], 2: []}, []
-        for _, kind, x in by_kind(batches):
-            (own if kind == 3 else replies[kind]).append(x)
-        if own:
-            number, run, c, ctx = (joined([x[i] for x in own], t) for i, t in enumerate((_U, _U, np.int64, _U)))
-            order = np.argsort(number)
-            number, run, c, ctx = number[order], run[order], c[order], ctx[order]
-            q, total = _sums(replies[1], number)[0] - log_total, _sums(replies[2], number)[0]
+        replies, own = [], []
+        for now, kind, x in by_kind(batches):
+            (own if kind == 3 else replies).append(x)
+        if own:  # one of each bucket
+            run, c, ctx = np.frombuffer(own[0][0], _U), from_planes(own[0][1], np.int64), np.frombuffer(own[0][2], _U)
+            q, _, total = _sums(replies, np.arange(len(run)).astype(_U) + _U((now + 1) << 40))
+            q = q - log_total
             ok = total >= MIN_CONTEXT
             yield blob_batch(deal(K.mix(ctx[ok]), n, 0, ctx[ok], run[ok], np.stack([c[ok].astype(float), q[ok], total[ok]], 1)))
 
@@ -438,11 +491,17 @@ def level_facts(runs: DataFrame, d: int, facts: DataFrame, log_total: float, n:
         key = K.join(run[mine], _PAIR)
         yield blob_batch(rows + deal(K.mix(key), n, 0, key, more[mine], c[mine].astype(np.int64)))
 
-    asked = runs.where("kind = 1").mapInArrow(ask, BLOB_SCHEMA).unionAll(facts)
-    met = regroup(answers(asked, n), n).mapInArrow(meet, BLOB_SCHEMA)
+    runs = runs.where("kind = 1")
+    replied = answers(runs.mapInArrow(ask, BLOB_SCHEMA).unionAll(bare(facts)), by_asker, n)
+    met = regroup(replied.unionAll(runs.mapInArrow(stay, BLOB_SCHEMA)), n).mapInArrow(meet, BLOB_SCHEMA)
     return materialize(regroup(met, n).mapInArrow(learn, BLOB_SCHEMA), "lm-level")
 
 
+def bare(facts: DataFrame) -> DataFrame:
+    """Facts without their counts, which only Model.hot reads."""
+    return facts.withColumn("c", F.lit(b""))
+
+
 class Model:
     """Tables of a trained tree: facts of words and of the tree, the training tokens and types."""
 
@@ -533,10 +592,12 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         table, values = K.HashTable(K.mix(hot.value[0])), hot.value[1]
         task, at = TaskContext.get().partitionId(), 0
         base = int(row_keys(task, 0, 1)[0])
-        asks, size = {1: [], 2: []}, 0
+        asks, own_rows, size = {1: [], 2: []}, [], 0
 
         def flush():
-            rows = []
+            held = np.concatenate([np.zeros(0, _ROW), *own_rows])
+            own_rows.clear()
+            rows = deal(K.mix(held["row"]), n, 3, held)
             for kind, own in asks.items():
                 if own:
                     h, r = (np.concatenate(x) for x in zip(*own))
@@ -572,20 +633,20 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     pair = K.join(s.grams(d + 1)[where], _PAIR)
                     ok = may.value.has(pair)
                     size += add(pair[ok], where[ok], 2, "more")
-                yield blob_batch(deal(K.mix(out["row"]), n, 3, out))
+                own_rows.append(out)
+                size += len(out)
                 if size > _FLUSH:
                     size = 0
                     yield blob_batch(flush())
         yield blob_batch(flush())
 
     def finish(batches):
-        replies, own = {1: [], 2: []}, []
+        replies, own = [], []
         for _, kind, x in by_kind(batches):
-            (own if kind == 3 else replies[kind]).append(x)
+            (own if kind == 3 else replies).append(x)
         out = joined([x[0] for x in own], _ROW).copy()
         out = out[np.argsort(out["row"], kind="stable")]
-        base, known = _sums(replies[1], out["row"])
-        more = _sums(replies[2], out["row"])[0]
+        base, known, more = _sums(replies, out["row"])
         base = out["base"] + base - out["n"] * log_total
         yield pa.RecordBatch.from_arrays([
             pa.array(out["id"], mask=out["has_id"] == 0), pa.array(out["held"].astype(bool)), pa.array(out["n"]), pa.array(out["known"] + known.astype(np.int64)),
@@ -594,5 +655,5 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     model_levels = list(range(len(model.tree)))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
-    replied = answers(src.mapInArrow(scan, BLOB_SCHEMA).unionAll(model.facts()), n)
+    replied = answers(src.mapInArrow(scan, BLOB_SCHEMA).unionAll(bare(model.facts())), by_row, n)
     return regroup(replied, n).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -283,6 +283,36 @@ def test_narrow_blobs_of_the_tree_come_back():
         assert np.array_equal(m.run_parts(runs), np.stack(want, 1))
 
 
+def test_rows_of_the_tree_go_by_tasks_not_by_blobs(spark, monkeypatch):
+    """A bitmap's cells are merged in each task, and answers of both kinds share the rows of their exchange."""
+    m, r, made, n = suffix_tree_lm, np.random.default_rng(6), [], 4
+    keys = np.sort(r.integers(0, 2**64, (64, 500), np.uint64), axis=1)
+    blobs = spark.createDataFrame([(0, 0, k.tobytes(), b"", b"", b"") for k in keys], m.BLOB_SCHEMA).repartition(2)
+    plain = m.regroup
+
+    def counted(df, n):
+        made.append(df.count())
+        return plain(df, n)
+
+    monkeypatch.setattr(m, "regroup", counted)
+    got = m.bitmap(blobs, lambda x: np.frombuffer(x[0], np.uint64), n).value
+    assert got.has(keys.ravel()).all()
+    assert got.has(r.integers(0, 2**64, 4000, np.uint64)).mean() < 0.1
+    assert made[0] < 64
+    monkeypatch.setattr(m, "regroup", plain)
+    key = np.sort(r.integers(0, 2**64, 900, np.uint64))
+    facts = [(b, 0, k, v, b"", b"") for b, _, k, v in m.deal(textkit.mix(key), n, 0, key, np.arange(900.0))]
+    at = np.arange(900)
+    asked = [x for kind in (1, 2) for x in m.deal_questions(kind, np.tile(key, 2), np.tile(at, 2) // kind, 1 << 40, n)]
+    asked = spark.createDataFrame(facts + asked, m.BLOB_SCHEMA)
+    replied = m.answers(asked, m.by_row, n).collect()
+    assert len(replied) <= n * n
+    first, many, second = m._sums([(x["a"], x["b"], x["c"], x["d"]) for x in replied], at.astype(np.uint64) + np.uint64(1 << 40))
+    assert np.array_equal(first, 2 * at)
+    assert (many == 2).all()
+    assert np.array_equal(second, [8 * i + 2 if i < 450 else 0 for i in range(900)])
+
+
 def test_what_the_tree_gathers_grows_with_the_corpus(frame):
     """Ten times the text with ten times the contexts: ten times the retained states, none of them crowded out."""
     def states(k):
