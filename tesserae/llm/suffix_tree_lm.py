@@ -238,7 +238,8 @@ def bitmap(blobs: DataFrame, keys_of, n: int) -> Bitmap:
         yield blob_batch([(k, 0, np.packbits(v).tobytes()) for k, v in planes.items()])
 
     packed = np.zeros(1 << (bits - 3), np.uint8)
-    for r in regroup(blobs.mapInArrow(cells, BLOB_SCHEMA), n).mapInArrow(merge, BLOB_SCHEMA).select("bucket", "a").toLocalIterator():
+    # one job for all pieces, which are 2**MAX_BITS bits at most: toLocalIterator would run one after the other for each partition
+    for r in regroup(blobs.mapInArrow(cells, BLOB_SCHEMA), n).mapInArrow(merge, BLOB_SCHEMA).select("bucket", "a").collect():
         packed[r["bucket"] << (piece - 3) : (r["bucket"] + 1) << (piece - 3)] = np.frombuffer(r["a"], np.uint8)
     return spark.sparkContext.broadcast(Bitmap(bits, packed))
 
@@ -522,9 +523,10 @@ class Model:
         def pick(batches):
             for _, _, x in by_kind(batches):
                 ok = np.frombuffer(x[2], np.int64) >= least
-                yield blob_batch([(0, 0, np.frombuffer(x[0], _U)[ok].tobytes(), np.frombuffer(x[1], np.float64)[ok].tobytes())])
+                if ok.any():
+                    yield blob_batch([(0, 0, np.frombuffer(x[0], _U)[ok].tobytes(), np.frombuffer(x[1], np.float64)[ok].tobytes())])
 
-        got = [(r["a"], r["b"]) for r in self.facts().mapInArrow(pick, BLOB_SCHEMA).select("a", "b").toLocalIterator()]
+        got = [(r["a"], r["b"]) for r in self.facts().mapInArrow(pick, BLOB_SCHEMA).select("a", "b").collect()]
         return joined([bytes(a) for a, _ in got], _U), joined([bytes(b) for _, b in got], np.float64)
 
 
@@ -564,7 +566,8 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Model:
             break
         counts = runs.where("kind = 0")
         found = suffixes = bitmap(counts, lambda x: np.frombuffer(x[0], _U), n)
-        candidates = bitmap(counts, lambda x: np.frombuffer(x[0], _U)[np.frombuffer(x[1], np.int64) >= MIN_CONTEXT], n)
+        if d < depth:  # no longer runs are counted after that
+            candidates = bitmap(counts, lambda x: np.frombuffer(x[0], _U)[np.frombuffer(x[1], np.int64) >= MIN_CONTEXT], n)
 
         def as_facts(batches):
             for _, _, x in by_kind(batches):

@@ -313,6 +313,24 @@ def test_rows_of_the_tree_go_by_tasks_not_by_blobs(spark, monkeypatch):
     assert np.array_equal(second, [8 * i + 2 if i < 450 else 0 for i in range(900)])
 
 
+def test_the_tree_takes_as_many_jobs_on_many_partitions(frame, spark):
+    """What the driver gathers (bitmaps, hot facts) comes in one job each, not in one for each partition."""
+    from pyspark.sql import functions as F
+
+    docs = frame([(i, prose(i % 20, 60)) for i in range(200)]).repartition(3)
+    plain, jobs, sc = spark.conf.get("spark.sql.shuffle.partitions"), {}, spark.sparkContext
+    try:
+        for n in (6, 30):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            sc.setJobGroup(f"tree-{n}", "")
+            suffix_tree_lm.score(docs).agg(F.sum("score")).collect()
+            jobs[n] = len(sc.statusTracker().getJobIdsForGroup(f"tree-{n}"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", plain)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[30] < jobs[6] + 24
+
+
 def test_what_the_tree_gathers_grows_with_the_corpus(frame):
     """Ten times the text with ten times the contexts: ten times the retained states, none of them crowded out."""
     def states(k):
