@@ -51,13 +51,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """materialize(), after which the files of the step's exchanges go at once, not when the driver's JVM next collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.unset(key) if old is None else conf.set(key, old)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for df in tables:
+        names = {f.split("/")[-2] for f in df.inputFiles()}
+        for made in [x for x in _CREATED if x[1].rpartition("/")[2] in names]:
+            _CREATED.remove(made)
+            _delete(*made)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _CREATED:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
 

@@ -27,6 +27,10 @@ shuffle is a hot one.  Bitmaps of at most 2**MAX_BITS bits say which keys can ha
 fact; a wrong yes costs a question and changes nothing.  Words and runs are told
 apart by 64-bit hashes.
 
+Disk is bounded by the largest step: texts are scored in up to PASSES passes, each by the whole
+tree, so the questions of one are gone before the next one's, and files of a step's exchanges
+and tables that nothing reads any more are removed at once.
+
 Nulls and odd cases: a null or empty text is the end token alone; a null id
 counts as training; repeated rows count and are scored each; without training
 texts every token has probability one.
@@ -43,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import BLOB_SCHEMA, blob_batch, bound_batches, bucket_of, buckets, by_kind, deal, joined, materialize, regroup, repeatable, row_keys
+from .common import BLOB_SCHEMA, blob_batch, bound_batches, bucket_of, buckets, by_kind, deal, forget, joined, regroup, repeatable, row_keys, written
 
 DEPTH = 2
 MIN_CONTEXT, MIN_PAIR = 16, 3
@@ -55,6 +59,8 @@ END = np.uint64(K.splitmix(0xE0D))
 _U = np.uint64
 _CONTEXT, _PAIR, _COUNT = (_U(K.splitmix(i)) for i in (0xC0, 0xA1, 0xC7))
 _FLUSH = 1 << 22
+PASSES = 2
+_ZSTD, _SHORT = pa.Codec("zstd", 1), 64
 _ROW = np.dtype([("row", "<u8"), ("id", "<i8"), ("has_id", "u1"), ("held", "u1"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("more", "<f8")])
 _NONE = np.zeros(0, _U)
 
@@ -101,13 +107,25 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers as their lowest bytes, then their next ones, and so on: the exchange's compression takes high bytes that are alike away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Numbers as their lowest bytes, then their next ones, and so on; those that are as good as random as they are, the higher ones compressed."""
+    if not len(x):
+        return b""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    if len(x) < _SHORT:
+        return b"\0" + raw.tobytes()
+    low = 6 if x.dtype.kind == "f" else min(x.itemsize - 1, int(np.log2(float(x.mean()) + 1)) // 8)
+    return bytes([1 + low]) + len(x).to_bytes(4, "little") + raw[:low].tobytes() + _ZSTD.compress(raw[low:], asbytes=True)
 
 
 def from_planes(raw: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    if raw and raw[0]:
+        low, n = raw[0] - 1, int.from_bytes(raw[1:5], "little")
+        raw = raw[: 5 + low * n] + _ZSTD.decompress(raw[5 + low * n :], (size - low) * n, asbytes=True)
+        own = np.frombuffer(raw, np.uint8, offset=5)
+    else:
+        own = np.frombuffer(raw[1:], np.uint8)
+    return np.ascontiguousarray(own.reshape(size, -1).T).view(dtype).ravel()
 
 
 def ascending(k: np.ndarray) -> bytes:
@@ -119,19 +137,38 @@ def from_ascending(raw: bytes) -> np.ndarray:
     return np.cumsum(from_planes(raw, _U), dtype=_U)
 
 
+def narrowed(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket, the buckets, and of each mixed key what its bucket does not say, ascending in each."""
+    m = K.mix(keys)
+    bucket, rest = bucket_of(m, n), ((m >> _U(32)) // _U(n) << _U(32)) | (m & _U(0xFFFFFFFF))
+    order = np.argsort(rest)
+    order = order[np.argsort(bucket[order].astype(np.uint16) if n <= 1 << 16 else bucket[order], kind="stable")]
+    return order, bucket[order], rest[order]
+
+
+def widened(rest: np.ndarray, bucket: int, n: int) -> np.ndarray:
+    """The mixed keys of a bucket again."""
+    return ((rest >> _U(32)) * _U(n) + _U(bucket) << _U(32)) | (rest & _U(0xFFFFFFFF))
+
+
+def cuts(ascending: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal numbers."""
+    at = [0, *(np.flatnonzero(np.diff(ascending)) + 1).tolist(), len(ascending)]
+    return list(zip(at[:-1], at[1:])) if len(ascending) else []
+
+
 def deal_counts(k: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
-    """Blobs of kind 0 of ascending keys, with counts or, if they all count once, without."""
-    order = np.argsort(c == 1, kind="stable")
-    k, c, out = k[order], c[order], []
-    many = int((c > 1).sum())
-    for own, count in ((slice(0, many), c[:many].astype(np.uint32)), (slice(many, None), None)):
-        dealt = deal(K.mix(k[own]), n, 0, k[own], *([count] if count is not None else []))
-        out += [(b, 0, ascending(np.frombuffer(x, _U)), *(planes(np.frombuffer(y, np.uint32)) for y in more)) for b, _, x, *more in dealt]
+    """Blobs of kind 0 of distinct keys, with counts or, if they all count once, without."""
+    out = []
+    for own, counted in ((c > 1, True), (c == 1, False)):
+        order, bucket, rest = narrowed(k[own], n)
+        count = c[own][order].astype(np.uint32)
+        out += [(int(bucket[a]), 0, ascending(rest[a:b]), *([planes(count[a:b])] if counted else [])) for a, b in cuts(bucket)]
     return out
 
 
-def counts_of(x: tuple) -> tuple[np.ndarray, np.ndarray]:
-    k, c = from_ascending(x[0]), from_planes(x[1], np.uint32)
+def counts_of(x: tuple, bucket: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    k, c = K.unmix(widened(from_ascending(x[0]), bucket, n)), from_planes(x[1], np.uint32)
     return k, c if len(c) else np.ones(len(k), np.uint32)
 
 
@@ -139,18 +176,31 @@ def deal_questions(kind: int, keys: np.ndarray, rows: np.ndarray, base: int, n:
     """Questions (key, row): distinct keys, rows of each, then the rows less `base`, which are below 2**32."""
     if not len(keys):
         return []
-    bucket = bucket_of(K.mix(keys), n)
-    order = np.lexsort((keys, bucket))
-    bucket, keys, rows = bucket[order], keys[order], rows[order].astype(np.uint32)
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.concatenate([new, [len(keys)]])).astype(np.uint32)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[new])) + 1, [len(new)]])
-    ends, out = np.concatenate([new, [len(keys)]]), []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        out.append((int(bucket[new[a]]), kind, ascending(keys[new[a:b]]), planes(size[a:b]), planes(rows[ends[a] : ends[b]]), base.to_bytes(8, "little")))
+    order, bucket, keys = narrowed(keys, n)
+    rows = rows[order].astype(np.uint32)
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])]))
+    ends = np.concatenate([new, [len(keys)]])
+    size = np.diff(ends).astype(np.uint32)
+    return [(int(bucket[new[a]]), kind, ascending(keys[new[a:b]]), planes(size[a:b]), planes(rows[ends[a] : ends[b]]), base.to_bytes(8, "little")) for a, b in cuts(bucket[new])]
+
+
+def deal_words(key: np.ndarray, words: np.ndarray, n: int) -> list[tuple]:
+    """Blobs of kind 1 of runs, a row of words each: the words of a blob once, places among them of the first words by differences, and of the others."""
+    out = []
+    for b, _, raw in deal(K.mix(key), n, 1, words):
+        own = np.frombuffer(raw, _U).reshape(-1, words.shape[1])
+        u, at = np.unique(own, return_inverse=True)
+        at = at.reshape(own.shape).astype(np.uint32)
+        at = at[np.argsort(at[:, 0], kind="stable")]
+        out.append((b, 1, ascending(u), planes(np.diff(at[:, 0], prepend=np.uint32(0))), planes(at[:, 1:].T.ravel())))
     return out
 
 
+def words_of(x: tuple, d: int) -> np.ndarray:
+    first = np.cumsum(from_planes(x[1], np.uint32), dtype=np.int64)
+    return from_ascending(x[0])[np.column_stack([first, from_planes(x[2], np.uint32).reshape(d - 1, -1).T])]
+
+
 def run_hashes(words: np.ndarray) -> np.ndarray:
     """Hashes of runs, a row of words each."""
     d = words.shape[1]
@@ -259,7 +309,7 @@ def count_words(train: DataFrame, n: int) -> DataFrame:
     def merge(batches):
         now, parts = None, []
         for now, _, x in by_kind(batches):
-            parts.append(counts_of(x))
+            parts.append(counts_of(x, now, n))
         k, c = merge_counts(parts)
         if len(k):
             yield blob_batch([(now, 0, k.tobytes(), c.tobytes())])
@@ -282,7 +332,7 @@ def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: Data
                 key, words = (np.concatenate(x) for x in zip(*parts))
                 parts.clear()
                 key, i = np.unique(key, return_index=True)
-                rows += deal(K.mix(key), n, 1, words[i])
+                rows += deal_words(key, words[i], n)
             return rows
 
         for batch in batches:
@@ -309,9 +359,9 @@ def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: Data
         now, tally, parts, known = None, [], [], (_NONE, np.zeros(0, np.int64))
         for now, kind, x in by_kind(batches):
             if kind == 0:
-                tally.append(counts_of(x))
+                tally.append(counts_of(x, now, n))
             elif kind == 1:
-                parts.append(x[0])
+                parts.append(words_of(x, d))
             else:
                 known = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64)
         rows = []
@@ -320,7 +370,7 @@ def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: Data
         if ok.any():
             rows.append((now, 0, k[ok].tobytes(), c[ok].tobytes()))
         if parts and len(known[0]):
-            words = joined(parts, _U).reshape(-1, d)
+            words = np.concatenate(parts)
             key, i = np.unique(run_hashes(words), return_index=True)
             at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
             ok = known[0][at] == key
@@ -330,11 +380,11 @@ def count_runs(train: DataFrame, d: int, contexts, suffixes, found, counts: Data
     blobs = train.select("text").mapInArrow(scan, BLOB_SCHEMA)
     if counts is not None:
         blobs = blobs.unionAll(counts.withColumn("kind", F.lit(2).cast("tinyint")))
-    return materialize(regroup(blobs, n).mapInArrow(merge, BLOB_SCHEMA), "lm-runs")
+    return written(regroup(blobs, n).mapInArrow(merge, BLOB_SCHEMA), "lm-runs")
 
 
 def answers(asked: DataFrame, home, n: int) -> DataFrame:
-    """Sums of facts: kind 0 blobs are facts (keys, values), kinds 1 and 2 questions (deal_questions); others pass.
+    """Sums of facts: kind 0 blobs are facts (keys, values), kind -1 those of packed_facts, kinds 1 and 2 questions (deal_questions); others pass.
 
     Answers are blobs of kind 1, dealt by `home` of the row: (rows, sums, numbers of keys that have a fact) of the
     questions of kind 1, and (rows, sums) of those of kind 2.  A row of the exchange holds both, so there are at most
@@ -342,19 +392,21 @@ def answers(asked: DataFrame, home, n: int) -> DataFrame:
     """
 
     def run(batches):
-        facts, asks, through = [], {1: [], 2: []}, []
+        facts, asks, through = [(_NONE, np.zeros(0))], {1: [], 2: []}, []
         for bucket, kind, x in by_kind(batches):
-            if kind == 0:
-                facts.append(x)
+            if kind < 0:
+                facts.append((widened(from_ascending(x[0]), bucket, n), from_planes(x[1], np.float64)))
+            elif kind == 0:
+                facts.append((K.mix(np.frombuffer(x[0], _U)), np.frombuffer(x[1], np.float64)))
             elif kind < 3:
-                asks[kind].append(x)
+                asks[kind].append((bucket, *x))
             else:
                 through.append((bucket, kind, *x))
                 if len(through) >= 500:
                     yield blob_batch(through)
                     through = []
         yield blob_batch(through)
-        keys, values = joined([x[0] for x in facts], _U), joined([x[1] for x in facts], np.float64)
+        keys, values = (np.concatenate(x) for x in zip(*facts))
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
 
@@ -362,8 +414,8 @@ def answers(asked: DataFrame, home, n: int) -> DataFrame:
             """Rows, sums and numbers of some questions."""
             total, at, size = [np.zeros(0)], [_NONE], 0
             while own and size < 4 * _FLUSH:
-                h, count, rows, base = own.pop()
-                h, rows = from_ascending(h), from_planes(rows, np.uint32)
+                bucket, h, count, rows, base = own.pop()
+                h, rows = widened(from_ascending(h), bucket, n), from_planes(rows, np.uint32)
                 value, ok = np.zeros(len(h)), np.zeros(len(h), bool)
                 if len(keys):
                     i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -383,7 +435,7 @@ def answers(asked: DataFrame, home, n: int) -> DataFrame:
                 for bucket, rows, sums, many in deal_replies(*some(asks[kind]), home, n):
                     out.setdefault(bucket, {})[kind] = rows, sums, many
             none = (b"", b"", b"")
-            yield blob_batch([(b, 1, *x.get(1, none), b"".join(x.get(2, none)[:2])) for b, x in out.items()])
+            yield blob_batch([(b, 1, *x.get(1, none), len(x.get(2, none)[0]).to_bytes(4, "little") + b"".join(x.get(2, none)[:2])) for b, x in out.items()])
 
     return regroup(asked, n).mapInArrow(run, BLOB_SCHEMA)
 
@@ -415,8 +467,8 @@ def _sums(replies: list, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         at = np.searchsorted(row, from_ascending(rows))  # distinct within a reply
         first[at] += from_planes(sums, np.float64)
         many[at] += from_planes(count, np.uint32)
-        half = len(more) // 2
-        second[np.searchsorted(row, from_ascending(more[:half]))] += from_planes(more[half:], np.float64)
+        end = 4 + int.from_bytes(more[:4], "little")
+        second[np.searchsorted(row, from_ascending(more[4:end]))] += from_planes(more[end:], np.float64)
     return first, many, second
 
 
@@ -495,7 +547,7 @@ def level_facts(runs: DataFrame, d: int, facts: DataFrame, log_total: float, n:
     runs = runs.where("kind = 1")
     replied = answers(runs.mapInArrow(ask, BLOB_SCHEMA).unionAll(bare(facts)), by_asker, n)
     met = regroup(replied.unionAll(runs.mapInArrow(stay, BLOB_SCHEMA)), n).mapInArrow(meet, BLOB_SCHEMA)
-    return materialize(regroup(met, n).mapInArrow(learn, BLOB_SCHEMA), "lm-level")
+    return written(regroup(met, n).mapInArrow(learn, BLOB_SCHEMA), "lm-level")
 
 
 def bare(facts: DataFrame) -> DataFrame:
@@ -503,6 +555,24 @@ def bare(facts: DataFrame) -> DataFrame:
     return facts.withColumn("c", F.lit(b""))
 
 
+def packed_facts(facts: DataFrame, hot, n: int) -> DataFrame:
+    """What a text's tokens can ask for by shuffle, a blob of kind -1 for each bucket: no hot facts, and no totals (count 0), which only training asks for."""
+
+    def pack(batches):
+        now, got = None, [(_NONE, np.zeros(0))]
+        table = K.HashTable(K.mix(hot.value[0]))
+        for now, _, x in by_kind(batches):
+            k = np.frombuffer(x[0], _U)
+            ok = (np.frombuffer(x[2], np.int64) > 0) & (table.find(K.mix(k)) < 0)
+            got.append((k[ok], np.frombuffer(x[1], np.float64)[ok]))
+        k, value = (np.concatenate(x) for x in zip(*got))
+        order, _, rest = narrowed(k, n)
+        if len(k):
+            yield blob_batch([(now, -1, ascending(rest), planes(value[order]))])
+
+    return written(regroup(facts, n).mapInArrow(pack, BLOB_SCHEMA), "lm-facts")
+
+
 class Model:
     """Tables of a trained tree: facts of words and of the tree, the training tokens and types."""
 
@@ -543,9 +613,9 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Model:
     """The model of the training documents."""
     own = bound_batches(docs).where(~held_out(F.col("doc_id")))
     n = buckets(docs)
-    words = materialize(count_words(own, n), "lm-words")
+    words = written(count_words(own, n), "lm-words")
     types, tokens = _table_size(words)
-    model = Model(materialize(word_facts(words, n), "lm-word-facts"), [], tokens, types, n)
+    model = Model(written(word_facts(words, n), "lm-word-facts"), [], tokens, types, n)
 
     def often(x):
         k, c = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64)
@@ -555,25 +625,32 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Model:
         k, c = np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64)
         return K.ngrams(k[c >= MIN_PAIR], 1)
 
+    def as_facts(batches):
+        for _, _, x in by_kind(batches):
+            yield blob_batch(_count_facts(np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64), n))
+
     candidates, suffixes = bitmap(words, often, n), bitmap(words, some, n)
-    found, counts, totals = None, None, {}
+    forget(words)
+    found, before, totals = None, None, {}
     for d in range(1, depth + 2):  # runs of d + 1 words are counted while the parts of those of d words are gathered
-        runs = count_runs(own, d, candidates if d <= depth else None, suffixes, found, counts, n)
+        runs = count_runs(own, d, candidates, suffixes, found, before and before.where("kind = 0"), n)
+        if before is not None:
+            forget(before)
+        for x in (candidates, suffixes):
+            if x is not None:
+                x.destroy()
+        candidates = None
         if d > 1:
             facts = model.facts().unionAll(totals[d - 1]) if d > 2 else model.facts()  # those of single words are with the words
             model.tree.append(level_facts(runs, d - 1, facts, model.log_total, n))
         if d > depth:
+            forget(runs, *totals.values())
             break
-        counts = runs.where("kind = 0")
+        counts, before = runs.where("kind = 0"), runs
         found = suffixes = bitmap(counts, lambda x: np.frombuffer(x[0], _U), n)
         if d < depth:  # no longer runs are counted after that
             candidates = bitmap(counts, lambda x: np.frombuffer(x[0], _U)[np.frombuffer(x[1], np.int64) >= MIN_CONTEXT], n)
-
-        def as_facts(batches):
-            for _, _, x in by_kind(batches):
-                yield blob_batch(_count_facts(np.frombuffer(x[0], _U), np.frombuffer(x[1], np.int64), n))
-
-        totals[d + 1] = counts.mapInArrow(as_facts, BLOB_SCHEMA)
+            totals[d + 1] = written(counts.mapInArrow(as_facts, BLOB_SCHEMA), "lm-totals")
     return model
 
 
@@ -589,6 +666,8 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for t in model.tree[1:]:
             tree = tree.unionAll(t)
         may = bitmap(tree, lambda x: np.frombuffer(x[0], _U), n)
+    facts = packed_facts(model.facts(), hot, n)
+    forget(model.words, *model.tree)
 
     def scan(batches):
         """Kinds: 1 words and 2 contexts and pairs with the row that asks; 3 rows with what is known of them."""
@@ -658,5 +737,16 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     model_levels = list(range(len(model.tree)))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
-    replied = answers(src.mapInArrow(scan, BLOB_SCHEMA).unionAll(bare(model.facts())), by_row, n)
-    return regroup(replied, n).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts, passes = [], max(1, min(PASSES, -(-train_tokens // _FLUSH)))
+    for i in range(passes):
+        own = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == i)
+        replied = answers(own.mapInArrow(scan, BLOB_SCHEMA).unionAll(facts), by_row, n)
+        parts.append(written(regroup(replied, n).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores"))
+    forget(facts)
+    for x in (hot, may):
+        if x is not None:
+            x.destroy()
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionAll(x)
+    return out

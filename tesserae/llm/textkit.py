@@ -46,6 +46,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The hashes that mix() took."""
+    h = (h ^ (h >> _U(32))) * _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    h = (h ^ (h >> _U(29)) ^ (h >> _U(58))) * _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    return h ^ (h >> _U(32))
+
+
 def join(a: np.ndarray, b: np.ndarray, seed=_U(0)) -> np.ndarray:
     """Hash of a pair of hashes: one to one in either of them, and mixed, so that chains of it have no algebra of their own."""
     return mix(a * _M1 + b + seed)

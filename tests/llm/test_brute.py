@@ -331,6 +331,37 @@ def test_the_tree_takes_as_many_jobs_on_many_partitions(frame, spark):
     assert jobs[30] < jobs[6] + 24
 
 
+def test_the_tree_leaves_no_tables_and_narrow_keys(frame, monkeypatch):
+    """Scores in several passes equal brute force's, nothing but them stays on disk, and a key's bytes do not repeat its bucket."""
+    from tesserae.llm import common
+
+    m, r, n = suffix_tree_lm, np.random.default_rng(9), 300
+    k = np.unique(r.integers(0, 2**64, 30_000, np.uint64))
+    assert np.array_equal(textkit.unmix(textkit.mix(k)), k)
+    c = r.integers(1, 3, len(k))
+    blobs = m.deal_counts(k, c, n)
+    back = [m.counts_of((*x, b"")[:2], b, n) for b, _, *x in blobs]
+    assert dict(zip(np.concatenate([x for x, _ in back]).tolist(), np.concatenate([x for _, x in back]).tolist())) == dict(zip(k.tolist(), c.tolist()))
+    assert {b for b, *_ in blobs} <= set(range(n))
+    rest = m.narrowed(k, n)[2]
+    assert int(rest.max()) < 2**64 // n + 2**32
+    for d in (2, 3):
+        run = k[r.integers(0, 500, (4000, d))]
+        got = np.concatenate([m.words_of(x, d) for _, _, *x in m.deal_words(m.run_hashes(run), run, 7)])
+        assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, run.tolist()))
+    many = textkit.mix(np.arange(100_000, dtype=np.uint64))
+    assert sum(len(x[2]) for x in m.deal_questions(1, many, np.zeros(len(many), int), 0, 16)) < 6.5 * len(many)
+
+    rows = [(i, prose(i % 15, 80)) for i in range(120)] + [(None, "a b"), (900, None)]
+    model = brute_tree([[*words(t, True), None] for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2], m.DEPTH)
+    monkeypatch.setattr(m, "_FLUSH", 1000)  # so few tokens a pass
+    had, docs = len(common._CREATED), frame(rows).repartition(3)
+    got = [(x["doc_id"], x["score"]) for x in m.score(docs).collect()]
+    assert sorted((i or -1, round(s, 6)) for i, s in got) == sorted((i or -1, round(model([*words(t, True), None]), 6)) for i, t in rows)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, p in common._CREATED[had:]]
+    assert [x for x in left if x != "rows"] == ["lm-scores"] * m.PASSES
+
+
 def test_what_the_tree_gathers_grows_with_the_corpus(frame):
     """Ten times the text with ten times the contexts: ten times the retained states, none of them crowded out."""
     def states(k):
