@@ -43,6 +43,7 @@ _LEVELS = 8  # confidences: 0 nothing seen, 1 seen once, then by hits
 _PRIOR = np.linspace(0.01, 0.9, _LEVELS)
 _GROUPS, _GROUP_IDS = 256, 2048
 _GRAIN = 16  # of a count
+_STRIDE = 32  # steps that are worked on together, few enough for a processor's cache
 _START = 700  # ids that the initial shares of the groups are worth
 _HEAD = struct.Struct("<4sHHIIQI")  # magic, version, block size, vocabulary, blocks, ids, bytes of the log counts
 _BLOCK_HEAD = struct.Struct("<III")  # ids, 16-bit words, CRC-32 of the ids
@@ -55,6 +56,13 @@ def log_counts(ids: np.ndarray, vocab: int) -> np.ndarray:
     return np.where(c > 0, 1 + np.rint(4 * np.log2(np.maximum(c, 1))), 0).astype(np.uint8)
 
 
+def _pairs(left: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Left ends and sizes as the two parts of one number, so that one look-up finds both; whole numbers to 2**24 are exact."""
+    out = np.empty(left.shape, np.complex64)
+    out.real, out.imag = left, size
+    return out
+
+
 class Prior:
     """Ranks of the ids of a stream, their groups, and each id's share of its group."""
 
@@ -77,9 +85,9 @@ class Prior:
         q[first] += _ONE - np.bincount(group, q, n_groups).astype(np.int64)
         cum = np.cumsum(q) - q
         own = cum - cum[first][group]
-        self.group = group.astype(np.int64)
-        self.left, self.size = own.astype(np.float32), q.astype(np.float32)  # of an id within its group; whole numbers to 2**24 are exact
-        self.inverse = np.repeat(np.arange(n), q)
+        self.group = group.astype(np.uint8)
+        self.span = _pairs(own, q)  # of an id within its group
+        self.inverse = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.uint32), q)
 
 
 def _epochs(steps: int) -> list[tuple[int, int, bool]]:
@@ -114,8 +122,7 @@ class _Model:
                 q[bad] = 1 + self.counts[bad] * (_ONE - self.p.n) // total[bad]
                 top[bad], more[bad] = q[bad].argmax(axis=1), _ONE - q[bad].sum(axis=1)
             q[np.arange(self.lanes), top] += more
-            self.left = (_ONE * (np.cumsum(q, axis=1) - q)).astype(np.float32).ravel()
-            self.size = q.astype(np.float32).ravel()
+            self.span = _pairs(_ONE * (np.cumsum(q, axis=1) - q), q).ravel()
             if inverse:
                 self.inv = np.repeat(np.tile(np.arange(self.p.n, dtype=np.uint8), self.lanes), q.ravel())
 
@@ -151,10 +158,9 @@ class _Model:
 
     def zero(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(left end, size) of ranks on the line of order 0, which has 2**24 parts; own: where the lanes' groups are."""
-        i = self.p.group.take(x)
-        i += own
-        q = self.size.take(i)
-        return (self.left.take(i) + q * self.p.left.take(x)).astype(float), (q * self.p.size.take(x)).astype(float)
+        group, within = self.span.take(self.p.group.take(x) + own), self.p.span.take(x)
+        q = group.imag
+        return (group.real + q * within.real).astype(float), (q * within.imag).astype(float)
 
     def intervals(self, x: np.ndarray, p: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
         """(left end, size) of ranks on the whole line, given the remembered ids and the weights."""
@@ -165,15 +171,19 @@ class _Model:
         size = size * w0 + (w1 * (p1 == x) + w2 * (p2 == x))
         return left.astype(_U), size.astype(_U)
 
-    def end(self, x: np.ndarray, e: np.ndarray) -> None:
-        """Take in the ranks (steps x lanes) and the entries of an epoch."""
-        n = self.lanes
+    def tally(self, x: np.ndarray, e: np.ndarray) -> None:
+        """Take in how often the entries of some steps were right; x: their ranks, steps x lanes."""
         at = (e & _SEVEN) + self.level
-        hit = (e >> _THREE) == np.concatenate([x, x], axis=1)
-        self.seen += np.bincount(at.ravel(), minlength=len(self.seen))
-        self.right += np.bincount(at[hit], minlength=len(self.seen))
+        at <<= 1
+        at.reshape(-1, 2, self.lanes)[...] |= (e >> _THREE).reshape(-1, 2, self.lanes) == x[:, None]
+        n = np.bincount(at.ravel(), minlength=2 * len(self.seen)).reshape(-1, 2)
+        self.seen += n[:, 0] + n[:, 1]
+        self.right += n[:, 1]
+
+    def end(self, x: np.ndarray) -> None:
+        """Take in the groups of the ranks of an epoch."""
         at = (self.p.group.take(x) + self.own).ravel()
-        self.counts += _GRAIN * np.bincount(at, minlength=n * self.p.n).reshape(n, self.p.n)
+        self.counts += _GRAIN * np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
 
 
 def _rounds(low: np.ndarray, rng: np.ndarray):
@@ -200,23 +210,25 @@ def _encode_group(grid: np.ndarray, prior: Prior) -> list[bytes]:
     before[2:] = grid
     for a, b, renew in _epochs(steps):
         m.begin(renew, False)
-        at, e = np.empty((b - a, 2 * lanes), np.int64), np.empty((b - a, 2 * lanes), np.uint32)
-        m.places(before[a + 1 : b + 1], before[a:b], at)
-        x = grid[a:b].astype(np.int64)
-        twice = np.concatenate([grid[a:b], grid[a:b]], axis=1) << _THREE
-        for t in range(b - a):
-            m.slots.take(at[t], out=e[t], mode="clip")
-            m.learn(e[t], at[t], twice[t])
-        left, size = m.intervals(x, (e >> _THREE).astype(np.int64), m.weights(e))
-        for t in range(b - a):
-            r = rng >> _BITS
-            low += r * left[t]
-            rng = r * size[t]
-            for todo, top in _rounds(low, rng):
-                i = pos.take(todo)
-                out[i] = top
-                pos[todo] = i + lanes
-        m.end(x, e)
+        for u in range(a, b, _STRIDE):
+            v = min(b, u + _STRIDE)
+            at, e = np.empty((v - u, 2 * lanes), np.int64), np.empty((v - u, 2 * lanes), np.uint32)
+            m.places(before[u + 1 : v + 1], before[u:v], at)
+            twice = np.concatenate([grid[u:v], grid[u:v]], axis=1) << _THREE
+            for t in range(v - u):
+                m.slots.take(at[t], out=e[t], mode="clip")
+                m.learn(e[t], at[t], twice[t])
+            left, size = m.intervals(grid[u:v].astype(np.int64), (e >> _THREE).astype(np.int64), m.weights(e))
+            for t in range(v - u):
+                r = rng >> _BITS
+                low += r * left[t]
+                rng = r * size[t]
+                for todo, top in _rounds(low, rng):
+                    i = pos.take(todo)
+                    out[i] = top
+                    pos[todo] = i + lanes
+            m.tally(grid[u:v], e)
+        m.end(grid[a:b])
     for _ in range(4):
         out[pos] = low >> _TOP
         low <<= _SIXTEEN
@@ -242,10 +254,10 @@ def _decode_group(parts: list[np.ndarray], steps: int, prior: Prior) -> np.ndarr
     at, x2 = np.empty(2 * lanes, np.int64), np.empty(2 * lanes, np.uint32)
     for a, b, renew in _epochs(steps):
         m.begin(renew, True)
-        es = np.empty((b - a, 2 * lanes), np.uint32)
-        for t in range(b - a):
+        es = np.empty((_STRIDE, 2 * lanes), np.uint32)
+        for t in range(a, b):
             m.places(p1, p2, at)
-            e = m.slots.take(at, out=es[t], mode="clip")
+            e = m.slots.take(at, out=es[(t - a) % _STRIDE], mode="clip")
             p, w = (e >> _THREE).astype(np.int64), m.weights(e)
             (w0, w1, w2), q1, q2 = w, p[:lanes], p[lanes:]
             r = rng >> _BITS
@@ -265,12 +277,14 @@ def _decode_group(parts: list[np.ndarray], steps: int, prior: Prior) -> np.ndarr
             i += m.units
             g = m.inv.take(i).astype(np.int64)
             i = g + m.own
-            q, left = m.size.take(i), m.left.take(i)
+            group = m.span.take(i)
+            left, q = group.real, group.imag
             g <<= 12
             g += ((np.floor(z).astype(np.float32) - left) / q).astype(np.int64)
-            x = prior.inverse.take(g)
-            left = (left + q * prior.left.take(x)).astype(float) * w0 + more
-            size = (q * prior.size.take(x)).astype(float) * w0
+            x = prior.inverse.take(g).astype(np.int64)
+            within = prior.span.take(x)
+            left = (left + q * within.real).astype(float) * w0 + more
+            size = (q * within.imag).astype(float) * w0
             hit = (v >= l2) > past2
             for to, of in ((x, q2), (left, l2), (size, s2)):
                 np.copyto(to, of, where=hit)
@@ -280,7 +294,7 @@ def _decode_group(parts: list[np.ndarray], steps: int, prior: Prior) -> np.ndarr
             low += r * left.astype(_U)
             rng = r * size.astype(_U)
             p2 = p1
-            p1 = grid[a + t] = x.astype(np.uint32)
+            p1 = grid[t] = x.astype(np.uint32)
             x2[:lanes] = p1 << _THREE
             x2[lanes:] = x2[:lanes]
             m.learn(e, at, x2)
@@ -288,7 +302,9 @@ def _decode_group(parts: list[np.ndarray], steps: int, prior: Prior) -> np.ndarr
                 i = pos.take(todo)
                 code[todo] = (code.take(todo) << _SIXTEEN) | src.take(i, mode="clip")
                 pos[todo] = i + lanes
-        m.end(grid[a:b].astype(np.int64), es)
+            if (n := (t - a) % _STRIDE + 1) == _STRIDE or t + 1 == b:
+                m.tally(grid[t + 1 - n : t + 1], es[:n])
+        m.end(grid[a:b])
     return grid
 
 

@@ -21,7 +21,7 @@ LONG_WORD = 256
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
-_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U)
+KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -67,10 +67,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     n = ends - starts
     whole = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(data) + 1, "<u8", buffer=whole, strides=(1,))
-    h = mix((eight[starts] & _KEEP[np.minimum(n, 8)]) ^ (n.astype(_U) * _M2))
+    h = mix((eight[starts] & KEEP[np.minimum(n, 8)]) ^ (n.astype(_U) * _M2))
     todo, at = np.flatnonzero(n > 8), 8
     while len(todo) and at < LONG_WORD:
-        h[todo] = join(h[todo], eight[starts[todo] + at] & _KEEP[np.minimum(n[todo] - at, 8)])
+        h[todo] = join(h[todo], eight[starts[todo] + at] & KEEP[np.minimum(n[todo] - at, 8)])
         at += 8
         todo = todo[n[todo] > at]
     for i in np.flatnonzero(n > LONG_WORD).tolist():

@@ -12,7 +12,10 @@ Tokenizing is by distinct chunk.  A byte-level tokenizer never joins what stands
 before and after a space that is followed by a visible character, or a line
 break between visible characters; texts are cut there, each distinct chunk of
 a run of texts is encoded once, and its ids are copied to all its places.  Chunks
-are found by a hash and compared byte by byte.
+are found by a hash and compared byte by byte.  Where the library would split
+texts by the byte-level pattern, a space with letters is one piece to it and a few
+signs after them the next; so these words go straight to the library's model,
+without the split, and the letters of a word with signs are not asked again.
 
 Nulls and odd cases: a null or empty text has only the end id; a null document
 id sorts first and is carried as null; rows of one id follow each other in the
@@ -23,6 +26,7 @@ length stays in one shard.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -49,6 +53,54 @@ _LEAD_OK = np.zeros(256, bool)  # first bytes of characters that are surely not
 _LEAD_OK[0x21:0x7F] = True
 _LEAD_OK[0xC3:0xE1] = True
 _LEAD_OK[0xE4:0xF5] = True
+_LETTER, _SIGN, _SIGNS = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)  # by byte; what leads two bytes here leads letters only, but for the signs of _TIMES
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = 0
+_KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(0x80, 0xC0), *range(0xC3, 0xC8), 0xD0, 0xD1]] = _LETTER
+_TIMES = (0xC3, 0x97, 0xB7)
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_CHARS = np.zeros(256, "<u4")  # the character that stands for a byte in a byte-level vocabulary
+_CHARS[_PRINTED] = _PRINTED
+_CHARS[_CHARS == 0] = 0x100 + np.arange(256 - len(_PRINTED))
+_MARK = chr(_CHARS[_SPACE])
+
+
+class _Buffer:
+    """An array that grows at its end; eight bytes beyond it can be read."""
+
+    def __init__(self, dtype, first: tuple = ()):
+        self.all, self.n = np.zeros(1 << 12, dtype), 0
+        self.add(np.array(first, dtype))
+
+    def __len__(self) -> int:
+        return self.n
+
+    @property
+    def own(self) -> np.ndarray:
+        return self.all[: self.n]
+
+    def add(self, x: np.ndarray) -> None:
+        end = self.n + len(x)
+        if end + 8 > len(self.all):
+            more = np.zeros(max(end + 8, len(self.all) * 3 // 2), self.all.dtype)
+            more[: self.n] = self.own
+            self.all = more
+        self.all[self.n : end] = x
+        self.n = end
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of n items each, one after another."""
+    stop = np.cumsum(n)
+    at = np.repeat(start - stop + n, n)
+    at += np.arange(len(at))
+    return at
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on; zeros follow the last one."""
+    return np.ndarray(len(data), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
 class ChunkTokenizer:
@@ -56,6 +108,7 @@ class ChunkTokenizer:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
@@ -66,6 +119,11 @@ class ChunkTokenizer:
         mark = self.tok.id_to_token(at(" x")[0])[0]
         self.opens = np.zeros(self.vocab, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith(mark)]] = True
+        split, self.tokenize = self.tok.pre_tokenizer, self.tok.model.tokenize
+        # whether words are split by the byte-level pattern alone, and no added token can lie in one
+        self.plain = type(split) is ByteLevel and split.use_regex and not split.add_prefix_space and self.tok.normalizer is None
+        self.plain &= self.tok.truncation is None and self.tok.padding is None
+        self.plain &= all(re.search(r"[!-/:-@\[-`{-~][A-Za-z]", t.content) for t in self.tok.get_added_tokens_decoder().values())
         self._forget()
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
@@ -77,7 +135,7 @@ class ChunkTokenizer:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         n = b - a
         stop = np.cumsum(n)
-        flat = data[np.arange(stop[-1]) + np.repeat(a - stop + n, n)]
+        flat = data[_spread(a, n)]
         cut = np.concatenate([[0], stop[4095::4096], stop[-1:]])
         groups = [flat[x:y].tobytes().decode() for x, y in zip(cut[:-1], cut[1:]) if y > x]
         ids = np.concatenate([np.array(x, np.int32) for x in self._batch(groups)])
@@ -86,14 +144,77 @@ class ChunkTokenizer:
             return None
         return ids, np.diff(np.concatenate([first, [len(ids)]]))
 
+    def _words(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, ids, ids in each) of the chunks data[a:b] that are a space, letters and at most _SIGNS signs."""
+        kind = _KIND[data]
+        lead, x, y = _TIMES
+        kind[np.flatnonzero((data[:-1] == lead) & ((data[1:] == x) | (data[1:] == y)))] = 0
+        seen = np.concatenate([[0], np.cumsum(kind == _LETTER)])
+        letters = seen[b] - seen[a]
+        sign, rest = kind == _SIGN, b - a - 1 - letters
+        ok = (data[a] == _SPACE) & (letters > 0) & (rest >= 0) & (rest <= _SIGNS)
+        for k in range(_SIGNS):
+            ok &= (rest <= k) | sign[np.maximum(b - 1 - k, 0)]
+        own = np.flatnonzero(ok)
+        own = own[seen[b[own] - rest[own]] - seen[a[own]] == letters[own]]
+        if not len(own):
+            return own, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        a, b, rest = a[own], b[own], rest[own]
+        stem = b - rest
+        # the letters of words with signs may be a chunk that is known
+        from_, n = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        known = np.zeros(len(own), bool)
+        if len(has := np.flatnonzero(rest)):
+            got = self.table.find(K.span_hashes(data, a[has], stem[has]))
+            has, got = has[got >= 0], got[got >= 0]
+            right = np.ones(len(has), bool)
+            right[self._other(got, data, a[has], stem[has])] = False
+            has, got = has[right], got[right]
+            known[has] = True
+            from_[has], n[has] = self.ends.own[got], self.ends.own[got + 1] - self.ends.own[got]
+        new = np.flatnonzero(~known)
+        words = _CHARS[data[_spread(a[new], (stem - a)[new])]].tobytes().decode("utf-32-le").split(_MARK)[1:]
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        tokens = [self.tokenize(_MARK + w) for w in number]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        asked = np.fromiter((t.id for ts in tokens for t in ts), np.int32, int(sizes.sum()))
+        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        from_[new], n[new] = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        # signs by their bytes
+        last = np.zeros(len(own), np.int64)
+        for k in range(_SIGNS):
+            last += np.where(rest > k, data[np.maximum(b - 1 - k, 0)], 0).astype(np.int64) << (8 * k)
+        signs, which = np.unique(last, return_inverse=True)
+        tails = self._batch([x.to_bytes(_SIGNS, "big").lstrip(b"\0").decode() for x in signs.tolist()])
+        sizes = np.array([len(x) for x in tails], np.int64)
+        tail, more = np.array([x for t in tails for x in t], np.int32), sizes[which]
+        total = n + more
+        at = np.cumsum(total) - total
+        ids = np.empty(int(total.sum()), np.int32)
+        for part, pool in ((known, self.ids.own), (~known, asked)):
+            ids[_spread(at[part], n[part])] = pool[_spread(from_[part], n[part])]
+        ids[_spread(at + n, more)] = tail[_spread((np.cumsum(sizes) - sizes)[which], more)]
+        return own, ids, total
+
     def _learn(self, keys: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        n = b - a
+        data = data[_spread(a, n)]
+        b = np.cumsum(n)
+        a = b - n
         space = np.concatenate([[0], np.cumsum(K.SPACE[data], dtype=np.int64)])
         lead = data[a]
-        simple = (b - a > 1) & (space[b] - space[a] == 1)
+        simple = (n > 1) & (space[b] - space[a] == 1)
         order, parts, sizes = [], [], []
-        rest = [np.flatnonzero(~(simple & ((lead == _SPACE) | (lead == _BREAK))))]
+        todo = np.ones(len(a), bool)
+        if self.plain:
+            own, ids, each = self._words(data, a, b)
+            todo[own] = False
+            order.append(own)
+            parts.append(ids)
+            sizes.append(each)
+        rest = [np.flatnonzero(todo & ~(simple & ((lead == _SPACE) | (lead == _BREAK))))]
         for byte in (_SPACE, _BREAK):
-            own = np.flatnonzero(simple & (lead == byte))
+            own = np.flatnonzero(todo & simple & (lead == byte))
             got = self._joined(data, a[own], b[own], byte == _BREAK)
             if got is None:
                 rest.append(own)
@@ -108,31 +229,37 @@ class ChunkTokenizer:
             parts.append(np.array([x for e in each for x in e], np.int32))
             sizes.append(np.array([len(e) for e in each], np.int64))
         at = np.concatenate(order)
-        last = self.ends[-1] if len(self.ends) else 0
-        self.keys = np.concatenate([self.keys, keys[at]])
-        size, before = b[at] - a[at], self.raw_ends[-1] if len(self.raw_ends) else 0
-        stop = np.cumsum(size)
-        self.raw = np.concatenate([self.raw, data[np.arange(stop[-1]) + np.repeat(a[at] - stop + size, size)]])
-        self.raw_ends = np.concatenate([self.raw_ends, stop + before])
-        self.ids = np.concatenate([self.ids, *parts])
-        self.ends = np.concatenate([self.ends, np.cumsum(np.concatenate(sizes)) + last])
-        self.table.extend(self.keys)
+        self.keys.add(keys[at])
+        self.heads.add(_eights(data)[a[at]] & K.KEEP[np.minimum(n[at], 8)])
+        self.sizes.add(n[at])
+        self.starts.add(np.cumsum(n[at]) - n[at] + len(self.raw))
+        self.raw.add(data[_spread(a[at], n[at])])
+        self.ends.add(np.cumsum(np.concatenate(sizes)) + len(self.ids))
+        for ids in parts:
+            self.ids.add(ids)
+        self.table.extend(self.keys.own)
 
     def _forget(self) -> None:
-        self.keys, self.ends, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.raw, self.raw_ends = np.zeros(0, np.uint8), np.zeros(0, np.int64)
-        self.table = K.HashTable(self.keys, room=CACHE)
+        self.keys, self.ids, self.raw = _Buffer(_U), _Buffer(np.int32), _Buffer(np.uint8)
+        self.heads, self.sizes, self.starts = _Buffer(_U), _Buffer(np.int64), _Buffer(np.int64)  # of a chunk's bytes: the first eight, their number, where they are
+        self.ends = _Buffer(np.int64, (0,))  # of the ids, from the one before the first chunk on
+        self.table = K.HashTable(self.keys.own, room=CACHE)
 
     def _other(self, got: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Chunks whose bytes are not those of the chunk found by their hash; the chunks follow each other in data."""
-        raw_end = self.raw_ends[got]
-        size, n = raw_end - np.where(got > 0, self.raw_ends[np.maximum(got - 1, 0)], 0), b - a
-        same = size == n
-        at = np.repeat(raw_end - b, n)
-        at += np.arange(a[0], b[-1])
-        wrong = np.flatnonzero(self.raw.take(at, mode="clip") != data[a[0] : b[-1]])
-        if len(wrong):
-            same[np.searchsorted(a, wrong + a[0], "right") - 1] = False
+        """Chunks data[a:b] whose bytes are not those of the chunk found by their hash; eight bytes at a time."""
+        n = b - a
+        here, there = _eights(data), np.ndarray(len(self.raw), "<u8", buffer=self.raw.all, strides=(1,))
+        same = (here[a] & K.KEEP[np.minimum(n, 8)] == self.heads.own.take(got)) & (n == self.sizes.own.take(got))
+        todo = np.flatnonzero(same & (n > 8) & (n <= K.LONG_WORD))
+        left, x, y = n[todo] - 8, a[todo] + 8, self.starts.own[got[todo]] + 8
+        while len(todo):
+            ok = ((here[x] ^ there[y]) & K.KEEP[np.minimum(left, 8)]) == 0
+            same[todo[~ok]] = False
+            on = np.flatnonzero(ok & (left > 8))
+            todo, left, x, y = todo[on], left[on] - 8, x[on] + 8, y[on] + 8
+        for i in np.flatnonzero(same & (n > K.LONG_WORD)).tolist():
+            at = self.starts.own[got[i]]
+            same[i] = np.array_equal(data[a[i] : b[i]], self.raw.all[at : at + n[i]])
         return np.flatnonzero(~same)
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,18 +286,16 @@ class ChunkTokenizer:
                 k, i = np.unique(key, return_index=True)
             i = new[i]
             self._learn(k, data, a[i], b[i])
-            got = self.table.find(key)
-        ends, ids = self.ends[got], self.ids
-        starts = np.where(got > 0, self.ends[np.maximum(got - 1, 0)], 0)
-        n = ends - starts
+            got[new] = self.table.find(key[new])
+        starts, ids = self.ends.own[got], self.ids.own
+        n = self.ends.own[got + 1] - starts
         if len(own := self._other(got, data, a, b)):  # chunks that share another one's hash
             each = self._batch([data[x:y].tobytes().decode() for x, y in zip(a[own], b[own])])
             n[own] = [len(e) for e in each]
             starts[own] = len(ids) + np.cumsum(n[own]) - n[own]
             ids = np.concatenate([ids, np.array([x for e in each for x in e], np.int32)])
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        doc = np.searchsorted(offs, a, "right") - 1
-        return ids[at], np.bincount(doc, n, len(arr)).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(n)])
+        return ids.take(_spread(starts, n)), np.diff(total[np.searchsorted(a, offs)])
 
 
 @lru_cache(maxsize=2)

@@ -506,6 +506,52 @@ def test_chunks_are_told_apart_by_their_bytes(frame, monkeypatch):
         assert (ids.tolist(), n.tolist()) == (want + want, [len(want), 0, len(want)])
 
 
+def test_letters_of_words_are_asked_once_and_without_a_split(monkeypatch):
+    """Known letters under new signs cost the tokenizer nothing but the signs."""
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    tok, chunks, split, model = Tokenizer.from_file(tokenizer_path()), token_output.ChunkTokenizer(tokenizer_path()), [], []
+    batch, tokenize = chunks._batch, chunks.tokenize
+    monkeypatch.setattr(chunks, "_batch", lambda texts: split.extend(texts) or batch(texts))
+    monkeypatch.setattr(chunks, "tokenize", lambda word: model.append(word) or tokenize(word))
+    for t in ("a thndlysh Éreque über erbereinie", "a thndlysh, Éreque). über... erbereinie,$$$ thndlysh! thndlysh"):
+        ids, _ = chunks.encode(token_output.K.strings(pa.array([t])))
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(model) == 4
+    assert not [t for t in split if "dlysh" in t or "reque" in t or "ber" in t]
+
+
+def test_chunks_of_odd_words():
+    """Signs that look like letters in bytes, contractions, marks, other scripts, lone and long words: as the tokenizer has them."""
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    words = ["don't", "it's,", "a×b", "×", "÷,", "ab÷", "x1", "1x,", "Ünï,", "ñ", "Привет!", "ѿ", "҂", "a\u0301", "日本.", "naïve''", "we'll'", "'s", "a.b", "ab,,,,", "ab,,,,,", "\u00aa", "ß)",
+             "<|endoftext|>", "a<|endoftext|>", "ab<|", "ab|>", "x\t", "\u00a0x", "é\n", "long" * 80 + ",", "long" * 80 + ";", "long" * 80, "eightsix", "eightsixt", "a_b", "ǿ~", "ȿ"]
+    r = np.random.default_rng(3)
+    texts = [(" " if r.random() < 0.9 else "\n").join(r.choice(words, r.integers(1, 12))) for _ in range(600)] + ["", " ", " a", " ,", "a ", *words]
+    tok = Tokenizer.from_file(tokenizer_path())
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for step in (1, 7, len(texts)):
+        chunks = token_output.ChunkTokenizer(tokenizer_path())
+        for a in range(0, len(texts), step):
+            ids, n = chunks.encode(token_output.K.strings(pa.array(texts[a : a + step])))
+            assert n.tolist() == [len(w) for w in want[a : a + step]]
+            assert ids.tolist() == [x for w in want[a : a + step] for x in w]
+
+
+def test_steps_worked_on_together_do_not_change_a_stream(monkeypatch):
+    ids = np.minimum(np.random.default_rng(5).zipf(1.3, 9000), 900)
+    data = context_coder.encode(ids, 1000)
+    for stride in (1, 7, 4096):
+        monkeypatch.setattr(context_coder, "_STRIDE", stride)
+        assert context_coder.encode(ids, 1000) == data
+        assert (context_coder.decode(data) == ids).all()
+
+
 def test_ids_are_mixed_better_than_order_0_and_zlib():
     """Over a source with repeated phrases, in blocks of 2048: fewer bits than zlib and than adaptive counts for each block."""
     r = np.random.default_rng(0)
